@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import quality
+from gridloom.llm import jaccard, quality, substring
 from gridloom.llm.common import table
 
 
@@ -12,5 +12,30 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules,)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op8_quality_rules, op9_substring_dedup, op10_ngram_jaccard)}
 SQL: dict[str, str] = {}
+
+SQL["op9_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS r(i)
+), m AS (
+  SELECT g, min(doc_id) AS low FROM s GROUP BY g
+), c AS (
+  SELECT DISTINCT doc_id, i + j AS p FROM s JOIN m USING (g), unnest(range(13)) AS r(j) WHERE low < doc_id
+), a AS (
+  SELECT doc_id, list(p) AS gone, count(*) AS n FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, (x, k) -> NOT list_contains(gone, k)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
