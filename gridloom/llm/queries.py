@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontam, jaccard, quality, substring
+from gridloom.llm import decontam, jaccard, langid, quality, substring
 from gridloom.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,7 +28,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op8_quality_rules, op9_substring_dedup, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op8_quality_rules, op9_substring_dedup, op10_ngram_jaccard)}
 SQL: dict[str, str] = {}
 
 SQL["op9_substring_dedup"] = r"""
