@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, jaccard, langid, quality, substring
+from gridloom.llm import decontam, jaccard, langid, quality, substring, tokens
 from gridloom.llm.common import table
 
 
@@ -16,6 +17,17 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def tokenizer_file(name: str = "piece_bpe_32k.model") -> str:
+    """The public vocabulary that the queries use; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"), tokenizer_file()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
@@ -28,7 +40,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op8_quality_rules, op9_substring_dedup, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_sentencepiece, op8_quality_rules, op9_substring_dedup, op10_ngram_jaccard)}
 SQL: dict[str, str] = {}
 
 SQL["op9_substring_dedup"] = r"""
