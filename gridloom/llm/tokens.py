@@ -255,8 +255,8 @@ def _lists(found: list[np.ndarray | None]) -> pa.Array:
 
 def _encoder(vocab):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Stretches(vocab.value)
-        split = vocab.value.stretch.findall
+        known = Stretches(vocab)
+        split = vocab.stretch.findall
         for whole in batches:
             for batch in rows_of(whole, 2 << 20):
                 texts = batch.column("text").to_pylist()
@@ -266,7 +266,7 @@ def _encoder(vocab):
                 for ws in found:
                     out.append(None if ws is None else np.concatenate(flat[at : at + len(ws)]) if ws else np.zeros(0, np.int32))
                     at += len(ws or ())
-                same = [t is not None and vocab.value.decode(x.tolist()) == t.replace(MARK, " ") for t, x in zip(texts, out, strict=True)]
+                same = [t is not None and vocab.decode(x.tolist()) == t.replace(MARK, " ") for t, x in zip(texts, out, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(out), pa.array(same, mask=np.array([t is None for t in texts], bool))], names=["doc_id", "ids", "round_trip"])
 
     return encode
@@ -292,7 +292,7 @@ def _splitter(vocab, size: int):
         for whole in batches:
             for batch in rows_of(whole):
                 for rid, doc, text in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "text")), strict=True):
-                    rows = [(rid, doc, i, *x) for i, x in enumerate(chunks(vocab.value, _marked(text), size))]
+                    rows = [(rid, doc, i, *x) for i, x in enumerate(chunks(vocab, _marked(text), size))]
                     yield pa.RecordBatch.from_pylist([dict(zip(CHUNK_ROW.names, r, strict=True)) for r in rows], schema=CHUNK_ROW)
 
     return split
@@ -314,9 +314,9 @@ def transfer(vocab: Vocabulary, known: Stretches, part: str, stop: int, hard_sta
 
 def _transferrer(vocab):
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Stretches(vocab.value)
+        known = Stretches(vocab)
         for batch in batches:
-            found = [transfer(vocab.value, known, *(batch.column(c)[j].as_py() for c in ("part", "stop", "hard_start", "hard_end"))) for j in range(len(batch))]
+            found = [transfer(vocab, known, *(batch.column(c)[j].as_py() for c in ("part", "stop", "hard_start", "hard_end"))) for j in range(len(batch))]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("i"), pa.array([m.shape[0] for m in found], pa.int32()), pa.array([m.ravel().tolist() for m in found], pa.list_(pa.float64()))], names=["rid", "i", "ways_in", "matrix"])
 
     return matrices
@@ -345,15 +345,15 @@ def _combine(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _tracer(vocab):
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Stretches(vocab.value)
+        known = Stretches(vocab)
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 if r["hard_start"] or r["hard_end"]:
-                    _, back, piece = best_paths(vocab.value, r["part"], r["stop"], vocab.value.longest if r["hard_start"] else 1)
-                    out.append(np.array(trace(vocab.value, r["part"], back, piece, r["enter"], r["stop"] + r["leave"]), np.int32))
+                    _, back, piece = best_paths(vocab, r["part"], r["stop"], vocab.longest if r["hard_start"] else 1)
+                    out.append(np.array(trace(vocab, r["part"], back, piece, r["enter"], r["stop"] + r["leave"]), np.int32))
                 else:
-                    flat = known.encode(vocab.value.stretch.findall(r["part"]))
+                    flat = known.encode(vocab.stretch.findall(r["part"]))
                     out.append(np.concatenate(flat) if flat else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("i"), _lists(out)], names=["rid", "doc_id", "i", "ids"])
 
@@ -365,7 +365,7 @@ def _joiner(vocab):
         rows = rows.sort_values("i")
         ids = np.concatenate(rows["ids"].to_list())
         text = "".join(p[:n] for p, n in zip(rows["part"], rows["stop"], strict=True))
-        same = vocab.value.decode(ids.tolist()) == text[1:].replace(MARK, " ")
+        same = vocab.decode(ids.tolist()) == text[1:].replace(MARK, " ")
         return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1], "ids": [ids], "round_trip": [same]})
 
     return joined
@@ -373,8 +373,7 @@ def _joiner(vocab):
 
 def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, ids and round_trip (do the ids decode to the text?) of every row of docs (doc_id, text)."""
-    sc = docs.sparkSession.sparkContext
-    vocab = sc.broadcast(Vocabulary(model))
+    vocab = Vocabulary(model)  # travels with the tasks
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     small = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= giant).mapInArrow(_encoder(vocab), "doc_id long, ids array<int>, round_trip boolean")
     large = docs.where(F.length("text") > giant).withColumn("rid", F.monotonically_increasing_id())
@@ -388,11 +387,11 @@ def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK)
 
 def decode(tokens: DataFrame, model: str) -> DataFrame:
     """doc_id and text of tokens (doc_id, ids)."""
-    vocab = tokens.sparkSession.sparkContext.broadcast(Vocabulary(model))
+    vocab = Vocabulary(model)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [None if x is None else vocab.value.decode(x) for x in batch.column("ids").to_pylist()]
+            text = [None if x is None else vocab.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "text"])
 
     return tokens.select("doc_id", "ids").mapInArrow(decoded, "doc_id long, text string")
