@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, jaccard, langid, quality, substring, tokens
+from gridloom.llm import decontam, jaccard, langid, quality, sharding, substring, tokens, toxicity, urlfilter, warc
 from gridloom.llm.common import table
 
 
@@ -28,6 +28,23 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), tokenizer_file()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")), "page_id")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules(spark))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, toxicity.grades(table(spark, sf_dir, "labels"))))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
@@ -40,7 +57,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_sentencepiece, op8_quality_rules, op9_substring_dedup, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_sentencepiece, op4_warc_derivatives, op5_url_filter, op6_toxicity, op7_sharding, op8_quality_rules, op9_substring_dedup, op10_ngram_jaccard)}
 SQL: dict[str, str] = {}
 
 SQL["op9_substring_dedup"] = r"""
@@ -82,3 +99,22 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+SQL["op5_url_filter"] = r"""
+WITH u AS (
+  SELECT page_id,
+    coalesce(CASE WHEN contains(url, '://') THEN translate(regexp_extract(regexp_replace(url, '^.*?://', '', 's'), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END, '') AS host,
+    coalesce(CASE WHEN contains(url, '://') THEN regexp_extract(regexp_replace(url, '^.*?://', '', 's'), '^[^/?#]*([^?#]*)', 1, 's') END, '') AS path
+  FROM pages
+), r(rule, verdict, h, p) AS (
+  VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'), ('example.org/en/1', 'block', 'example.org', '/en/1'),
+    ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')
+), m AS (
+  SELECT host, path, arg_max(rule, len(rule)) AS rule, arg_max(verdict, len(rule)) AS v
+  FROM (SELECT DISTINCT host, path FROM u) JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path
+)
+SELECT page_id, u.host, u.path, rule, coalesce(v, CASE
+  WHEN regexp_matches(u.host || u.path, '^([^/]*[.-])?(spam-[a-z]+|casino(-[a-z]+)?|adult-[a-z]+|ads-track(ing)?|cheap-pills|free-bets|porn|[a-z]*-porn|xxx)[.]|/(.*/)?phishing(/|$)') THEN 'block'
+  ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN m ON u.host = m.host AND u.path = m.path
+"""
