@@ -53,27 +53,21 @@ def anchors_of(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndar
     return low
 
 
-def _th(key: bytes) -> int:
-    return int.from_bytes(key[:8], "little", signed=True)
-
-
 def _reader(window: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
             for batch in rows_of(whole):
-                n, key, th, sha, found = [], [], [], [], []
+                n, key, sha, found = [], [], [], []
                 for t in texts(batch):
                     words = t.split() if t else []
                     joined = b" ".join(words)
-                    k = hashlib.md5(joined).digest()
                     n.append(len(words))
-                    key.append(k)
-                    th.append(_th(k))
+                    key.append(hashlib.md5(joined).digest())
                     sha.append(hashlib.sha256(joined).hexdigest())
                     found.append(np.unique(anchors_of(hashes.of(words), window)).view(np.int64) if len(words) >= window else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(key, pa.binary()), pa.array(th, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array(found, pa.list_(pa.int64()))],
+                    [batch.column("doc_id").cast(pa.int64()), pa.array(key, pa.binary()), batch.column("th"), pa.array(n, pa.int64()), pa.array(sha), pa.array(found, pa.list_(pa.int64()))],
                     names=["doc_id", "tk", "th", "n_words", "sha", "anchors"])
 
     return read
@@ -84,23 +78,22 @@ def _surrounder(window: int):
         hashes = WordHashes()
         for whole in batches:
             for batch in rows_of(whole):
-                ids, shared = batch.column("doc_id").to_pylist(), batch.column("anchors")
+                ids, ths, shared = batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("anchors")
                 out: tuple[list, ...] = ([], [], [], [], [], [])
                 for i, t in enumerate(texts(batch)):
                     words = t.split()
                     h = hashes.of(words)
                     low = anchors_of(h, window)
-                    th = _th(hashlib.md5(b" ".join(words)).digest())
                     hit = np.isin(low, np.asarray(shared[i].values).view(np.uint64))
                     edge = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (hit[1:] != hit[:-1])]) if len(low) else low
                     for s, e in zip(edge, np.r_[edge[1:], len(low)], strict=True):
                         if hit[s]:
                             ctx = b" ".join(words[s : e + window - 1])
                             out[0].append(low[s].view(np.int64))
-                            out[1].append(_th(hashlib.md5(ctx).digest()))
+                            out[1].append(int.from_bytes(hashlib.md5(ctx).digest()[:8], "little", signed=True))
                             out[2].append(ctx)
                             out[3].append(ids[i])
-                            out[4].append(th)
+                            out[4].append(ths[i])
                             out[5].append(s)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)],
@@ -214,8 +207,8 @@ def _cutter(window: int):
 
 def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows read: doc_id, tk, th, n_words, sha; word sequences held by several rows: tk, rep;
-    documents that lose spans: doc_id, th, n_removed, kept_sha256, kept_text)."""
-    docs = docs.select("doc_id", "text")
+    documents that lose spans: doc_id, th, n_removed, kept_sha256, kept_text). th is xxhash64 of the text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     read = stored(docs.mapInArrow(_reader(window), "doc_id long, tk binary, th long, n_words long, sha string, anchors array<long>"), "read")
     several = stored(read.where("n_words > 0 and doc_id is not null").groupBy("tk").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("tk", "rep"), "several")
     n_several = several.count()
@@ -238,14 +231,7 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
 
 def _cut(docs: DataFrame, at: DataFrame, n: int, window: int) -> DataFrame:
     some = docs.where("text is not null").join(sized_broadcast(at.select("doc_id").distinct(), n), "doc_id", "left_semi")
-    return some.mapInArrow(_keyed, "doc_id long, text string, th long").join(at, ["doc_id", "th"]).mapInArrow(_cutter(window), "doc_id long, th long, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["doc_id", "th"])
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in rows_of(whole):
-            th = [_th(hashlib.md5(b" ".join(t.split())).digest()) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").cast(pa.string()), pa.array(th, pa.int64())], names=["doc_id", "text", "th"])
+    return some.join(at, ["doc_id", "th"]).mapInArrow(_cutter(window), "doc_id long, th long, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["doc_id", "th"])
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -257,3 +243,24 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         "doc_id", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
+
+
+def keep(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs without their repeated spans; rows of which no word is left go.
+
+    Columns stay as they are, but for text and, if there is one, n_chars.
+    """
+    read, several, cut = removals(docs, window)
+    cut = stored(cut.select("doc_id", "th", "n_removed", "kept_text"), "cut")
+    copies = read.where(F.col("n_words") >= window).join(sized_broadcast(several, several.count()), "tk").where("rep < doc_id")
+    spent = cut.join(read.select("doc_id", "th", "n_words").distinct(), ["doc_id", "th"]).where("n_removed = n_words")
+    other = stored(cut.select("doc_id", "th").union(copies.select("doc_id", "th")).union(spent.select("doc_id", "th")).distinct(), "changed")
+    n = other.count()
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
+    same = rows.join(sized_broadcast(other, n), ["doc_id", "th"], "left_anti").select("_row.*")
+    left = cut.join(spent.select("doc_id", "th"), ["doc_id", "th"], "left_anti")
+    less = rows.join(sized_broadcast(left.select("doc_id", "th"), n), ["doc_id", "th"], "left_semi").join(left, ["doc_id", "th"]).select("_row.*", F.col("kept_text").alias("_kept"))
+    less = less.withColumn("text", F.col("_kept"))
+    if "n_chars" in docs.columns:
+        less = less.withColumn("n_chars", F.length("_kept").cast(docs.schema["n_chars"].dataType))
+    return same.unionByName(less.drop("_kept"))
