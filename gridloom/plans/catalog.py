@@ -1,3 +1,5 @@
 """Imports every module that registers queries."""
 
+from gridloom.plans import q_grids  # noqa: F401
+
 FLAGSHIP = "exp_flagship_where"
