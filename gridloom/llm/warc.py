@@ -55,7 +55,7 @@ def resolved(text: Column) -> Column:
 
 def visible(html: Column) -> Column:
     """The text that a reader sees: no comments, scripts or styles, a line for each block."""
-    t = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", " ")
+    t = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", "")
     t = F.regexp_replace(t, rf"(?i)<(?:/?(?:{BLOCKS})\b|!doctype)[^>]*>", "\n")
     t = F.regexp_replace(t, r"</?[A-Za-z][^>]*>", "")
     t = F.regexp_replace(resolved(t), "[ \\t\\x0B\\f\\r ]+", " ")
