@@ -43,7 +43,7 @@ def dense_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DENSE_SQL = CUBE_SQL + """, D AS (
-  SELECT cell, t, value FROM (SELECT DISTINCT cell FROM C), (SELECT unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM C) LEFT JOIN C USING (cell, t))"""
+  SELECT cell, t, value FROM (SELECT DISTINCT cell FROM C) CROSS JOIN (SELECT unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM C) LEFT JOIN C USING (cell, t))"""
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
