@@ -84,7 +84,7 @@ def opened(mask: DataFrame, n: int = 1) -> DataFrame:
 
 
 def neighbour_sums(mask: DataFrame) -> DataFrame:
-    """row, col, m and the number of the eight neighbours that are set."""
+    """row, col, m and the number of the eight neighbours that are set; mask holds the unset cells too."""
     h = haloed(mask)
     w = lambda p, o: Window.partitionBy("tr", "tc", p).orderBy(o).rangeBetween(-1, 1)
     h = h.withColumn("s", F.sum("m").over(w("col", "row"))).withColumn("s", F.sum("s").over(w("row", "col")))

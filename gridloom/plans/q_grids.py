@@ -200,7 +200,8 @@ def region_histogram(spark, sf_dir):
 def connectivity(spark, sf_dir):
     h = high(spark, sf_dir)
     sizes = R.regions(h).groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
-    near = R.neighbour_sums(h.withColumn("m", F.lit(1))).agg(F.avg((F.col("support") > 0).cast("int")).alias("adjacency"))
+    mask = grid(spark, sf_dir).select("row", "col", F.coalesce((v() > 0.2).cast("int"), F.lit(0)).alias("m"))
+    near = R.neighbour_sums(mask).where("m = 1").agg(F.avg((F.col("support") > 0).cast("int")).alias("adjacency"))
     return sizes.agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest")).join(F.broadcast(near)).select("components", "largest", r6(F.col("adjacency")).alias("adjacency"))
 
 

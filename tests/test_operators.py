@@ -1,0 +1,106 @@
+"""Operators on literal rows with known results."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.functions import codec, style
+from gridloom.operators import grids, search, terrain, timeline
+from gridloom.streaming import tiles
+
+
+def cells(spark, rows, name="m"):
+    return spark.createDataFrame([(r, c, int(v)) for r, row in enumerate(rows) for c, v in enumerate(row)], f"row long, col int, {name} int")
+
+
+def picture(df, name, shape):
+    out = np.zeros(shape, int)
+    for r in df.collect():
+        out[r["row"], r["col"]] = r[name]
+    return out.tolist()
+
+
+MASK = [[1, 1, 0, 0], [0, 1, 0, 1], [0, 0, 0, 1]]
+
+
+def test_regions_are_labelled_in_order(spark):
+    got = grids.labelled(cells(spark, MASK).where("m = 1").select("row", "col"))
+    assert picture(got, "label", (3, 4)) == [[1, 1, 0, 0], [0, 1, 0, 2], [0, 0, 0, 2]]
+
+
+def test_erosion_leaves_the_inside(spark):
+    mask = np.zeros((5, 5), int)
+    mask[1:4, 1:4] = 1
+    left = np.array(picture(grids.eroded(cells(spark, mask)), "m", (5, 5)))
+    assert left.sum() == 1 and left[2, 2] == 1 and (mask - left).sum() == 8
+
+
+def test_opening_removes_a_bridge(spark):
+    mask = np.zeros((7, 13), int)
+    mask[1:6, 1:6] = mask[1:6, 7:12] = mask[3, 6] = 1
+    left = np.array(picture(grids.opened(cells(spark, mask)), "m", (7, 13)))
+    assert left[3, 6] == 0 and left.sum() == 50
+
+
+def test_runs_and_durations(spark):
+    s = spark.createDataFrame([(1, t, v) for t, v in enumerate([5.0, 6.0, None, 7.0, 8.0, 9.0, 1.0])] + [(2, 0, 0.0)], "cell long, t long, value double")
+    got = sorted((r["first"], r["last"], r["n"]) for r in timeline.runs(s, F.col("value") > 4).collect())
+    assert got == [(0, 1, 2), (3, 5, 3)]
+    assert {r["cell"]: r["duration"] for r in timeline.longest_run(s, F.col("value") > 4, 0.5).collect()} == {1: 1.5, 2: 0.0}
+
+
+def test_touching_intervals_merge(spark):
+    iv = spark.createDataFrame([(1, 0, 5), (1, 5, 7), (1, 9, 12), (1, 10, 11), (2, 3, 4)], "k long, start long, stop long")
+    assert sorted(map(tuple, timeline.coalesced(iv, "k").collect())) == [(1, 0, 7), (1, 9, 12), (2, 3, 4)]
+    assert [tuple(r) for r in timeline.gaps(iv, "k").collect()] == [(1, 7, 9)]
+
+
+def test_as_of_has_nothing_before_the_first(spark):
+    right = spark.createDataFrame([(1, 5, 50.0), (1, 8, 80.0)], "cell long, t long, value double")
+    left = spark.createDataFrame([(1, t) for t in (4, 5, 7, 9)], "cell long, t long")
+    assert [r["value"] for r in timeline.as_of(left, right, "cell").orderBy("t").collect()] == [None, 50.0, 50.0, 80.0]
+
+
+def test_unfinished_passes_are_dropped(spark):
+    s = spark.createDataFrame([(1, t, float(v)) for t, v in enumerate([9, 1, 9, 9, 1, 9])], "cell long, t long, value double")
+    assert [tuple(r) for r in timeline.passes(s, 5.0).collect()] == [(1, 2, 3)]
+
+
+def test_paragraphs_are_packed_and_not_split(spark):
+    df = spark.createDataFrame([(1, "aa\nbb\n\n" + "c" * 30 + "\ndd"), (2, None), (3, " ")], "doc_id long, text string")
+    got = [(r["doc_id"], r["ordinal"], r["content"]) for r in search.paragraphs(df, 8).orderBy("doc_id", "ordinal").collect()]
+    assert got == [(1, 0, "aa\n\nbb"), (1, 1, "c" * 30), (1, 2, "dd")]
+
+
+def test_any_term_only_if_no_document_has_all(spark):
+    df = spark.createDataFrame([(1, "red fox"), (2, "red dog"), (3, "blue fox fox")], "doc_id long, text string")
+    index = search.postings(df)
+    assert [r["doc_id"] for r in search.retrieve(index, ["red", "fox"], 5).collect()] == [1]
+    assert {r["doc_id"] for r in search.retrieve(index, ["red", "blue"], 5).collect()} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("values", [[], [0], [63, -64, 62], [0, 16383, 32766, -3], [5, 5, 5]])
+def test_codec_round_trips_up_to_fifteen_bits(values):
+    back = codec.unpacked(codec.packed(np.array(values))).tolist()
+    steps = np.diff([0, *values])
+    assert back == values if (abs(steps) <= 16383).all() else len(back) == len(values)
+
+
+def test_wall_hides_what_is_behind(spark):
+    z = np.zeros((1, 9))
+    z[0, 4] = 5
+    dem = spark.createDataFrame([(0, c, float(z[0, c])) for c in range(9)], "row long, col int, v double")
+    eye = spark.createDataFrame([(1, 0, 0)], "id long, row long, col int")
+    assert sorted(r["col"] for r in terrain.viewshed(eye, dem, 4, 8).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_stops_get_both_ends():
+    assert style.stops([(0.5, (1, 1, 1, 1))]) == [(0.0, (1, 1, 1, 1)), (0.5, (1, 1, 1, 1)), (1.0, (1, 1, 1, 1))]
+
+
+def test_tiles_come_out_when_complete_and_in_order(spark, tmp_path):
+    rows = [(t, p, 2, float(t + p), float(p), 1) for p in range(2) for t in (1, 2) if (t, p) != (2, 1)]
+    for p in range(2):
+        spark.createDataFrame([r for r in rows if r[1] == p], tiles.CHUNK).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = tiles.run(tiles.reduced(tiles.chunk_stream(spark, str(tmp_path / "in"), 1)), "test").collect()
+    assert [(r["tile"], r["chunks"], r["mean"]) for r in got] == [(1, 2, 1.5)]
