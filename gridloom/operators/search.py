@@ -51,7 +51,7 @@ def paragraphs(docs: DataFrame, most: int = 1800) -> DataFrame:
 
     The packing is a fold over a document's paragraphs inside one row.
     """
-    parts = F.filter(F.transform(F.split("text", r"\n"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
 
     def add(done: Column, p: Column) -> Column:
         fits = (F.size(done) > 0) & (F.length(F.try_element_at(done, F.lit(-1))) + 2 + F.length(p) <= most)

@@ -20,7 +20,7 @@ def r6(c):
     return F.round(c, 6)
 
 
-@query("fn_affine", G + " SELECT row, col, round(0.5 * (col + 0.5) + 0.1 * (row + 0.5) + 100, 6) AS x, round(-0.2 * (col + 0.5) - 0.4 * (row + 0.5) + 900, 6) AS y, row + 0.5::DOUBLE AS row_back, col + 0.5::DOUBLE AS col_back FROM G")
+@query("fn_affine", G + " SELECT row, col, round(0.5::DOUBLE * (col + 0.5) + 0.1 * (row + 0.5) + 100, 6) AS x, round(-0.2::DOUBLE * (col + 0.5) - 0.4 * (row + 0.5) + 900, 6) AS y, row + 0.5::DOUBLE AS row_back, col + 0.5::DOUBLE AS col_back FROM G")
 def affine(spark, sf_dir):
     g = grid(spark, sf_dir)
     x, y = M.affine(F.col("row") + 0.5, F.col("col") + 0.5, *AFFINE)  # pixel centres

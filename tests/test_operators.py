@@ -67,7 +67,7 @@ def test_unfinished_passes_are_dropped(spark):
 
 
 def test_paragraphs_are_packed_and_not_split(spark):
-    df = spark.createDataFrame([(1, "aa\nbb\n\n" + "c" * 30 + "\ndd"), (2, None), (3, " ")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "aa\n \nbb\n\n" + "c" * 30 + "\n\ndd"), (2, None), (3, " ")], "doc_id long, text string")
     got = [(r["doc_id"], r["ordinal"], r["content"]) for r in search.paragraphs(df, 8).orderBy("doc_id", "ordinal").collect()]
     assert got == [(1, 0, "aa\n\nbb"), (1, 1, "c" * 30), (1, 2, "dd")]
 
