@@ -97,7 +97,7 @@ def passes(spark, sf_dir):
 
 
 MERGED = PASSES + """, Q AS (SELECT cell % 10 AS site, start, stop FROM P),
-N AS (SELECT site, start, stop, sum(fresh) OVER (PARTITION BY site ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS n FROM (
+N AS (SELECT site, start, stop, sum(fresh) OVER (PARTITION BY site ORDER BY start, stop) AS n FROM (
   SELECT *, CASE WHEN max(stop) OVER (PARTITION BY site ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start THEN 0 ELSE 1 END AS fresh FROM Q)),
 M AS (SELECT site, min(start) AS start, max(stop) AS stop FROM N GROUP BY site, n)"""
 
