@@ -7,9 +7,17 @@ repeat. Rows whose squared Mahalanobis distance passes `CUTOFF` are rejected. Al
 DataFrame code: moments are partial aggregates, the Cholesky factor of each group's
 covariance is a handful of columns on one row a group.
 
+Every group has its own estimate, at every size: its mean and covariance are those of a
+normal-inverse-Wishart posterior whose prior is its language's estimate (and of that, the one
+over all rows). A group of n rows counts n / (n + PRIOR) in the covariance and, as few rows
+tell a centre, n / (n + CENTRE) in the mean; the distance of the two means widens the
+covariance, so that neither a small group's habits nor its outliers are judged by a foreign
+centre alone.
+
 Defined cases: null or blank text has no words and fails the base rule; null lang or source
-is a group of its own; groups under `MIN_GROUP` rows use the estimate over all rows; columns
-other than those named are carried only by `keep`, under their own names.
+is a group of its own; a group without a row that passes the base rules has no covariance
+and takes its prior; columns other than those named are carried only by `keep`, under their
+own names.
 """
 
 from __future__ import annotations
@@ -23,7 +31,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 SUPPORT = 0.75
 STEPS = 3
-MIN_GROUP = 200
+#: Rows that the language's estimate counts for in a group, and the one over all rows in a language.
+PRIOR = 40
+#: The same for the mean.
+CENTRE = 2
 #: Scale below which a statistic's spread is taken as noise, and added to its variance.
 NOISE = (0.25, 0.05, 0.10, 0.20, 0.20)
 #: 1 / P(chi2 with p + 2 degrees <= the SUPPORT quantile of chi2 with p) x SUPPORT, for p = 5.
@@ -32,6 +43,8 @@ CONSISTENCY = 1.41
 CUTOFF = 25.7
 P = len(NOISE)
 XS = [f"x{i}" for i in range(P)]
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+MS, CS = [f"m{i}" for i in range(P)], [f"c{i}{j}" for i, j in PAIRS]
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -81,71 +94,80 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_w", "_upper", "_lines", "_grams", "_n_lines", "_pairs", "_at")
 
 
-def _distance(mean: list[Column], chol: dict[tuple[int, int], Column]) -> Column:
-    """Squared Mahalanobis distance of x0..x4 by forward substitution in the Cholesky factor."""
-    y: list[Column] = []
-    for i in range(P):
-        left = F.col(XS[i]) - mean[i]
-        for j in range(i):
-            left = left - chol[i, j] * y[j]
-        y.append(left / chol[i, i])
-    return sum((v * v for v in y[1:]), y[0] * y[0])
-
-
-def _estimate(rows: DataFrame, scale: float) -> DataFrame:
-    """Mean and Cholesky factor of the covariance (plus the noise floor), one row a group."""
-    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
-    out = rows.groupBy("_g").agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.avg(x).alias(f"m{i}") for i, x in enumerate(XS)],
-        *[F.avg(F.col(XS[i]) * F.col(XS[j])).alias(f"q{i}{j}") for i, j in pairs],
+def _estimate(rows: DataFrame, near: Column, scale: float) -> DataFrame:
+    """Mean m and covariance c of the rows of each key `_g` that are near, with their number; nulls where there is none."""
+    at = lambda c: F.avg(F.when(near, c))
+    out = rows.groupBy("_g", "_p").agg(
+        F.count(F.when(near, F.col(XS[0]))).alias("_n"),
+        *[at(F.col(x)).alias(f"m{i}") for i, x in enumerate(XS)],
+        *[at(F.col(XS[i]) * F.col(XS[j])).alias(f"q{i}{j}") for i, j in PAIRS],
     )
-    cov = lambda i, j: scale * (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (F.lit(NOISE[i] ** 2) if i == j else F.lit(0.0))
+    return out.select("_g", "_p", "_n", *MS, *[(scale * (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))).alias(f"c{i}{j}") for i, j in PAIRS])
+
+
+def _toward(own: DataFrame, prior: DataFrame, n: int) -> DataFrame:
+    """own estimates shrunk towards those of their parents `_p` by n / (n + CENTRE) and n / (n + PRIOR)."""
+    before = prior.select(F.col("_g").alias("_p"), *[F.col(c).alias(f"_{c}") for c in (*MS, *CS)])
+    part = lambda c: F.col("_n") / (F.col("_n") + F.lit(float(c)))
+    mix = lambda c, w: F.coalesce(w * F.col(c), F.lit(0.0)) + (1 - w) * F.col(f"_{c}")
+    off = lambda i: F.coalesce(F.col(f"m{i}") - F.col(f"_m{i}"), F.lit(0.0))
+    return own.join(sized_broadcast(before, n), "_p").select(
+        "_g", "_p", "_n", *[mix(m, part(CENTRE)).alias(m) for m in MS], *[(mix(f"c{i}{j}", part(PRIOR)) + part(CENTRE) * CENTRE / (F.col("_n") + PRIOR) * off(i) * off(j)).alias(f"c{i}{j}") for i, j in PAIRS])
+
+
+def _shrunk(raw: DataFrame, n: int) -> DataFrame:
+    """Estimates of groups, of languages and of all rows, each shrunk towards the next."""
+    every = raw.where("_p is null")
+    langs = _toward(raw.where("_p = ''"), every, 1)
+    return every.unionByName(langs).unionByName(_toward(raw.where("_p <> ''"), langs, n))
+
+
+def _with_distance(df: DataFrame) -> DataFrame:
+    """df with `_d`, the squared Mahalanobis distance of x0..x4, by elimination in the covariance plus NOISE."""
+    df = df.withColumns({"_d": F.lit(0.0), **{f"v{i}": F.col(XS[i]) - F.col(f"m{i}") for i in range(P)}, **{f"c{i}{i}": F.col(f"c{i}{i}") + F.lit(NOISE[i] ** 2) for i in range(P)}})
     for j in range(P):
-        below = sum((F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(cov(j, j) - below, F.lit(NOISE[j] ** 2 / 4))))
-        out = out.withColumns({f"l{i}{j}": (cov(i, j) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}") for i in range(j + 1, P)})
-    return out.select("_g", "_n", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in pairs])
+        part = lambda i, j=j: F.col(f"c{i}{j}") / F.col(f"c{j}{j}")
+        new = {"_d": F.col("_d") + F.col(f"v{j}") * F.col(f"v{j}") / F.col(f"c{j}{j}")}
+        new |= {f"v{i}": F.col(f"v{i}") - part(i) * F.col(f"v{j}") for i in range(j + 1, P)}
+        new |= {f"c{i}{k}": F.col(f"c{i}{k}") - part(i) * F.col(f"c{k}{j}") for i in range(j + 1, P) for k in range(j + 1, i + 1)}
+        df = df.withColumns(new)
+    return df.drop(*MS, *CS, *[f"v{i}" for i in range(P)])
 
 
-def _d2() -> Column:
-    return _distance([F.col(f"m{i}") for i in range(P)], {(i, j): F.col(f"l{i}{j}") for i in range(P) for j in range(i + 1)})
+def _group() -> Column:
+    return F.concat(F.lit("g"), F.to_json(F.struct(F.col("lang"), F.col("source"))))
 
 
 def fit(stats: DataFrame) -> tuple[DataFrame, int]:
-    """Estimates by group key `_g` and their number; the key '' stands for all rows.
+    """Estimates by key `_g` (a group, a language, or '' for all rows) and their number.
 
     Starts from medians and quartile spreads, then takes STEPS concentration steps. Each
     step reads the narrow statistics once for the distance quantile and once for moments.
     """
-    key = F.to_json(F.struct(F.col("lang"), F.col("source")))
-    rows = stats.where(~F.col("base_failed")).select(F.explode(F.array(key, F.lit(""))).alias("_g"), *XS)
-    q = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"_q{i}") for i, x in enumerate(XS)])
-    spread = lambda i: F.greatest((F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]) / 1.349, F.lit(NOISE[i]))
-    params = stored(q.where((F.col("_n") >= MIN_GROUP) | (F.col("_g") == "")).select(
-        "_g", "_n", *[F.col(f"_q{i}")[1].alias(f"m{i}") for i in range(P)],
-        *[(spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)]), "mcd")
-    n = params.count()
+    lang, passed = F.concat(F.lit("l"), F.to_json(F.struct(F.col("lang")))), ~F.col("base_failed")
+    levels = F.array(*[F.struct(g.alias("_g"), p.alias("_p")) for g, p in ((_group(), lang), (lang, F.lit("")), (F.lit(""), F.lit(None).cast("string")))])
+    rows = stats.select(F.explode(levels).alias("_k"), *[F.when(passed, F.col(x)).alias(x) for x in XS]).select("_k.*", *XS)
+    q = rows.groupBy("_g", "_p").agg(F.count(XS[0]).alias("_n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"_q{i}") for i, x in enumerate(XS)])
+    spread = lambda i: (F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]) / 1.349
+    raw = stored(q.select(
+        "_g", "_p", "_n", *[F.col(f"_q{i}")[1].alias(f"m{i}") for i in range(P)],
+        *[(spread(i) * spread(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS]), "mcd")
+    n = raw.count()
+    params = stored(_shrunk(raw, n), "mcd")
     for _ in range(STEPS):
-        near = rows.join(sized_broadcast(params, n), "_g").withColumn("_d", _d2()).select("_g", "_d", *XS)
-        cut = near.groupBy("_g").agg(F.percentile_approx("_d", SUPPORT, 1000).alias("_cut"))
-        inner = near.join(sized_broadcast(cut, n), "_g").where(F.col("_d") <= F.col("_cut"))
-        params = stored(_estimate(inner, CONSISTENCY), "mcd")
+        far = _with_distance(rows.join(sized_broadcast(params.drop("_p", "_n"), n), "_g"))
+        cut = far.groupBy("_g").agg(F.percentile_approx("_d", SUPPORT, 1000).alias("_cut"))
+        raw = stored(_estimate(far.join(sized_broadcast(cut, n), "_g"), F.col("_d") <= F.col("_cut"), CONSISTENCY), "mcd")
+        params = stored(_shrunk(raw, n), "mcd")
     return params, n
 
 
 def judge(stats: DataFrame, params: DataFrame, n: int) -> DataFrame:
-    """stats with `distance` and `kept`; groups without an estimate use the one of all rows."""
-    key = F.to_json(F.struct(F.col("lang"), F.col("source")))
-    own = sized_broadcast(params.where(F.col("_g") != ""), n)
-    every = [c for c in params.columns if c not in ("_g", "_n")]
-    whole = params.where(F.col("_g") == "").select(*[F.col(c).alias(f"_a{c}") for c in every])
-    df = stats.withColumn("_g", key).join(own, "_g", "left").join(F.broadcast(whole), how="left")  # one row
-    pick = {c: F.when(F.col("_n").isNotNull(), F.col(c)).otherwise(F.col(f"_a{c}")) for c in every}
-    d2 = _distance([pick[f"m{i}"] for i in range(P)], {(i, j): pick[f"l{i}{j}"] for i in range(P) for j in range(i + 1)})
-    df = df.withColumn("distance", F.sqrt(d2))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") * F.col("distance") <= CUTOFF, F.lit(True))
-    return df.withColumn("kept", kept).drop("_g", "_n", *every, *[f"_a{c}" for c in every])
+    """stats with `distance` and `kept`, by the estimate of each row's group."""
+    own = sized_broadcast(params.drop("_p", "_n"), n)
+    df = _with_distance(stats.withColumn("_g", _group()).join(own, "_g", "left")).withColumn("distance", F.sqrt("_d"))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("_d") <= CUTOFF, F.lit(True))
+    return df.withColumn("kept", kept).drop("_g", "_d")
 
 
 def score(docs: DataFrame) -> DataFrame:

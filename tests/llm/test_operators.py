@@ -359,3 +359,14 @@ def test_shards_balance_and_number_without_gaps(spark):
     assert max(size) - min(size) < 0.1 * np.mean(size)
     assert all(r["size"] == 16 + len(t) and r["text_crc32"] == zlib.crc32(t.encode()) for r in got[:0] for t in [""])
     assert sharding.shard(frame(spark, [])).count() == 0
+
+
+def test_quality_small_groups_are_judged_by_their_own_estimate(spark):
+    rng = random.Random(11)
+    prose = lambda low, high: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(low, high))) for _ in range(60))
+    rows = [(i, prose(2, 5), "en", "web", 0) for i in range(600)]
+    rows += [(1000 + i, prose(16, 22).upper(), "de", "law", 0) for i in range(80)] + [(2000 + i, prose(2, 5), "de", "law", 0) for i in range(3)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.score(frame(spark, rows)).collect()}
+    assert sum(kept[1000 + i] for i in range(80)) >= 78 and not any(kept[2000 + i] for i in range(3))
+    failed = quality.score(frame(spark, [*rows, (3000, "too short", "fr", None, 0)]).where("lang <> 'de'")).where("doc_id = 3000").first()
+    assert not failed["kept"] and failed["distance"] is not None
