@@ -12,7 +12,8 @@ normal-inverse-Wishart posterior whose prior is its language's estimate (and of
 over all rows). A group of n rows counts n / (n + PRIOR) in the covariance and, as few rows
 tell a centre, n / (n + CENTRE) in the mean; the distance of the two means widens the
 covariance, so that neither a small group's habits nor its outliers are judged by a foreign
-centre alone.
+centre alone. Each row's own sampling noise (`UNITS`) is added to the covariance: a tight group
+makes small differences count, but not one odd line or symbol.
 
 Defined cases: null or blank text has no words and fails the base rule; null lang or source
 is a group of its own; a group without a row that passes the base rules has no covariance
@@ -35,20 +36,22 @@ STEPS = 3
 PRIOR = 40
 #: The same for the mean.
 CENTRE = 2
-#: Scale below which a statistic's spread is taken as noise, and added to its variance.
-NOISE = (0.25, 0.05, 0.10, 0.20, 0.20)
+#: Independent units behind each statistic of a row. A share's root, or the log of a mean word length (words
+#: spread by about half their mean), has the sampling variance 1 / (4 units). Symbols and capitals come by
+#: words, and a repeat covers two windows of words at least.
+UNITS = ("n_words", "n_words", "n_words", "n_lines", f"n_words / {2 * WINDOW}")
 #: 1 / P(chi2 with p + 2 degrees <= the SUPPORT quantile of chi2 with p) x SUPPORT, for p = 5.
 CONSISTENCY = 1.41
 #: The 0.9999 quantile of chi-square with five degrees of freedom.
 CUTOFF = 25.7
-P = len(NOISE)
+P = len(UNITS)
 XS = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 MS, CS = [f"m{i}" for i in range(P)], [f"c{i}{j}" for i, j in PAIRS]
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, the four base counts, base_failed and the vector x0..x4."""
+    """docs with n_words, n_lines, the four base counts, base_failed and the vector x0..x4."""
     w = F.col("_w")
     at = lambda i: F.get(w, i)
     body = F.btrim(text_of(text), F.lit(SPACES))
@@ -69,7 +72,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     again = F.size(F.array_distinct("_grams")) < F.size("_grams")
     df = df.withColumns({
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_n_lines": F.size("_lines"),
+        "n_lines": F.size("_lines").cast("long"),
         "_pairs": F.when(again, F.array_sort(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
     })
     s = F.col("_pairs")
@@ -89,9 +92,9 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "x0": F.when(F.col("n_words") > 0, F.ln(F.col("word_chars") / F.col("n_words"))).otherwise(0.0),
         "x1": share(F.col("n_symbols"), F.col("word_chars")),
         "x2": share(F.col("_upper"), F.col("word_chars")),
-        "x3": share(F.col("n_dup_lines"), F.col("_n_lines")),
+        "x3": share(F.col("n_dup_lines"), F.col("n_lines")),
         "x4": share(F.col("n_repeat_words"), F.col("n_words")),
-    }).drop("_w", "_upper", "_lines", "_grams", "_n_lines", "_pairs", "_at")
+    }).drop("_w", "_upper", "_lines", "_grams", "_pairs", "_at")
 
 
 def _estimate(rows: DataFrame, near: Column, scale: float) -> DataFrame:
@@ -123,8 +126,9 @@ def _shrunk(raw: DataFrame, n: int) -> DataFrame:
 
 
 def _with_distance(df: DataFrame) -> DataFrame:
-    """df with `_d`, the squared Mahalanobis distance of x0..x4, by elimination in the covariance plus NOISE."""
-    df = df.withColumns({"_d": F.lit(0.0), **{f"v{i}": F.col(XS[i]) - F.col(f"m{i}") for i in range(P)}, **{f"c{i}{i}": F.col(f"c{i}{i}") + F.lit(NOISE[i] ** 2) for i in range(P)}})
+    """df with `_d`, the squared Mahalanobis distance of x0..x4, by elimination in the covariance plus the row's sampling noise."""
+    noise = [1 / (4 * F.greatest(F.expr(u).cast("double"), F.lit(0.1))) for u in UNITS]
+    df = df.withColumns({"_d": F.lit(0.0), **{f"v{i}": F.col(XS[i]) - F.col(f"m{i}") for i in range(P)}, **{f"c{i}{i}": F.col(f"c{i}{i}") + noise[i] for i in range(P)}})
     for j in range(P):
         part = lambda i, j=j: F.col(f"c{i}{j}") / F.col(f"c{j}{j}")
         new = {"_d": F.col("_d") + F.col(f"v{j}") * F.col(f"v{j}") / F.col(f"c{j}{j}")}
@@ -146,7 +150,7 @@ def fit(stats: DataFrame) -> tuple[DataFrame, int]:
     """
     lang, passed = F.concat(F.lit("l"), F.to_json(F.struct(F.col("lang")))), ~F.col("base_failed")
     levels = F.array(*[F.struct(g.alias("_g"), p.alias("_p")) for g, p in ((_group(), lang), (lang, F.lit("")), (F.lit(""), F.lit(None).cast("string")))])
-    rows = stats.select(F.explode(levels).alias("_k"), *[F.when(passed, F.col(x)).alias(x) for x in XS]).select("_k.*", *XS)
+    rows = stats.select(F.explode(levels).alias("_k"), "n_words", "n_lines", *[F.when(passed, F.col(x)).alias(x) for x in XS]).select("_k.*", "n_words", "n_lines", *XS)
     q = rows.groupBy("_g", "_p").agg(F.count(XS[0]).alias("_n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"_q{i}") for i, x in enumerate(XS)])
     spread = lambda i: (F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]) / 1.349
     raw = stored(q.select(
@@ -180,6 +184,6 @@ def score(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text", "lang", "source")
-    stats = stored(statistics(rows).select("_row", "lang", "source", "base_failed", *XS), "quality")
+    stats = stored(statistics(rows).select("_row", "lang", "source", "base_failed", "n_words", "n_lines", *XS), "quality")
     params, n = fit(stats)
     return judge(stats, params, n).where("kept").select("_row.*")

@@ -370,3 +370,14 @@ def test_quality_small_groups_are_judged_by_their_own_estimate(spark):
     assert sum(kept[1000 + i] for i in range(80)) >= 78 and not any(kept[2000 + i] for i in range(3))
     failed = quality.score(frame(spark, [*rows, (3000, "too short", "fr", None, 0)]).where("lang <> 'de'")).where("doc_id = 3000").first()
     assert not failed["kept"] and failed["distance"] is not None
+
+
+def test_quality_rejects_duplicate_lines_in_a_tight_group(spark):
+    rng = random.Random(12)
+    line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(4))
+    rows = [(i, "\n".join(line() for _ in range(30)), "en", "web", 0) for i in range(100)]
+    one = [line() for _ in range(30)]
+    rows += [(1000, "\n".join(x for _ in range(25) for x in ("log in now", line())), "en", "web", 0), (1001, "\n".join([*one, one[3]]), "en", "web", 0)]
+    got = {r["doc_id"]: r for r in quality.score(frame(spark, rows)).collect()}
+    assert not got[1000]["base_failed"] and not got[1000]["kept"] and got[1001]["kept"]
+    assert sum(got[i]["kept"] for i in range(100)) >= 99
