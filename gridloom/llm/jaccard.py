@@ -7,6 +7,10 @@ still meet are held against each other, but for the pairs that prefix filtering
 rarest shingles, the set sizes or parity bits prove dissimilar. So large groups of near copies cost a
 comparison a member, and no pair that the bands propose stays undecided.
 
+Links are counted after that: two linked texts are in one component, so the texts of each
+component are held against each other in blocks, by products of 0/1 matrices that give the
+sizes of all the intersections of two blocks. Only counts leave a block pair.
+
 Defined cases: null or blank text has no shingles and links to nothing, its class is its
 own id; a text under five words is one shingle; rows that repeat a doc_id count as one
 document; a row without doc_id takes the class of its text if another row has that text.
@@ -21,6 +25,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +40,10 @@ RECALL = 0.9999
 MOST_HASHES = 128
 #: Words of 64 bits in which a shingle set's parities are kept.
 PARITY = 16
+#: Texts and shingles of a component that a block holds on average; columns of a block that are multiplied at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 500, 1_000_000, 4096
+#: Shingles of small components that are counted in one task's group.
+PACK_SHINGLES = 2_000_000
 
 
 def bands_and_rows(similar: float = SIMILAR, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -179,21 +188,82 @@ def links(docs: DataFrame, similar: float = SIMILAR, k: int = WORDS, recall: flo
     return signed, reps, edges
 
 
+def _similar(left: list[np.ndarray], right: list[np.ndarray], similar: float) -> np.ndarray:
+    """Which sets of left and right (sorted hashes) have a Jaccard similarity of at least similar, as a matrix."""
+    n, m = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    at, row = [np.searchsorted(both, x) for x in (a, b)], [np.repeat(np.arange(len(k)), k) for k in (n, m)]
+    hit = [np.isin(x, both) for x in (a, b)]
+    common = np.zeros((len(n), len(m)), np.float64)
+    for c in range(0, len(both), COLUMNS):
+        part = []
+        for x, r, h, k in zip(at, row, hit, (len(n), len(m)), strict=True):
+            some = h & (x >= c) & (x < c + COLUMNS)
+            dense = np.zeros((k, min(COLUMNS, len(both) - c)), np.float32)
+            dense[r[some], x[some] - c] = 1
+            part.append(dense)
+        common += part[0] @ part[1].T
+    return common / np.maximum(1, n[:, None] + m[None, :] - common) >= similar
+
+
+def _counter(similar: float, k: int):
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        hashes, out = WordHashes(), []
+        for _, some in rows.groupby("comp"):
+            reps, block = some["rep"].to_numpy(), some["block"].to_numpy()
+            sets = [np.unique(shingles(hashes.of(bytes(t).split()), k)) for t in some["text"]]
+            low, high = np.flatnonzero(block == some["x"].iloc[0]), np.flatnonzero(block == some["y"].iloc[0])
+            if not len(low) or not len(high):
+                continue
+            near = _similar([sets[i] for i in low], [sets[i] for i in high], similar)
+            out.append(pd.DataFrame({"rep": reps[low], "n_links": near.sum(1)}))
+            if some["x"].iloc[0] == some["y"].iloc[0]:
+                out[-1]["n_links"] -= 1  # itself
+            else:
+                out.append(pd.DataFrame({"rep": reps[high], "n_links": near.sum(0)}))
+        return pd.concat(out).astype("int64") if out else pd.DataFrame({"rep": [], "n_links": []}, dtype="int64")
+
+    return count
+
+
+def degrees(nodes: DataFrame, docs: DataFrame, similar: float = SIMILAR, k: int = WORDS) -> DataFrame:
+    """rep and n_links, the number of similar texts in its component, of nodes (rep, comp, n).
+
+    A component of more than a block is dealt in blocks by hash, each pair of which is a group
+    of its own; smaller components share groups.
+    """
+    size = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_s"))
+    blocks = F.ceil(F.greatest(F.col("_k") / BLOCK, F.col("_s") / BLOCK_SHINGLES)).cast("int")
+    size = stored(size.select("comp", blocks.alias("blocks"), F.col("_s").alias("s")), "sizes")
+    total = size.where("blocks = 1").agg(F.sum("s")).first()[0] or 0
+    dealt = nodes.join(size, "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("pack", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(total // PACK_SHINGLES + 1))).otherwise(F.col("comp")))
+    dealt = stored(dealt.select("rep", "comp", "block", "blocks", "pack"), "dealt")
+    some = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
+    some = some.join(sized_broadcast(dealt, dealt.count()), "rep").dropDuplicates(["rep"])
+    pairs = some.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("rep", "comp", "block", "pack", (F.col("blocks") > 1).alias("big"), F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "text")
+    counted = pairs.groupBy("big", "pack", "x", "y").applyInPandas(_counter(similar, k), "rep long, n_links long")
+    return counted.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+
+
 def classes(docs: DataFrame, similar: float = SIMILAR, k: int = WORDS, recall: float = RECALL) -> DataFrame:
     """One row a document: doc_id, class_id (smallest id of its component) and n_links.
 
-    n_links counts the decided links between its text and other texts: every text of a
-    class has at least one, and copies of a text share them.
+    n_links is the number of other texts to which its text is similar; copies of a text share it.
     """
     signed, reps, edges = links(docs, similar, k, recall)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    comp = components(edges).withColumnRenamed("node", "rep")
-    named = reps.select("tk", "rep").join(degree.join(comp, "rep"), "rep", "left")
+    comp = stored(components(edges).withColumnRenamed("node", "rep"), "comp")
+    degree = degrees(reps.select("rep", "n").join(comp, "rep"), docs, similar, k)
+    named = reps.select("tk", "rep").join(comp.join(degree, "rep"), "rep", "left")
     out = signed.select("doc_id", "tk").join(named, "tk", "left")
     return out.select("doc_id", F.coalesce("comp", "rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs but those whose class has a smaller doc_id."""
-    gone = stored(classes(docs).where("class_id < doc_id").select("doc_id").distinct(), "gone")
+    signed, reps, edges = links(docs)
+    named = reps.select("tk", "rep").join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").select("tk", F.coalesce("comp", "rep").alias("class_id"))
+    gone = stored(signed.select("doc_id", "tk").join(named, "tk").where("class_id < doc_id").select("doc_id").distinct(), "gone")
     return docs.join(sized_broadcast(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)

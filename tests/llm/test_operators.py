@@ -381,3 +381,17 @@ def test_quality_rejects_duplicate_lines_in_a_tight_group(spark):
     got = {r["doc_id"]: r for r in quality.score(frame(spark, rows)).collect()}
     assert not got[1000]["base_failed"] and not got[1000]["kept"] and got[1001]["kept"]
     assert sum(got[i]["kept"] for i in range(100)) >= 99
+
+
+@pytest.mark.parametrize("block", [500, 20])
+def test_jaccard_counts_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = near_group()
+    s = {t: sets(t) for _, t, *_ in rows}
+    want = {i: sum(t != u and len(s[t] & s[u]) >= 0.8 * len(s[t] | s[u]) for u in s) for i, t, *_ in rows}
+    df = frame(spark, rows)
+    nodes = df.groupBy("text").agg({"doc_id": "min"}).selectExpr("`min(doc_id)` as rep", "1L as comp", "146 as n")
+    got = {r["rep"]: r["n_links"] for r in jaccard.degrees(nodes, df).collect()}
+    assert got and got == {i: want[i] for i in got} and max(got.values()) > 5
+    if block == 20:
+        assert {r["doc_id"]: r["n_links"] for r in jaccard.classes(df).collect()} == want
