@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow lookup is broadcast; beyond, joins shuffle.
+#: Rows up to which a narrow lookup (a few numbers or ids a row) is broadcast, about 64 MB; beyond, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -16,8 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/gridloom-checkpoints").rstrip("/")
+    """spark.checkpoint.dir; where it is unset, a folder of our own, in local mode only: executors elsewhere couldn't read it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "/tmp/gridloom-checkpoints"
+    return found.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ def second_grid(spark: SparkSession, sf_dir: str, value: str = "w") -> DataFrame
     return g.withColumn(value, F.when((F.col("row") + F.col("col")) % 7 != 0, F.col(value)))
 
 
-GRID_SQL = "G AS (SELECT vec_id AS row, label, (u.i - 1)::INTEGER AS col, embedding[u.i]::DOUBLE AS v FROM embeddings, unnest(range(1, 65)) AS u(i))"
+GRID_SQL = "G AS (SELECT vec_id AS row, label, unnest(range(0, 64))::INTEGER AS col, unnest(embedding)::DOUBLE AS v FROM embeddings)"
 SECOND_SQL = "G2 AS (SELECT row, (63 - col)::INTEGER AS col, CASE WHEN (row + 63 - col) % 7 <> 0 THEN v END AS w FROM G)"
 
 
