@@ -1,44 +1,30 @@
-"""Helpers that several operators share: shared-folder tables, row keys, sized broadcasts."""
+"""Helpers that several operators share: word patterns, sized broadcasts, rows carried whole."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.sources.tables import BROADCAST_ROWS, sized_broadcast, stored, table
+
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "SPACES", "WORD_GAP", "byte_sized_broadcast", "sized_broadcast", "stored", "table", "text_of", "whole_rows"]
+
 #: Words of the removal and near-duplicate operators: runs of anything but these bytes.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
-
-#: Rows up to which a narrow lookup (a few numbers or ids a row) is broadcast: about 64 MB.
-BROADCAST_ROWS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/gridloom-checkpoints").rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here.
-
-    A lost executor then costs a re-read, not the work that led up to it, and later steps
-    read only the columns they use.
-    """
-    path = f"{shared_dir(df.sparkSession)}/gridloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes of values up to which a lookup with texts or arrays is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
-def sized_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few enough rows, else unchanged: Spark shuffles it."""
-    return F.broadcast(df) if rows <= most else df
+def byte_sized_broadcast(df: DataFrame, size: int) -> DataFrame:
+    """df with a broadcast hint if its values have few enough bytes, else unchanged: Spark shuffles it."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """`_row` (all of docs' columns), doc_id and th, the hash of text: no column of docs can clash with an operator's own."""
+    return docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("th"))

@@ -12,16 +12,16 @@ component are held against each other in blocks, by products of 0/1 matrices tha
 sizes of all the intersections of two blocks. Only counts leave a block pair.
 
 Defined cases: null or blank text has no shingles and links to nothing, its class is its
-own id; a text under five words is one shingle; rows that repeat a doc_id count as one
-document; a row without doc_id takes the class of its text if another row has that text.
-Other columns are carried only by `keep`.
+own id; a text under five words is one shingle, a text of any length counts whole; rows that
+repeat a doc_id count as one document; a row without doc_id takes the class of its text if
+another row has that text; pairs at exactly the similarity are linked; an empty table gives an
+empty result. Other columns are carried only by `keep`, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import sized_broadcast, stored
-from gridloom.llm.components import components
+from gridloom.operators.components import components
 from gridloom.llm.words import WordHashes, mixed, rows_of, shingles, texts
 
 WORDS = 5
@@ -41,9 +41,11 @@ MOST_HASHES = 128
 #: Words of 64 bits in which a shingle set's parities are kept.
 PARITY = 16
 #: Texts and shingles of a component that a block holds on average; columns of a block that are multiplied at once.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 500, 1_000_000, 4096
+BLOCK, BLOCK_SHINGLES, COLUMNS = 500, 500_000, 2048
 #: Shingles of small components that are counted in one task's group.
-PACK_SHINGLES = 2_000_000
+PACK_SHINGLES = 1_000_000
+#: Pieces in which the partners of one text are verified at most; holders of one shingle that meet in one task.
+PIECES, HOLDERS = 256, 2000
 
 
 def bands_and_rows(similar: float = SIMILAR, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -93,35 +95,40 @@ def _signer(k: int, bands: int, rows: int):
 
 def _verifier(k: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = WordHashes(), OrderedDict()
-
-        def shingle_set(i: int, text: bytes) -> np.ndarray:
-            if (i, len(text)) not in known:
-                known[i, len(text)] = np.unique(shingles(hashes.of(text.split()), k))
-                if len(known) > 200:
-                    known.popitem(last=False)
-            return known[i, len(text)]
-
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("ta", "tb"))
-            out = np.zeros(len(a))
-            for i in range(len(a)):
-                x, y = shingle_set(a[i], ta[i]), np.unique(shingles(hashes.of(tb[i].split()), k))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out[i] = both / max(1, len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], names=["a", "b", "jaccard"])
+        """Rows come by (a, piece), the text of a before those of its partners."""
+        hashes, now, leads = WordHashes(), None, []
+        for whole in batches:
+            for batch in rows_of(whole):
+                out: tuple[list, ...] = ([], [], [])
+                for a, piece, b, t in zip(*(batch.column(c).to_pylist() for c in ("a", "piece", "b")), texts(batch), strict=True):
+                    x = np.unique(shingles(hashes.of(t.split()), k))
+                    if (a, piece) != now:
+                        now, leads = (a, piece), []
+                    if b is None:
+                        leads.append(x)
+                        continue
+                    both = [len(np.intersect1d(x, y, assume_unique=True)) for y in leads]
+                    out[0].append(a)
+                    out[1].append(b)
+                    out[2].append(max((n / max(1, len(x) + len(y) - n) for n, y in zip(both, leads, strict=True)), default=0.0))
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "jaccard"])
 
     return verify
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """pairs (a, b) with the Jaccard similarity of their full shingle sets; texts travel only for documents in pairs."""
-    pairs = stored(pairs, "pairs")
+    """pairs (a, b) with the Jaccard similarity of their full shingle sets.
+
+    Texts travel only for documents in pairs. The partners of a are dealt in at most PIECES
+    pieces, for each of which the text of a travels once; a piece is streamed, not gathered.
+    """
+    pairs = stored(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(PIECES)).cast("int").alias("piece")), "pairs")
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    some = docs.select("doc_id", "text").where("text is not null").join(sized_broadcast(ids, ids.count()), "doc_id", "left_semi")
-    joined = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return stored(joined.mapInArrow(_verifier(k), "a long, b long, jaccard double"), "verified").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(sized_broadcast(ids, ids.count()), "doc_id", "left_semi")
+    leads = pairs.select("a", "piece").distinct().join(some.withColumnRenamed("doc_id", "a"), "a").select("a", "piece", F.lit(None).cast("long").alias("b"), "text")
+    rows = leads.union(pairs.join(some.withColumnRenamed("doc_id", "b"), "b").select("a", "piece", "b", "text"))
+    rows = rows.repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("b").asc_nulls_first())
+    return stored(rows.mapInArrow(_verifier(k), "a long, b long, jaccard double"), "verified").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def _lister(k: int):
@@ -158,11 +165,16 @@ def _prefix_pairs(nodes: DataFrame, docs: DataFrame, similar: float, k: int) ->
     rare = ranked.select("rep", "comp", "tk", "n", F.posexplode(F.slice("g", F.lit(1), length)).alias("at", "g")).where("g.met")
     bits = [F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)]
     rare = stored(rare.select("rep", "comp", "tk", "n", "at", "g.gram").join(sets.select("rep", "tk", *bits), ["rep", "tk"]), "rare")
-    p, q = rare.alias("p"), rare.alias("q")
+    # a gram with many holders is met in several tasks: its holders are dealt by hash on one side and repeated on the other
+    hot = rare.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / HOLDERS).cast("int").alias("salts")).where("salts > 1")
+    hot = stored(hot, "hot")
+    rare = rare.join(sized_broadcast(hot, hot.count()), "gram", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    p = rare.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).alias("p")
+    q = rare.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("q")
     both = F.col("p.n") + F.col("q.n")
     need = both * (similar / (1 + similar)) - 1e-6
     apart = sum((F.bit_count(F.col(f"p.p{i}").bitwiseXOR(F.col(f"q.p{i}"))) for i in range(1, PARITY)), F.bit_count(F.col("p.p0").bitwiseXOR(F.col("q.p0"))))
-    near = (F.col("p.gram") == F.col("q.gram")) & (F.col("p.comp") != F.col("q.comp")) & (F.col("p.rep") < F.col("q.rep"))
+    near = (F.col("p.gram") == F.col("q.gram")) & (F.col("p.salt") == F.col("q.salt")) & (F.col("p.comp") != F.col("q.comp")) & (F.col("p.rep") < F.col("q.rep"))
     near = near & (F.col("p.n") - F.col("p.at") >= need) & (F.col("q.n") - F.col("q.at") >= need) & (apart <= both - 2 * need)
     return p.join(q, near).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
 
@@ -257,7 +269,8 @@ def classes(docs: DataFrame, similar: float = SIMILAR, k: int = WORDS, recall: f
     comp = stored(components(edges).withColumnRenamed("node", "rep"), "comp")
     degree = degrees(reps.select("rep", "n").join(comp, "rep"), docs, similar, k)
     named = reps.select("tk", "rep").join(comp.join(degree, "rep"), "rep", "left")
-    out = signed.select("doc_id", "tk").join(named, "tk", "left")
+    key = F.coalesce("tk", F.unhex(F.hex(F.xxhash64("doc_id"))))  # texts without words have no class to meet: they are spread
+    out = signed.select("doc_id", key.alias("tk")).join(named, "tk", "left")
     return out.select("doc_id", F.coalesce("comp", "rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Words that a worker remembers; beyond it the memory is emptied.
-REMEMBERED = 400_000
+#: Words that a worker remembers (about 20 MB); beyond it the memory is emptied.
+REMEMBERED = 100_000
 
 
 class WordHashes(dict):
@@ -50,12 +51,11 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return rolling(h, min(k, len(h))) if len(h) else h
 
 
-def rows_of(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of batch whose `text` has about `most` bytes; a longer text stands alone."""
-    text = batch.column("text")
-    size = np.cumsum(np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)[1:] - np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text)].astype(np.int64)) if pa.types.is_string(text.type) and len(text) else np.arange(1, len(text) + 1) * 4096
+def rows_of(batch: pa.RecordBatch, most: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of batch whose texts have about `most` bytes; a longer text stands alone."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
-    while at < len(text):
+    while at < len(size):
         before = size[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
         yield batch.slice(at, to - at)
