@@ -13,9 +13,14 @@ steps, each a shuffle over narrow rows:
    automata has to be sent to every executor.
 3. The verdicts return to the documents, windows merge to maximal spans, words are cut.
 
+An anchor with more than `HOT` distinct contexts (a phrase in a footer that very many documents
+have) is split by content: its contexts' windows are held one by one, with the same result.
+
 Equal word sequences are one node: of them only the smallest id takes part, the others are
 removed whole. Defined cases: null text has no words; a document without id neither removes
-nor loses words; repeated ids are told apart by their words and don't remove each other.
+nor loses words; ids may be any 64-bit integers; repeated ids are told apart by their words and
+don't remove each other; an empty table gives an empty result; texts of any length are read
+whole; other columns are carried only by `keep`, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import sized_broadcast, stored
+from gridloom.llm.common import sized_broadcast, stored, whole_rows
 from gridloom.llm.words import WordHashes, rolling, rows_of, texts
 
 WINDOW = 13
 GRAM = 5
-#: Distinct contexts a shard holds on average: about 50 MB as an automaton.
-SHARD = 6_000
+#: Least id of words that no reference holds: no id is greater.
+NO_ID = (1 << 63) - 1
+#: Distinct contexts a shard holds on average, about 25 MB as an automaton, and those of one anchor from which it is split.
+SHARD, HOT = 3_000, 1_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -107,13 +114,13 @@ class SuffixAutomaton:
 
     def __init__(self) -> None:
         self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length, self.least = [-1], [0], [1 << 62]
+        self.link, self.length, self.least = [-1], [0], [NO_ID]
 
     def _state(self, length: int, link: int, nxt: dict[bytes, int]) -> int:
         self.next.append(nxt)
         self.link.append(link)
         self.length.append(length)
-        self.least.append(1 << 62)
+        self.least.append(NO_ID)
         return len(self.next) - 1
 
     def _split(self, p: int, w: bytes, q: int) -> int:
@@ -153,7 +160,7 @@ class SuffixAutomaton:
                 least[p] = least[v]
 
     def least_ids(self, words: list[bytes], window: int) -> list[int]:
-        """For every window of words, the smallest id at which the automaton holds it; 1 << 62 if it doesn't."""
+        """For every window of words, the smallest id at which the automaton holds it; NO_ID if it doesn't."""
         nxt, link, length = self.next, self.link, self.length
         v, n, out = 0, 0, []
         for j, w in enumerate(words):
@@ -166,7 +173,7 @@ class SuffixAutomaton:
                 v = link[v]
                 n = length[v]
             if j >= window - 1:
-                out.append(self.least[v] if n >= window else 1 << 62)
+                out.append(self.least[v] if n >= window else NO_ID)
         return out
 
 
@@ -220,15 +227,33 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     some = docs.where("text is not null").join(sized_broadcast(ids, cand.count()), "doc_id", "left_semi")
     ctx = stored(some.join(cand.groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("anchors")), "doc_id").mapInArrow(_surrounder(window), "anchor long, ck long, ctx binary, doc_id long, th long, start int"), "contexts")
     lone = stored(ctx.groupBy("anchor", "ck", "ctx").agg(F.min("doc_id").alias("low")), "lone")
+    hot = stored(lone.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor"), "hot")
+    n_hot = hot.count()
+    cold = lone.join(sized_broadcast(hot, n_hot), "anchor", "left_anti")
     shards = max(1, lone.count() // SHARD)
-    least = lone.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_matcher(window), "anchor long, ck long, least array<long>")
+    least = cold.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_matcher(window), "anchor long, ck long, least array<long>")
     hit = ctx.select("anchor", "ck", "doc_id", "th", "start").join(least, ["anchor", "ck"])
     starts = F.transform(F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), i)), lambda i: i.isNotNull()), lambda i: i + F.col("start"))
     hit = hit.select("doc_id", "th", starts.alias("at")).where(F.size("at") > 0)
+    if n_hot:
+        hit = hit.union(_of_hot_anchors(ctx.join(sized_broadcast(hot, n_hot), "anchor", "left_semi"), window))
     at = stored(hit.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("at")).alias("at")), "spans")
     return read, several, _cut(docs, at, at.count(), window)
 
 
+def _of_hot_anchors(ctx: DataFrame, window: int) -> DataFrame:
+    """doc_id, th and at, the starts of windows that smaller ids hold, among the contexts of anchors that too many share.
+
+    Such contexts are split by content: each of their windows is a reference of its own, held
+    by its smallest id, so what meets in a task is one row a distinct window.
+    """
+    w = F.split(F.col("ctx").cast("string"), " ", -1)
+    wins = F.transform(F.sequence(F.lit(0), F.size("w") - window), lambda i: F.struct((F.col("start") + i).alias("at"), F.md5(F.array_join(F.slice("w", i + 1, window), " ").cast("binary")).alias("win")))
+    rows = ctx.withColumn("w", w).select("doc_id", "th", F.explode(wins).alias("x")).select("doc_id", "th", "x.*")
+    first = rows.groupBy("win").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+    return rows.join(first, "win").where("low < doc_id").groupBy("doc_id", "th").agg(F.collect_list("at").alias("at"))
+
+
 def _cut(docs: DataFrame, at: DataFrame, n: int, window: int) -> DataFrame:
     some = docs.where("text is not null").join(sized_broadcast(at.select("doc_id").distinct(), n), "doc_id", "left_semi")
     return some.join(at, ["doc_id", "th"]).mapInArrow(_cutter(window), "doc_id long, th long, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["doc_id", "th"])
@@ -256,11 +281,11 @@ def keep(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spent = cut.join(read.select("doc_id", "th", "n_words").distinct(), ["doc_id", "th"]).where("n_removed = n_words")
     other = stored(cut.select("doc_id", "th").union(copies.select("doc_id", "th")).union(spent.select("doc_id", "th")).distinct(), "changed")
     n = other.count()
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
+    rows = whole_rows(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     same = rows.join(sized_broadcast(other, n), ["doc_id", "th"], "left_anti").select("_row.*")
     left = cut.join(spent.select("doc_id", "th"), ["doc_id", "th"], "left_anti")
-    less = rows.join(sized_broadcast(left.select("doc_id", "th"), n), ["doc_id", "th"], "left_semi").join(left, ["doc_id", "th"]).select("_row.*", F.col("kept_text").alias("_kept"))
-    less = less.withColumn("text", F.col("_kept"))
+    less = rows.join(sized_broadcast(left.select("doc_id", "th"), n), ["doc_id", "th"], "left_semi").join(left, ["doc_id", "th"])
+    row = F.col("_row").withField("text", F.col("kept_text"))
     if "n_chars" in docs.columns:
-        less = less.withColumn("n_chars", F.length("_kept").cast(docs.schema["n_chars"].dataType))
-    return same.unionByName(less.drop("_kept"))
+        row = row.withField("n_chars", F.length("kept_text").cast(docs.schema["n_chars"].dataType))
+    return same.unionByName(less.select(row.alias("_row")).select("_row.*"))
