@@ -6,13 +6,16 @@ alike, so a shared window always shares a fingerprint. Documents' distinct finge
 those of the benchmark; only in documents that share one are the windows at the shared
 fingerprints spelled out and matched as text, which extends every hit and drops chance ones.
 
+All texts are read, split and hashed once; only those that share a fingerprint are read again.
 Items of fewer than WINDOW words have each their own length: a fingerprint for such a length
-is the hash of the whole run. The benchmark side is broadcast while its counted rows are few
-and is shuffled otherwise.
-
-Defined cases: null text and text without words has no words, and is not contaminated; null
-item ids take part in hits but are not listed; rows are told apart by doc_id and the hash of
-their text, so repeated rows have equal results; other columns are carried only by `keep`.
+is the hash of the whole run. The benchmark side is broadcast while its counted rows and bytes
+are few and is shuffled otherwise.
+
+Defined cases: null text and text without words has no words, and is not contaminated; an empty
+benchmark or documents table gives no hits or no rows; equal items are both listed; texts of any
+length are read whole; null item ids take part in hits but are not listed; rows are told apart
+by doc_id and the hash of their text, so repeated rows have equal results; other columns are
+carried only by `keep`, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import sized_broadcast, stored, text_of
+from gridloom.llm.common import byte_sized_broadcast, sized_broadcast, stored, text_of, whole_rows
 
 WINDOW = 10
 GRAM = 5
@@ -71,26 +74,26 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     wins = F.flatten(F.array(*[F.when((F.size("_w") == n) | F.lit(n == WINDOW), _windows(n)).otherwise(F.array().cast("array<struct<len:int,start:int,win:string,fp:bigint>>")) for n in lengths])) if lengths else F.array().cast("array<struct<len:int,start:int,win:string,fp:bigint>>")
     spelled = stored(bench.select("item", F.explode(wins).alias("x")).groupBy("x.len", "x.win", "x.fp").agg(F.array_sort(F.collect_set("item")).alias("items")), "windows")
     prints = spelled.select("fp").distinct()
-    n_wins = spelled.count()
+    n_wins, n_bytes = spelled.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("win") + F.octet_length(F.array_join("items", "    ")) + 32), F.lit(0))).first()
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    seen = _fingerprints(rows.withColumn("_w", words()), lengths)
     every = F.array_distinct(F.concat(*[F.array_distinct(f"_f{n}") for n in lengths])) if lengths else F.array().cast("array<bigint>")
-    met = seen.select("doc_id", "th", F.explode(every).alias("fp")).join(sized_broadcast(prints, n_wins), "fp")
-    met = stored(met.groupBy("doc_id", "th").agg(F.collect_set("fp").alias("_met")), "met")
-    key = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
-    joined = rows.join(sized_broadcast(met.withColumnRenamed("doc_id", "_d").withColumnRenamed("th", "_t"), met.count()), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
-    joined = _fingerprints(joined.select("doc_id", "th", "_met", words().alias("_w")), lengths)
-    none = F.array().cast("array<struct<len:int,start:int,win:string,fp:bigint>>")
-    own = F.when(F.col("_met").isNotNull(), F.flatten(F.array(*[_windows(n, F.col("_met")) for n in lengths]))).otherwise(none) if lengths else none
-    read = stored(joined.select("doc_id", "th", F.size("_w").cast("long").alias("n_words"), own.alias("own")), "candidates")
-    same = read.where(F.size("own") > 0).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", F.explode("own").alias("x")).select("doc_id", "th", "x.*")
-    found = same.join(sized_broadcast(spelled.drop("fp"), n_wins), ["len", "win"])
-    found = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "len")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"))
+    read = stored(_fingerprints(rows.withColumn("_w", words()), lengths).select("doc_id", "th", F.size("_w").cast("long").alias("n_words"), every.alias("fps")), "prints")
+    met = read.select("doc_id", "th", F.explode("fps").alias("fp")).join(sized_broadcast(prints, n_wins), "fp")
+    met = stored(met.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set("fp").alias("_met")), "met")
+    met_bytes = met.agg(F.coalesce(F.sum(8 * F.size("_met") + 48), F.lit(0))).first()[0]
+    same = lambda a: F.col(f"{a}doc_id").eqNullSafe(F.col("_d")) & (F.col(f"{a}th") == F.col("_t"))
+    some = rows.where("text is not null").join(byte_sized_broadcast(met, met_bytes), same("")).dropDuplicates(["doc_id", "th"])
+    some = _fingerprints(some.select("doc_id", "th", "_met", words().alias("_w")), lengths)
+    if lengths:
+        own = some.select("doc_id", "th", F.explode(F.flatten(F.array(*[_windows(n, F.col("_met")) for n in lengths]))).alias("x")).select("doc_id", "th", "x.*")
+    else:
+        own = some.select("doc_id", "th", F.lit(0).alias("len"), F.lit(0).alias("start"), F.lit("").alias("win"), F.lit(0).cast("long").alias("fp"))
+    found = own.join(byte_sized_broadcast(spelled.drop("fp"), n_bytes), ["len", "win"])
+    found = found.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("start", "len")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))))
-    found = found.select("doc_id", "th", covered.cast("long").alias("n_hit"), "ids")
-    base, found = read.select("doc_id", "th", "n_words").alias("b"), found.alias("f")
-    out = base.join(found, key({c: F.col(f"b.{c}") for c in ("doc_id", "th")}, {c: F.col(f"f.{c}") for c in ("doc_id", "th")}), "left")
-    return out.select("b.doc_id", "b.th", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+    found = found.select("_d", "_t", covered.cast("long").alias("n_hit"), "ids")
+    out = read.select("doc_id", "th", "n_words").join(found, same(""), "left")
+    return out.select("doc_id", "th", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -100,6 +103,7 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark window."""
+    """The rows of docs that hold no benchmark window, with all their columns."""
     gone = stored(hits(docs, items).where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct(), "leaks")
-    return docs.join(sized_broadcast(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left_anti")
+    rows = whole_rows(docs)
+    return rows.join(sized_broadcast(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left_anti").select("_row.*")
