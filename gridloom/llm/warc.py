@@ -7,23 +7,31 @@ URI and date, and its payload digest; block digests are of the derived blocks. D
 `sha1:` and base32, as WARC writers give them. Ids are made from the digest of the source
 id, so that a job run again makes the same records.
 
-Everything is DataFrame code in one pass without a shuffle: records never meet.
+One pass without a shuffle: records never meet. Pages are described over Arrow batches, ids,
+digests, headers and JSON are DataFrame code.
 
-Defined cases: null html is an empty payload with empty text and no links; a null url leaves
-the target URI header out; equal rows give equal records; text between tags that never close
-stays; other columns are not carried.
+Defined cases: null html is an empty payload with empty text and no links, pages of any length
+are read whole; a null url leaves the target URI header out; equal rows give equal records; an
+empty table gives none; text between tags that never close stays; character references are
+resolved once, as HTML names them; other columns are carried only when named, under any name.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gridloom.llm.words import rows_of
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
-#: Named character references that are resolved, `amp` last.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·", "mdash": "—", "ndash": "–", "hellip": "…", "laquo": "«", "raquo": "»", "amp": "&"}
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -41,30 +49,33 @@ def record_id(*of: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), cut[0], F.lit("-"), cut[1], F.lit("-5"), cut[2], F.lit("-a"), cut[3], F.lit("-"), cut[4], F.lit(">"))
 
 
-def resolved(text: Column) -> Column:
-    """text with numeric and the common named character references resolved."""
-    number = lambda x: F.when(F.substring(x, 1, 1).isin("x", "X"), F.conv(F.substring(x, 2, 8), 16, 10)).otherwise(x).cast("bigint")
-    valid = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
-    char = lambda x: F.decode(F.unhex(F.lpad(F.hex(number(x)), 8, "0")), "UTF-32")
-    codes = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(x[0-9A-Fa-f]{1,6}|X[0-9A-Fa-f]{1,6}|[0-9]{1,7});"), F.lit(1))), lambda x: valid(number(x)))
-    out = F.when(F.contains(text, F.lit("&#")), F.aggregate(codes, text, lambda t, x: F.replace(t, F.concat(F.lit("&#"), x, F.lit(";")), char(x)))).otherwise(text)
-    for name, value in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
-    return out
+_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>")
+_TAG = re.compile(rf"(?i)(<(?:/?(?:{BLOCKS})\b|!doctype)[^>]*>)|</?[A-Za-z][^>]*>")
+_SPACE, _BREAK = re.compile("[ \t\x0B\f\r\xa0]+"), re.compile(" ?\n[ \n]*")
+_LINK = re.compile(r"""(?is)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""")
+_TITLE, _LANG = re.compile(r"(?is)<title[^>]*>(.*?)</title>"), re.compile(r"""(?i)<html[^>]*?\slang\s*=\s*["']?([A-Za-z-]+)""")
+
+
+def visible(shown: str) -> str:
+    """The text that a reader sees in a page without its hidden parts: a line for each block, references resolved once."""
+    text = unescape(_TAG.sub(lambda m: "\n" if m[1] else "", shown))
+    return _BREAK.sub("\n", _SPACE.sub(" ", text)).strip(" \n")
 
 
-def visible(html: Column) -> Column:
-    """The text that a reader sees: no comments, scripts or styles, a line for each block."""
-    t = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", "")
-    t = F.regexp_replace(t, rf"(?i)<(?:/?(?:{BLOCKS})\b|!doctype)[^>]*>", "\n")
-    t = F.regexp_replace(t, r"</?[A-Za-z][^>]*>", "")
-    t = F.regexp_replace(resolved(t), "[ \\t\\x0B\\f\\r ]+", " ")
-    return F.btrim(F.regexp_replace(t, " ?\\n[ \\n]*", "\n"), F.lit(" \n"))
+def described(html: str) -> tuple[str, str, str | None, list[str]]:
+    """(visible text, title, language, links) of a page; comments, scripts and styles have no text or title."""
+    shown, lang = _HIDDEN.sub("", html), _LANG.search(html)
+    title = _TITLE.search(shown)
+    return visible(shown), unescape(title[1]).strip(" ") if title else "", lang[1] if lang else None, [unescape(x.strip("\"'")) for x in _LINK.findall(html)]
 
 
-def links(html: Column) -> Column:
-    found = F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(1))
-    return F.transform(found, lambda x: resolved(F.btrim(x, F.lit("\"'"))))
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        at = whole.schema.get_field_index("payload")
+        for batch in rows_of(whole, column="payload"):
+            found = [described(t) for t in batch.column(at).to_pylist()]
+            new = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "_text", "_title", "_lang", "_links"])
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -81,19 +92,18 @@ def derive(source: DataFrame, *carry: str) -> DataFrame:
     content_length, block_digest, payload_digest (the source's), block.
     """
     meta_id, conv_id = (record_id(F.lit(k), F.col("record_id")) for k in ("metadata", "conversion"))
-    df = source.select(*carry, "record_id", "target_uri", "date", "http", "payload").withColumns({
-        "_text": visible(F.col("payload")), "_links": links(F.col("payload")), "_pd": digest(F.col("payload")), "_m": meta_id, "_c": conv_id,
-        "_title": F.btrim(resolved(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title>", 1))),
-        "_lang": F.nullif(F.regexp_extract("payload", r"""(?i)<html[^>]*?\slang\s*=\s*["']?([A-Za-z-]+)""", 1), F.lit("")),
-    })
+    carried = [F.struct(*carry).alias("_carry")] if carry else []
+    rows = source.select(*carried, "record_id", "target_uri", "date", "http", "payload", digest(F.col("payload")).alias("_pd"), meta_id.alias("_m"), conv_id.alias("_c"))
+    new = T.StructType.fromDDL("_text string, _title string, _lang string, _links array<string>")
+    df = rows.mapInArrow(_describe, T.StructType(rows.schema.fields + new.fields))
     meta = F.to_json(F.struct(
         F.struct(F.col("record_id").alias("WARC-Record-ID"), F.col("target_uri").alias("WARC-Target-URI"), F.col("date").alias("WARC-Date"), F.col("_pd").alias("WARC-Payload-Digest")).alias("warc"),
         F.split("http", "\r\n").alias("http"), F.col("_title").alias("title"), F.col("_lang").alias("lang"), F.col("_links").alias("links"), F.col("_c").alias("conversion")))
     one = lambda kind, own, other, mime, block: F.struct(F.lit(kind).alias("type"), F.col(own).alias("record_id"), F.col(other).alias("concurrent_to"), F.lit(mime).alias("content_type"), block.alias("block"))
     both = F.array(one("metadata", "_m", "_c", "application/json", meta), one("conversion", "_c", "_m", "text/plain; charset=utf-8", F.col("_text")))
-    df = df.select(*carry, F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("_pd").alias("payload_digest"), F.explode(both).alias("r"))
+    df = df.select(*["_carry"] * bool(carry), F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("_pd").alias("payload_digest"), F.explode(both).alias("r"))
     return df.select(
-        *carry, "r.type", "r.record_id", "refers_to", "r.concurrent_to", "target_uri", "date", "r.content_type",
+        *["_carry.*"] * bool(carry), "r.type", "r.record_id", "refers_to", "r.concurrent_to", "target_uri", "date", "r.content_type",
         F.octet_length("r.block").cast("long").alias("content_length"), digest(F.col("r.block")).alias("block_digest"), "payload_digest", "r.block")
 
 
