@@ -8,8 +8,11 @@ of which those associated with toxicity in the sample get a weight; a word count
 Fitting reads at most about `TRAIN_ROWS` labelled documents, drawn by hash of their id.
 Every document is scored over its whole text.
 
-Defined cases: null text or text without words has no features and gets the grade that the
-thresholds alone give; labels without toxic are not learned from, a null quality counts as
+The labels know no severity but toxic and quality, so grade 2 stands for toxic documents of low
+quality; grade 0 is given exactly where `toxic` is false.
+
+Defined cases: null, empty or wordless text has no features and gets the grade that the
+thresholds alone give; texts of any length count whole; equal scores get equal grades; labels without toxic are not learned from, a null quality counts as
 good; repeated labels count each; with fewer than two grades among the labels there is
 nothing to tell apart and that grade (0 without labels) is given throughout; repeated rows
 are scored each; other columns are ignored.
@@ -30,12 +33,15 @@ from gridloom.llm.words import rows_of
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 18
-TRAIN_ROWS = 4000
+#: Most labelled rows, and bytes of their texts, that a fit reads; their features are what the driver gathers.
+TRAIN_ROWS, TRAIN_BYTES = 4000, 24 << 20
+#: Words that a worker remembers.
+REMEMBERED = 150_000
 GRADES = 3
 EPOCHS = 12
 #: Chi-square of a feature's presence against toxicity, below which it gets no weight.
 ASSOCIATED = 16.0
-#: P(grade > 0) from which a document counts as toxic.
+#: P(grade > 0) from which a document counts as toxic: missing one is worse than a false alarm. Among toxic grades the likeliest is given.
 TOXIC_AT = 0.2
 
 
@@ -134,7 +140,7 @@ def fit(grade: np.ndarray, start: np.ndarray, ids: np.ndarray, values: np.ndarra
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in rows_of(whole, 2 << 20):
+        for batch in rows_of(whole, 1 << 19):
             known = Words()
             row, ids, value = counted(batch.column("text").to_pylist(), known)
             f = np.array([features(w) for w in known.new], np.int32).reshape(-1, 3)
@@ -144,11 +150,15 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["grade", "ids", "values"])
 
 
-def train(docs: DataFrame, graded: DataFrame, rows: int = TRAIN_ROWS, grades: int = GRADES) -> OrdinalModel | int:
-    """Fit on graded (doc_id, grade) documents; a lone grade is returned as it is."""
+def train(docs: DataFrame, graded: DataFrame, rows: int = TRAIN_ROWS, grades: int = GRADES, size: int = TRAIN_BYTES) -> OrdinalModel | int:
+    """Fit on graded (doc_id, grade) documents; a lone grade is returned as it is.
+
+    Rows are drawn by hash of their id: the share of them of which about `rows` rows, and
+    `size` bytes if their texts are as long as those of docs on average, are read.
+    """
     graded = graded.where("doc_id is not null and grade is not null")
-    n = graded.count()
-    part = min(1.0, rows / n) if n else 1.0
+    n, mean = graded.count(), docs.agg(F.avg(F.octet_length("text"))).first()[0] or 0.0
+    part = min(1.0, rows / n, size / max(1.0, n * mean)) if n else 1.0
     some = graded.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < part * (1 << 40)).select("doc_id", F.col("grade").cast("int").alias("grade"))
     found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(_featurise, "grade int, ids array<int>, values array<float>").toArrow().combine_chunks()
     grade = found["grade"].to_numpy()
@@ -163,8 +173,8 @@ def _scorer(model: OrdinalModel):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, of_word = Words(), np.zeros(0)
         for whole in batches:
-            for batch in rows_of(whole, 2 << 20):
-                if known.n > 400_000:
+            for batch in rows_of(whole, 1 << 19):
+                if known.n > REMEMBERED:
                     known, of_word = Words(), np.zeros(0)
                 row, ids, value = counted(batch.column("text").to_pylist(), known)
                 if known.new:
@@ -172,9 +182,10 @@ def _scorer(model: OrdinalModel):
                     of_word = np.concatenate([of_word, model.weights[f].sum(1)])
                     known.new = []
                 p = model.grades(np.bincount(row, of_word[ids] * value, len(batch)))
-                severity = p @ np.arange(p.shape[1])
+                severity, toxic = p @ np.arange(p.shape[1]), 1 - p[:, 0] >= TOXIC_AT
+                grade = np.where(toxic, 1 + p[:, 1:].argmax(1), 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(severity), pa.array(p.argmax(1).astype(np.int32)), pa.array(1 - p[:, 0]), pa.array(1 - p[:, 0] >= TOXIC_AT)],
+                    [batch.column("doc_id"), pa.array(severity), pa.array(grade), pa.array(1 - p[:, 0]), pa.array(toxic)],
                     names=["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
     return score
