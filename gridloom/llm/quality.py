@@ -1,11 +1,14 @@
 """Quality rules: base counts, then robust multivariate outliers per language and source.
 
-Each document becomes a vector of five transformed statistics. Per (lang, source) group a
-minimum-covariance-determinant estimate is reached by concentration steps: keep the
-`SUPPORT` share of rows nearest to the present centre, take their mean and covariance,
-repeat. Rows whose squared Mahalanobis distance passes `CUTOFF` are rejected. All of it is
-DataFrame code: moments are partial aggregates, the Cholesky factor of each group's
-covariance is a handful of columns on one row a group.
+Each document becomes a vector of five transformed statistics. Per (lang, source) group the
+minimum-covariance-determinant estimate is sought by concentration steps from three starts:
+medians with quartile spreads, the rows within a box around these, and all rows. A step keeps
+the `SUPPORT` share of rows nearest to the present centre and takes their mean and covariance.
+After `FIRST_STEPS` steps each group goes on with the start of least determinant, until no
+group's determinant falls any more. Rows whose squared Mahalanobis distance passes `CUTOFF` are
+rejected. All of it is DataFrame code: moments are partial aggregates, quantiles come from
+counts of fine bins (the support ends with the bin that its last row lies in), and the Cholesky
+factor of each group's covariance is a handful of columns on one row a group.
 
 Every group has its own estimate, at every size: its mean and covariance are those of a
 normal-inverse-Wishart posterior whose prior is its language's estimate (and of that, the one
@@ -17,21 +20,30 @@ makes small differences count, but not one odd line or symbol.
 
 Defined cases: null or blank text has no words and fails the base rule; null lang or source
 is a group of its own; a group without a row that passes the base rules has no covariance
-and takes its prior; columns other than those named are carried only by `keep`, under their
-own names.
+and takes its prior, and a table without one has no estimate; an empty table gives an empty
+result; repeated rows count and are judged each; rows at equal distance are all in the support
+or all out of it; texts of any length are read whole; columns other than those named are
+carried only by `keep`, under their own names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.llm.common import SPACES, WORD_GAP, sized_broadcast, stored, text_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 SUPPORT = 0.75
-STEPS = 3
+#: Concentration steps from every start; most steps after them, and the fall of the log determinant that counts as one.
+FIRST_STEPS, MOST_STEPS, FALL = 2, 10, 1e-3
+STARTS = 3
+#: Bins of a unit of a statistic, and of a unit of the log of a squared distance, by which quantiles are counted.
+FINE, FINE_LOG = 4096, 512
+#: Added to each variance when determinants are compared: columns may be constant.
+RIDGE = 1e-6
 #: Rows that the language's estimate counts for in a group, and the one over all rows in a language.
 PRIOR = 40
 #: The same for the mean.
@@ -97,44 +109,53 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_w", "_upper", "_lines", "_grams", "_pairs", "_at")
 
 
-def _estimate(rows: DataFrame, near: Column, scale: float) -> DataFrame:
-    """Mean m and covariance c of the rows of each key `_g` that are near, with their number; nulls where there is none."""
-    at = lambda c: F.avg(F.when(near, c))
-    out = rows.groupBy("_g", "_p").agg(
-        F.count(F.when(near, F.col(XS[0]))).alias("_n"),
-        *[at(F.col(x)).alias(f"m{i}") for i, x in enumerate(XS)],
-        *[at(F.col(XS[i]) * F.col(XS[j])).alias(f"q{i}{j}") for i, j in PAIRS],
+# From here on the many expressions are SQL text, which Spark parses at once: they come to thousands of columns otherwise.
+
+
+def _moments(rows: DataFrame, near: str, scale: float) -> DataFrame:
+    """Mean m and covariance c of the rows of each key `_g` and start `_s` that are near, with their number; nulls where there is none."""
+    at = lambda c: f"avg(if({near}, {c}, null))"
+    out = rows.groupBy("_g", "_p", "_s").agg(
+        F.expr(f"count(if({near}, {XS[0]}, null)) as _n"),
+        *[F.expr(f"{at(x)} as m{i}") for i, x in enumerate(XS)],
+        *[F.expr(f"{at(f'{XS[i]} * {XS[j]}')} as q{i}{j}") for i, j in PAIRS],
     )
-    return out.select("_g", "_p", "_n", *MS, *[(scale * (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))).alias(f"c{i}{j}") for i, j in PAIRS])
+    return out.selectExpr("_g", "_p", "_s", "_n", *MS, *[f"{scale}D * (q{i}{j} - m{i} * m{j}) as c{i}{j}" for i, j in PAIRS])
 
 
 def _toward(own: DataFrame, prior: DataFrame, n: int) -> DataFrame:
     """own estimates shrunk towards those of their parents `_p` by n / (n + CENTRE) and n / (n + PRIOR)."""
-    before = prior.select(F.col("_g").alias("_p"), *[F.col(c).alias(f"_{c}") for c in (*MS, *CS)])
-    part = lambda c: F.col("_n") / (F.col("_n") + F.lit(float(c)))
-    mix = lambda c, w: F.coalesce(w * F.col(c), F.lit(0.0)) + (1 - w) * F.col(f"_{c}")
-    off = lambda i: F.coalesce(F.col(f"m{i}") - F.col(f"_m{i}"), F.lit(0.0))
-    return own.join(sized_broadcast(before, n), "_p").select(
-        "_g", "_p", "_n", *[mix(m, part(CENTRE)).alias(m) for m in MS], *[(mix(f"c{i}{j}", part(PRIOR)) + part(CENTRE) * CENTRE / (F.col("_n") + PRIOR) * off(i) * off(j)).alias(f"c{i}{j}") for i, j in PAIRS])
+    before = prior.selectExpr("_g as _p", "_s", *[f"{c} as _{c}" for c in (*MS, *CS)])
+    mix = lambda c, k: f"coalesce(_n / (_n + {k}D) * {c}, 0D) + (1 - _n / (_n + {k}D)) * _{c}"
+    off = lambda i: f"coalesce(m{i} - _m{i}, 0D)"
+    wider = f"_n / (_n + {CENTRE}D) * {CENTRE} / (_n + {PRIOR})"
+    return own.join(sized_broadcast(before, n), ["_p", "_s"]).selectExpr(
+        "_g", "_p", "_s", "_n", *[f"{mix(m, CENTRE)} as {m}" for m in MS], *[f"{mix(f'c{i}{j}', PRIOR)} + {wider} * {off(i)} * {off(j)} as c{i}{j}" for i, j in PAIRS])
 
 
 def _shrunk(raw: DataFrame, n: int) -> DataFrame:
-    """Estimates of groups, of languages and of all rows, each shrunk towards the next."""
+    """Estimates of groups, of languages and of all rows, each shrunk towards the next, with the log of their determinants `_det`."""
     every = raw.where("_p is null")
-    langs = _toward(raw.where("_p = ''"), every, 1)
-    return every.unionByName(langs).unionByName(_toward(raw.where("_p <> ''"), langs, n))
+    langs = _toward(raw.where("_p = ''"), every, n)
+    df = every.unionByName(langs).unionByName(_toward(raw.where("_p <> ''"), langs, n))
+    left = df.selectExpr("*", *[f"c{i}{j} + {RIDGE if i == j else 0.0} as l{i}{j}" for i, j in PAIRS])
+    for j in range(P - 1):
+        left = left.withColumns({f"l{i}{k}": F.expr(f"l{i}{k} - l{i}{j} * l{k}{j} / l{j}{j}") for i in range(j + 1, P) for k in range(j + 1, i + 1)})
+    return left.selectExpr(*df.columns, " + ".join(f"ln(l{i}{i})" for i in range(P)) + " as _det")
+
+
+def _noise() -> list[str]:
+    return [f"1 / (4 * greatest(cast({u} as double), 0.1D))" for u in UNITS]
 
 
 def _with_distance(df: DataFrame) -> DataFrame:
     """df with `_d`, the squared Mahalanobis distance of x0..x4, by elimination in the covariance plus the row's sampling noise."""
-    noise = [1 / (4 * F.greatest(F.expr(u).cast("double"), F.lit(0.1))) for u in UNITS]
-    df = df.withColumns({"_d": F.lit(0.0), **{f"v{i}": F.col(XS[i]) - F.col(f"m{i}") for i in range(P)}, **{f"c{i}{i}": F.col(f"c{i}{i}") + noise[i] for i in range(P)}})
+    df = df.withColumns({"_d": F.lit(0.0), **{f"v{i}": F.expr(f"{XS[i]} - m{i}") for i in range(P)}, **{f"c{i}{i}": F.expr(f"c{i}{i} + {noise}") for i, noise in enumerate(_noise())}})
     for j in range(P):
-        part = lambda i, j=j: F.col(f"c{i}{j}") / F.col(f"c{j}{j}")
-        new = {"_d": F.col("_d") + F.col(f"v{j}") * F.col(f"v{j}") / F.col(f"c{j}{j}")}
-        new |= {f"v{i}": F.col(f"v{i}") - part(i) * F.col(f"v{j}") for i in range(j + 1, P)}
-        new |= {f"c{i}{k}": F.col(f"c{i}{k}") - part(i) * F.col(f"c{k}{j}") for i in range(j + 1, P) for k in range(j + 1, i + 1)}
-        df = df.withColumns(new)
+        new = {"_d": f"_d + v{j} * v{j} / c{j}{j}"}
+        new |= {f"v{i}": f"v{i} - c{i}{j} / c{j}{j} * v{j}" for i in range(j + 1, P)}
+        new |= {f"c{i}{k}": f"c{i}{k} - c{i}{j} / c{j}{j} * c{k}{j}" for i in range(j + 1, P) for k in range(j + 1, i + 1)}
+        df = df.withColumns({k: F.expr(e) for k, e in new.items()})
     return df.drop(*MS, *CS, *[f"v{i}" for i in range(P)])
 
 
@@ -142,33 +163,73 @@ def _group() -> Column:
     return F.concat(F.lit("g"), F.to_json(F.struct(F.col("lang"), F.col("source"))))
 
 
+def _levels() -> Column:
+    """(key `_g`, its parent `_p`) of a row's group, its language and all rows."""
+    lang = F.concat(F.lit("l"), F.to_json(F.struct(F.col("lang"))))
+    return F.explode(F.array(*[F.struct(g.alias("_g"), p.alias("_p")) for g, p in ((_group(), lang), (lang, F.lit("")), (F.lit(""), F.lit(None).cast("string")))])).alias("_k")
+
+
+def _reached(bins: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """For each key of bins (by, bin, n), the first bin by which so large a share of its rows is reached."""
+    w = Window.partitionBy(*by).orderBy("bin")
+    run = bins.withColumns({"_run": F.sum("n").over(w), "_all": F.sum("n").over(Window.partitionBy(*by))})
+    return run.groupBy(*by).agg(*[F.min(F.when(F.col("_run") >= F.ceil(F.col("_all") * share - 1e-9), F.col("bin"))).alias(name) for name, share in shares.items()])
+
+
+def _starts(stats: DataFrame, rows: DataFrame) -> DataFrame:
+    """Raw estimates of the three starts: medians and quartile spreads, the rows within two spreads of these, all rows."""
+    x = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(x) * FINE).alias("bin")) for i, x in enumerate(XS)]))
+    bins = stats.where("not base_failed").select("lang", "source", x.alias("x")).groupBy("lang", "source", "x.i", "x.bin").agg(F.count(F.lit(1)).alias("n"))
+    bins = bins.select(_levels(), "i", "bin", "n").groupBy("_k._g", "i", "bin").agg(F.sum("n").alias("n"))
+    q = _reached(bins, ["_g", "i"], {"a": 0.25, "m": 0.5, "b": 0.75})
+    q = q.groupBy("_g").agg(*[F.expr(f"max(if(i = {i}, (m + 0.5D) / {FINE}, null)) as m{i}") for i in range(P)], *[F.expr(f"max(if(i = {i}, (b - a) / {FINE} / 1.349D, null)) as s{i}") for i in range(P)])
+    q = stored(q, "mcd")
+    n = q.count()
+    near = rows.join(sized_broadcast(q, n), "_g", "left")
+    box = " and ".join(f"abs({XS[i]} - m{i}) <= 2 * (s{i} + sqrt({noise}))" for i, noise in enumerate(_noise()))
+    near = near.withColumn("_s", F.explode(F.array(*map(F.lit, range(STARTS))))).withColumn("_in", F.expr(f"_s <> 1 or {box}"))
+    raw = _moments(near.drop(*MS), "_in", 1.0)
+    first = raw.where("_s = 0").select("_g", "_p", "_s", "_n").join(q, "_g", "left")
+    first = first.selectExpr("_g", "_p", "_s", "_n", *MS, *[f"s{i} * s{i} as c{i}{j}" if i == j else f"0D as c{i}{j}" for i, j in PAIRS])
+    return raw.where("_s <> 0").unionByName(first)
+
+
+def _concentrated(rows: DataFrame, params: DataFrame, n: int) -> DataFrame:
+    """One concentration step from params: raw moments."""
+    far = _with_distance(rows.join(sized_broadcast(params.drop("_p", "_n", "_det", "_step"), n), "_g")).withColumn("bin", F.expr(f"floor(ln(greatest(_d, 1e-9D)) * {FINE_LOG})"))
+    bins = far.where(F.col(XS[0]).isNotNull()).groupBy("_g", "_s", "bin").agg(F.count(F.lit(1)).alias("n"))  # a filter on _d would be written out whole
+    cut = _reached(bins, ["_g", "_s"], {"_cut": SUPPORT})
+    return stored(_moments(far.join(sized_broadcast(cut, n), ["_g", "_s"], "left"), "bin <= _cut", CONSISTENCY), "mcd")
+
+
+def _least(params: DataFrame) -> DataFrame:
+    """Of each key the estimate of least determinant, of a later step only if it falls by more than FALL."""
+    rank = F.expr(f"struct(coalesce(_det, double('inf')) + if(_step > 0, {FALL}D, 0D), _step, _s)")
+    return params.groupBy("_g").agg(F.min_by(F.struct(*params.columns), rank).alias("_x")).select("_x.*")
+
+
 def fit(stats: DataFrame) -> tuple[DataFrame, int]:
-    """Estimates by key `_g` (a group, a language, or '' for all rows) and their number.
-
-    Starts from medians and quartile spreads, then takes STEPS concentration steps. Each
-    step reads the narrow statistics once for the distance quantile and once for moments.
-    """
-    lang, passed = F.concat(F.lit("l"), F.to_json(F.struct(F.col("lang")))), ~F.col("base_failed")
-    levels = F.array(*[F.struct(g.alias("_g"), p.alias("_p")) for g, p in ((_group(), lang), (lang, F.lit("")), (F.lit(""), F.lit(None).cast("string")))])
-    rows = stats.select(F.explode(levels).alias("_k"), "n_words", "n_lines", *[F.when(passed, F.col(x)).alias(x) for x in XS]).select("_k.*", "n_words", "n_lines", *XS)
-    q = rows.groupBy("_g", "_p").agg(F.count(XS[0]).alias("_n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"_q{i}") for i, x in enumerate(XS)])
-    spread = lambda i: (F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]) / 1.349
-    raw = stored(q.select(
-        "_g", "_p", "_n", *[F.col(f"_q{i}")[1].alias(f"m{i}") for i in range(P)],
-        *[(spread(i) * spread(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS]), "mcd")
+    """Estimates by key `_g` (a group, a language, or '' for all rows) and their number."""
+    rows = stats.select(_levels(), "n_words", "n_lines", *[F.expr(f"if(base_failed, null, {x}) as {x}") for x in XS]).select("_k.*", "n_words", "n_lines", *XS)
+    raw = stored(_starts(stats, rows), "mcd")
     n = raw.count()
     params = stored(_shrunk(raw, n), "mcd")
-    for _ in range(STEPS):
-        far = _with_distance(rows.join(sized_broadcast(params.drop("_p", "_n"), n), "_g"))
-        cut = far.groupBy("_g").agg(F.percentile_approx("_d", SUPPORT, 1000).alias("_cut"))
-        raw = stored(_estimate(far.join(sized_broadcast(cut, n), "_g"), F.col("_d") <= F.col("_cut"), CONSISTENCY), "mcd")
-        params = stored(_shrunk(raw, n), "mcd")
+    for _ in range(FIRST_STEPS - 1):
+        params = stored(_shrunk(_concentrated(rows, params, n), n), "mcd")
+    # one start a group from here on: its parent's chosen estimate is its prior
+    chosen = _least(_shrunk(_concentrated(rows, params, n), n).withColumn("_step", F.lit(0)))
+    params = stored(chosen.withColumn("_s", F.lit(0)), "mcd")
+    for _ in range(MOST_STEPS):
+        new = _shrunk(_concentrated(rows, params, n), n).withColumn("_step", F.lit(1))
+        params = stored(_least(params.withColumn("_step", F.lit(0)).unionByName(new)), "mcd")
+        if not params.where("_step = 1").count():
+            break
     return params, n
 
 
 def judge(stats: DataFrame, params: DataFrame, n: int) -> DataFrame:
     """stats with `distance` and `kept`, by the estimate of each row's group."""
-    own = sized_broadcast(params.drop("_p", "_n"), n)
+    own = sized_broadcast(params.drop("_p", "_n", "_s", "_det", "_step"), n)
     df = _with_distance(stats.withColumn("_g", _group()).join(own, "_g", "left")).withColumn("distance", F.sqrt("_d"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("_d") <= CUTOFF, F.lit(True))
     return df.withColumn("kept", kept).drop("_g", "_d")
