@@ -4,7 +4,8 @@ Words carry hashed features: prefixes, suffixes, character bigrams and trigrams,
 lower-cased word itself (the lexicon). Emission weights and label transitions are learned
 together by forward-backward on sequences in which spans of several languages follow one
 another, as in code-switched text. A document's score for a language is the mean of its
-words' posterior probabilities; the language with the highest mean is predicted.
+words' posterior probabilities; the language with the highest mean is predicted. `label_spans`
+gives the words' own labels as spans.
 
 Training reads at most `TRAIN_SPANS` spans of `SPAN` words a language, drawn by hash from
 whole texts of at most about `TRAIN_DOCS` labelled documents a language, themselves drawn by
@@ -12,11 +13,14 @@ hash. Everything else covers all words of all documents.
 
 Defined cases: null text or text without a letter is `und` with score 0; with nothing to
 learn from, every document is `und`; a row without doc_id is never trained on and not held
-out; equal means go to the alphabetically first language. Other columns are ignored.
+out; texts of any length are one sequence of all their words; repeated rows are labelled each;
+an empty table gives an empty result; equal means go to the alphabetically first language. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,6 +39,9 @@ TRAIN_DOCS = 240
 TRAIN_SPANS = 900
 EPOCHS = 6
 SEED = 7
+#: Words whose emissions a worker remembers.
+REMEMBERED = 150_000
+SLICE = 1 << 19
 
 
 def features(word: str) -> list[int]:
@@ -46,8 +53,8 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names]
 
 
-def posteriors(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Word posteriors (n, labels) of sequences laid end to end, all stepped in parallel.
+def forward_backward(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward probabilities, emission factors and backward values (n, labels) of sequences laid end to end.
 
     Sequences are taken longest first, so step t works on the leading block of those that
     still have a word t. Probabilities are rescaled at every step.
@@ -57,26 +64,40 @@ def posteriors(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, lengths:
     alive = np.searchsorted(-lengths[order], -np.arange(1, (lengths.max() if len(lengths) else 0) + 1), side="right")
     e = np.exp(emit - emit.max(1, keepdims=True))
     m, b = np.exp(trans), np.exp(start)
-    alpha = np.empty_like(e)
+    alpha, beta = np.empty_like(e), np.ones_like(e)
     now = None
     for t, n in enumerate(alive):
         i = first[:n] + t
         now = e[i] * (b if t == 0 else now[:n] @ m)
         now /= now.sum(1, keepdims=True)
         alpha[i] = now
-    beta = np.ones((len(first), e.shape[1]))
-    for t in range(len(alive) - 1, -1, -1):
-        n = alive[t]
-        i = first[:n] + t
-        now = beta[:n]
-        alpha[i] *= now
-        if t:
-            now = (e[i] * now) @ m.T
-            beta[:n] = now / now.sum(1, keepdims=True)
+    for t in range(len(alive) - 1, 0, -1):
+        i = first[: alive[t]] + t
+        now = (e[i] * beta[i]) @ m.T
+        beta[i - 1] = now / now.sum(1, keepdims=True)
+    return alpha, e, beta
+
+
+def posteriors(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Word posteriors (n, labels) of sequences laid end to end."""
+    alpha, _, beta = forward_backward(emit, trans, start, lengths)
+    alpha *= beta
     alpha /= alpha.sum(1, keepdims=True)
     return alpha
 
 
+def expected(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word posteriors and the expected number of each pair of labels that follow one another."""
+    alpha, e, beta = forward_backward(emit, trans, start, lengths)
+    inner = np.ones(len(emit), bool)
+    inner[np.cumsum(lengths) - lengths] = False
+    b = np.flatnonzero(inner)
+    pair = alpha[b - 1][:, :, None] * np.exp(trans)[None] * (e[b] * beta[b])[:, None, :]
+    pairs = (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+    post = alpha * beta
+    return post / post.sum(1, keepdims=True), pairs
+
+
 class Tagger:
     """The fitted field: emission weights by bucket, transitions and start weights."""
 
@@ -119,20 +140,17 @@ def fit(spans: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = SEED) ->
             count = np.array([len(x) for x in ids])
             flat, row = np.concatenate(ids), np.repeat(np.arange(len(ids)), count)
             emit = np.add.reduceat(weights[flat], np.cumsum(count) - count)
-            post = posteriors(emit, trans, start, lengths)
+            post, gt = expected(emit, trans, start, lengths)
             miss = post.copy()
             miss[np.arange(len(gold)), gold] -= 1
             used, inv = np.unique(flat, return_inverse=True)
             g = np.stack([np.bincount(inv, miss[row, y], len(used)) for y in range(k)], 1) + 1e-3 * weights[used]
             sums[0][used] += g * g
             weights[used] -= 0.3 * g / np.sqrt(sums[0][used])
-            # transitions: expected less observed pairs, the expected ones by the chain's local two-word posteriors
+            # transitions: expected less observed pairs
             head = np.zeros(len(gold), bool)
             head[np.cumsum(lengths) - lengths] = True
             b = np.flatnonzero(~head)
-            pair = post[b - 1][:, :, None] * np.exp(trans)[None] * post[b][:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            gt = pair.sum(0)
             np.add.at(gt, (gold[b - 1], gold[b]), -1)
             gs = miss[head].sum(0)
             for x, gx, s in ((trans, gt, sums[1]), (start, gs, sums[2])):
@@ -157,7 +175,7 @@ class Emissions(dict):
         return i
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self.rows) > 300_000:
+        if len(self.rows) > REMEMBERED:
             self.clear()
             self.rows = self.rows[:0]
         out = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
@@ -174,7 +192,7 @@ def _labeller(tagger: Tagger | None):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Emissions(tagger.weights) if tagger else None
         for whole in batches:
-            for batch in rows_of(whole, 2 << 20):
+            for batch in rows_of(whole, SLICE):
                 texts = batch.column("text").to_pylist()
                 pred, score = ["und"] * len(texts), np.zeros(len(texts))
                 if tagger:
@@ -196,6 +214,31 @@ def _labeller(tagger: Tagger | None):
     return label
 
 
+def _span_labeller(tagger: Tagger | None):
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Emissions(tagger.weights) if tagger else None
+        for whole in batches:
+            for batch in rows_of(whole, SLICE):
+                out = []
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    words = [m for m in WORD.finditer(text or "") if any(map(str.isalpha, m[0]))]
+                    spans: list[dict] = []
+                    if words and tagger:
+                        ids = seen.of([m[0] for m in words])
+                        post = tagger.posteriors(seen.rows[ids], np.array([len(words)]))
+                        best = post.argmax(1)
+                        edge = np.r_[0, np.flatnonzero(np.diff(best)) + 1, len(words)]
+                        for a, b in itertools.pairwise(edge.tolist()):
+                            spans.append({"start": words[a].start(), "stop": words[b - 1].end(), "n_words": b - a, "lang": tagger.labels[best[a]], "score": float(post[a:b, best[a]].mean())})
+                    out.append({"doc_id": doc, "spans": spans})
+                yield pa.RecordBatch.from_pylist(out, schema=SPANS)
+
+    return label
+
+
+SPANS = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string()), ("score", pa.float64())])))])
+
+
 def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds))
 
@@ -216,9 +259,22 @@ def training_spans(docs: DataFrame) -> list[tuple[str, str]]:
     return [(r["lang"], r["span"]) for r in rows.where(F.col("u") < part).select("lang", "span").collect()]
 
 
-def predict(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row, by a field fitted on the other folds."""
+def train(docs: DataFrame) -> Tagger | None:
+    """A field fitted on the sample of docs (doc_id, text, lang); None if there is nothing to learn from."""
     spans = training_spans(docs.select("doc_id", "text", "lang"))
-    tagger = fit(spans) if spans else None
+    return fit(spans) if spans else None
+
+
+def predict(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row, by the given field or one fitted on the other folds."""
+    tagger = tagger or train(docs)
     rows = docs.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(_labeller(tagger), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def label_spans(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
+    """doc_id and the spans of words of one language (start and stop in the text, n_words, lang, score) of every row's whole text.
+
+    A word has the label of highest posterior probability; neighbours of equal label are one span.
+    """
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_span_labeller(tagger), "doc_id long, spans array<struct<start:int,stop:int,n_words:int,lang:string,score:double>>")
