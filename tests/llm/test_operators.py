@@ -100,7 +100,7 @@ def test_jaccard_bands_reach_the_recall():
     assert 1 - (1 - 0.8**r) ** b >= jaccard.RECALL and b * r <= jaccard.MOST_HASHES
 
 
-def test_jaccard_null_ids_links_and_keep(spark):
+def test_jaccard_links_and_keep(spark):
     t = " ".join(f"x{i}" for i in range(20))
     df = frame(spark, [(3, t, "en", "s", 1), (5, t, "en", "s", 1), (7, t + " y", "en", "s", 1), (9, None, None, None, None)]).selectExpr("*", "1 as tk", "'a' as bucket")
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.classes(df).collect()}
@@ -141,7 +141,7 @@ def test_suffix_automaton_gives_the_least_id():
     machine.finish()
     for n in (2, 4):
         ask = [rng.choice([b"a", b"b", b"c"]) for _ in range(40)]
-        want = [min([d for w, d in seqs if any(w[j : j + n] == ask[i : i + n] for j in range(len(w)))], default=1 << 62) for i in range(len(ask) - n + 1)]
+        want = [min([d for w, d in seqs if any(w[j : j + n] == ask[i : i + n] for j in range(len(w)))], default=substring.NO_ID) for i in range(len(ask) - n + 1)]
         assert machine.least_ids(ask, n) == want
 
 
@@ -352,12 +352,14 @@ def test_url_rules(spark):
 def test_shards_balance_and_number_without_gaps(spark):
     rng = random.Random(1)
     rows = [(i, "x" * int(rng.paretovariate(1.2) * 20) if i % 3 else "hot text", "en", "s", 0) for i in range(4000)] + [(None, None, None, None, None), (7, "twice", "en", "s", 0), (7, "twice", "en", "s", 0)]
-    got = sharding.shard(frame(spark, [r for r in rows if len(r[1] or "") < 3000])).collect()
+    rows = [r for r in rows if len(r[1] or "") < 3000]  # longer ones are whole shards here: see test_edges
+    got = sharding.shard(frame(spark, rows)).collect()
     by = [[r for r in got if r["shard"] == k] for k in range(40)]
     assert all(sorted(r["slot"] for r in b) == list(range(len(b))) for b in by)
     size = [sum(r["size"] for r in b) for b in by]
     assert max(size) - min(size) < 0.1 * np.mean(size)
-    assert all(r["size"] == 16 + len(t) and r["text_crc32"] == zlib.crc32(t.encode()) for r in got[:0] for t in [""])
+    texts = Counter((i, 16 + len((t or "").encode()), zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == texts
     assert sharding.shard(frame(spark, [])).count() == 0
 
 
