@@ -123,21 +123,27 @@ def _moments(rows: DataFrame, near: str, scale: float) -> DataFrame:
     return out.selectExpr("_g", "_p", "_s", "_n", *MS, *[f"{scale}D * (q{i}{j} - m{i} * m{j}) as c{i}{j}" for i, j in PAIRS])
 
 
-def _toward(own: DataFrame, prior: DataFrame, n: int) -> DataFrame:
-    """own estimates shrunk towards those of their parents `_p` by n / (n + CENTRE) and n / (n + PRIOR)."""
-    before = prior.selectExpr("_g as _p", "_s", *[f"{c} as _{c}" for c in (*MS, *CS)])
-    mix = lambda c, k: f"coalesce(_n / (_n + {k}D) * {c}, 0D) + (1 - _n / (_n + {k}D)) * _{c}"
-    off = lambda i: f"coalesce(m{i} - _m{i}, 0D)"
-    wider = f"_n / (_n + {CENTRE}D) * {CENTRE} / (_n + {PRIOR})"
-    return own.join(sized_broadcast(before, n), ["_p", "_s"]).selectExpr(
-        "_g", "_p", "_s", "_n", *[f"{mix(m, CENTRE)} as {m}" for m in MS], *[f"{mix(f'c{i}{j}', PRIOR)} + {wider} * {off(i)} * {off(j)} as c{i}{j}" for i, j in PAIRS])
+def _toward(n: str, m: list[str], c: list[str], m0: list[str], c0: list[str]) -> list[str]:
+    """Means, then covariances, of n rows shrunk towards a prior by n / (n + CENTRE) and n / (n + PRIOR)."""
+    mix = lambda x, y, k: f"(coalesce({n} / ({n} + {k}D) * {x}, 0D) + (1 - {n} / ({n} + {k}D)) * {y})"
+    off = lambda i: f"coalesce({m[i]} - {m0[i]}, 0D)"
+    wider = f"{n} / ({n} + {CENTRE}D) * {CENTRE} / ({n} + {PRIOR})"
+    return [mix(x, y, CENTRE) for x, y in zip(m, m0, strict=True)] + [f"{mix(x, y, PRIOR)} + {wider} * {off(i)} * {off(j)}" for (i, j), x, y in zip(PAIRS, c, c0, strict=True)]
 
 
 def _shrunk(raw: DataFrame, n: int) -> DataFrame:
-    """Estimates of groups, of languages and of all rows, each shrunk towards the next, with the log of their determinants `_det`."""
-    every = raw.where("_p is null")
-    langs = _toward(raw.where("_p = ''"), every, n)
-    df = every.unionByName(langs).unionByName(_toward(raw.where("_p <> ''"), langs, n))
+    """Estimates of groups, of languages and of all rows, each shrunk towards the next, with the log of their determinants `_det`.
+
+    A row meets the raw estimates of its parent (a_) and of that one's (b_); all are the same exchange.
+    """
+    parent = lambda x: sized_broadcast(raw.selectExpr(*[f"{k} as {x}{k}" for k in raw.columns]), n)
+    df = raw.join(parent("a_"), F.expr("_p = a__g and _s = a__s"), "left").join(parent("b_"), F.expr("a__p = b__g and _s = b__s"), "left")
+    names = lambda x, of: [x + k for k in of]
+    # the parent's estimate: itself for all rows, shrunk for a language
+    above = _toward("a__n", names("a_", MS), names("a_", CS), names("b_", MS), names("b_", CS))
+    df = df.selectExpr(*raw.columns, "a__g", *[f"if(b__g is null, a_{k}, {e}) as p_{k}" for k, e in zip((*MS, *CS), above, strict=True)])
+    own = _toward("_n", MS, CS, names("p_", MS), names("p_", CS))
+    df = df.selectExpr("_g", "_p", "_s", "_n", *[f"if(a__g is null, {k}, {e}) as {k}" for k, e in zip((*MS, *CS), own, strict=True)])
     left = df.selectExpr("*", *[f"c{i}{j} + {RIDGE if i == j else 0.0} as l{i}{j}" for i, j in PAIRS])
     for j in range(P - 1):
         left = left.withColumns({f"l{i}{k}": F.expr(f"l{i}{k} - l{i}{j} * l{k}{j} / l{j}{j}") for i in range(j + 1, P) for k in range(j + 1, i + 1)})
@@ -176,22 +182,22 @@ def _reached(bins: DataFrame, by: list[str], shares: dict[str, float]) -> DataFr
     return run.groupBy(*by).agg(*[F.min(F.when(F.col("_run") >= F.ceil(F.col("_all") * share - 1e-9), F.col("bin"))).alias(name) for name, share in shares.items()])
 
 
-def _starts(stats: DataFrame, rows: DataFrame) -> DataFrame:
-    """Raw estimates of the three starts: medians and quartile spreads, the rows within two spreads of these, all rows."""
+def _starts(stats: DataFrame, rows: DataFrame) -> tuple[DataFrame, int]:
+    """Raw estimates of the three starts (medians and quartile spreads, the rows within two spreads of these, all rows), and the number of keys."""
     x = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(x) * FINE).alias("bin")) for i, x in enumerate(XS)]))
     bins = stats.where("not base_failed").select("lang", "source", x.alias("x")).groupBy("lang", "source", "x.i", "x.bin").agg(F.count(F.lit(1)).alias("n"))
     bins = bins.select(_levels(), "i", "bin", "n").groupBy("_k._g", "i", "bin").agg(F.sum("n").alias("n"))
     q = _reached(bins, ["_g", "i"], {"a": 0.25, "m": 0.5, "b": 0.75})
     q = q.groupBy("_g").agg(*[F.expr(f"max(if(i = {i}, (m + 0.5D) / {FINE}, null)) as m{i}") for i in range(P)], *[F.expr(f"max(if(i = {i}, (b - a) / {FINE} / 1.349D, null)) as s{i}") for i in range(P)])
     q = stored(q, "mcd")
-    n = q.count()
+    n = STARTS * rows.select("_g").distinct().count()
     near = rows.join(sized_broadcast(q, n), "_g", "left")
     box = " and ".join(f"abs({XS[i]} - m{i}) <= 2 * (s{i} + sqrt({noise}))" for i, noise in enumerate(_noise()))
     near = near.withColumn("_s", F.explode(F.array(*map(F.lit, range(STARTS))))).withColumn("_in", F.expr(f"_s <> 1 or {box}"))
     raw = _moments(near.drop(*MS), "_in", 1.0)
     first = raw.where("_s = 0").select("_g", "_p", "_s", "_n").join(q, "_g", "left")
     first = first.selectExpr("_g", "_p", "_s", "_n", *MS, *[f"s{i} * s{i} as c{i}{j}" if i == j else f"0D as c{i}{j}" for i, j in PAIRS])
-    return raw.where("_s <> 0").unionByName(first)
+    return stored(raw.where("_s <> 0").unionByName(first), "mcd"), n
 
 
 def _concentrated(rows: DataFrame, params: DataFrame, n: int) -> DataFrame:
@@ -199,7 +205,7 @@ def _concentrated(rows: DataFrame, params: DataFrame, n: int) -> DataFrame:
     far = _with_distance(rows.join(sized_broadcast(params.drop("_p", "_n", "_det", "_step"), n), "_g")).withColumn("bin", F.expr(f"floor(ln(greatest(_d, 1e-9D)) * {FINE_LOG})"))
     bins = far.where(F.col(XS[0]).isNotNull()).groupBy("_g", "_s", "bin").agg(F.count(F.lit(1)).alias("n"))  # a filter on _d would be written out whole
     cut = _reached(bins, ["_g", "_s"], {"_cut": SUPPORT})
-    return stored(_moments(far.join(sized_broadcast(cut, n), ["_g", "_s"], "left"), "bin <= _cut", CONSISTENCY), "mcd")
+    return _moments(far.join(sized_broadcast(cut, n), ["_g", "_s"], "left"), "bin <= _cut", CONSISTENCY)
 
 
 def _least(params: DataFrame) -> DataFrame:
@@ -211,8 +217,7 @@ def _least(params: DataFrame) -> DataFrame:
 def fit(stats: DataFrame) -> tuple[DataFrame, int]:
     """Estimates by key `_g` (a group, a language, or '' for all rows) and their number."""
     rows = stats.select(_levels(), "n_words", "n_lines", *[F.expr(f"if(base_failed, null, {x}) as {x}") for x in XS]).select("_k.*", "n_words", "n_lines", *XS)
-    raw = stored(_starts(stats, rows), "mcd")
-    n = raw.count()
+    raw, n = _starts(stats, rows)
     params = stored(_shrunk(raw, n), "mcd")
     for _ in range(FIRST_STEPS - 1):
         params = stored(_shrunk(_concentrated(rows, params, n), n), "mcd")
