@@ -38,7 +38,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 SUPPORT = 0.75
 #: Concentration steps from every start; most steps after them, and the fall of the log determinant that counts as one.
-FIRST_STEPS, MOST_STEPS, FALL = 2, 10, 1e-3
+FIRST_STEPS, MOST_STEPS, FALL = 1, 10, 1e-3
 STARTS = 3
 #: Bins of a unit of a statistic, and of a unit of the log of a squared distance, by which quantiles are counted.
 FINE, FINE_LOG = 4096, 512
@@ -134,7 +134,7 @@ def _toward(n: str, m: list[str], c: list[str], m0: list[str], c0: list[str]) ->
 def _shrunk(raw: DataFrame, n: int) -> DataFrame:
     """Estimates of groups, of languages and of all rows, each shrunk towards the next, with the log of their determinants `_det`.
 
-    A row meets the raw estimates of its parent (a_) and of that one's (b_); all are the same exchange.
+    A row meets the raw estimates of its parent (a_) and of that one's (b_).
     """
     parent = lambda x: sized_broadcast(raw.selectExpr(*[f"{k} as {x}{k}" for k in raw.columns]), n)
     df = raw.join(parent("a_"), F.expr("_p = a__g and _s = a__s"), "left").join(parent("b_"), F.expr("a__p = b__g and _s = b__s"), "left")
@@ -205,7 +205,7 @@ def _concentrated(rows: DataFrame, params: DataFrame, n: int) -> DataFrame:
     far = _with_distance(rows.join(sized_broadcast(params.drop("_p", "_n", "_det", "_step"), n), "_g")).withColumn("bin", F.expr(f"floor(ln(greatest(_d, 1e-9D)) * {FINE_LOG})"))
     bins = far.where(F.col(XS[0]).isNotNull()).groupBy("_g", "_s", "bin").agg(F.count(F.lit(1)).alias("n"))  # a filter on _d would be written out whole
     cut = _reached(bins, ["_g", "_s"], {"_cut": SUPPORT})
-    return _moments(far.join(sized_broadcast(cut, n), ["_g", "_s"], "left"), "bin <= _cut", CONSISTENCY)
+    return stored(_moments(far.join(sized_broadcast(cut, n), ["_g", "_s"], "left"), "bin <= _cut", CONSISTENCY), "mcd")
 
 
 def _least(params: DataFrame) -> DataFrame:
