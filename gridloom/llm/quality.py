@@ -1,9 +1,8 @@
 """Quality rules: base counts, then robust multivariate outliers per language and source.
 
 Each document becomes a vector of five transformed statistics. Per (lang, source) group the
-minimum-covariance-determinant estimate is sought by concentration steps from three starts:
-medians with quartile spreads, the rows within a box around these, and all rows. A step keeps
-the `SUPPORT` share of rows nearest to the present centre and takes their mean and covariance.
+minimum-covariance-determinant estimate is sought by concentration steps from two starts:
+medians with quartile spreads, and the moments of all rows. A step keeps the `SUPPORT` share of rows nearest to the present centre and takes their mean and covariance.
 After `FIRST_STEPS` steps each group goes on with the start of least determinant, until no
 group's determinant falls any more. Rows whose squared Mahalanobis distance passes `CUTOFF` are
 rejected. All of it is DataFrame code: moments are partial aggregates, quantiles come from
@@ -39,7 +38,6 @@ WINDOW = 5
 SUPPORT = 0.75
 #: Concentration steps from every start; most steps after them, and the fall of the log determinant that counts as one.
 FIRST_STEPS, MOST_STEPS, FALL = 1, 10, 1e-3
-STARTS = 3
 #: Bins of a unit of a statistic, and of a unit of the log of a squared distance, by which quantiles are counted.
 FINE, FINE_LOG = 4096, 512
 #: Added to each variance when determinants are compared: columns may be constant.
@@ -182,22 +180,17 @@ def _reached(bins: DataFrame, by: list[str], shares: dict[str, float]) -> DataFr
     return run.groupBy(*by).agg(*[F.min(F.when(F.col("_run") >= F.ceil(F.col("_all") * share - 1e-9), F.col("bin"))).alias(name) for name, share in shares.items()])
 
 
-def _starts(stats: DataFrame, rows: DataFrame) -> tuple[DataFrame, int]:
-    """Raw estimates of the three starts (medians and quartile spreads, the rows within two spreads of these, all rows), and the number of keys."""
+def _starts(stats: DataFrame, rows: DataFrame) -> DataFrame:
+    """Raw estimates of the two starts: medians with quartile spreads, and all rows."""
     x = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(x) * FINE).alias("bin")) for i, x in enumerate(XS)]))
     bins = stats.where("not base_failed").select("lang", "source", x.alias("x")).groupBy("lang", "source", "x.i", "x.bin").agg(F.count(F.lit(1)).alias("n"))
     bins = bins.select(_levels(), "i", "bin", "n").groupBy("_k._g", "i", "bin").agg(F.sum("n").alias("n"))
     q = _reached(bins, ["_g", "i"], {"a": 0.25, "m": 0.5, "b": 0.75})
     q = q.groupBy("_g").agg(*[F.expr(f"max(if(i = {i}, (m + 0.5D) / {FINE}, null)) as m{i}") for i in range(P)], *[F.expr(f"max(if(i = {i}, (b - a) / {FINE} / 1.349D, null)) as s{i}") for i in range(P)])
-    q = stored(q, "mcd")
-    n = STARTS * rows.select("_g").distinct().count()
-    near = rows.join(sized_broadcast(q, n), "_g", "left")
-    box = " and ".join(f"abs({XS[i]} - m{i}) <= 2 * (s{i} + sqrt({noise}))" for i, noise in enumerate(_noise()))
-    near = near.withColumn("_s", F.explode(F.array(*map(F.lit, range(STARTS))))).withColumn("_in", F.expr(f"_s <> 1 or {box}"))
-    raw = _moments(near.drop(*MS), "_in", 1.0)
-    first = raw.where("_s = 0").select("_g", "_p", "_s", "_n").join(q, "_g", "left")
+    raw = _moments(rows.withColumn("_s", F.lit(1)), "true", 1.0)
+    first = raw.select("_g", "_p", F.lit(0).alias("_s"), "_n").join(q, "_g", "left")
     first = first.selectExpr("_g", "_p", "_s", "_n", *MS, *[f"s{i} * s{i} as c{i}{j}" if i == j else f"0D as c{i}{j}" for i, j in PAIRS])
-    return stored(raw.where("_s <> 0").unionByName(first), "mcd"), n
+    return stored(raw.unionByName(first), "mcd")
 
 
 def _concentrated(rows: DataFrame, params: DataFrame, n: int) -> DataFrame:
@@ -217,7 +210,8 @@ def _least(params: DataFrame) -> DataFrame:
 def fit(stats: DataFrame) -> tuple[DataFrame, int]:
     """Estimates by key `_g` (a group, a language, or '' for all rows) and their number."""
     rows = stats.select(_levels(), "n_words", "n_lines", *[F.expr(f"if(base_failed, null, {x}) as {x}") for x in XS]).select("_k.*", "n_words", "n_lines", *XS)
-    raw, n = _starts(stats, rows)
+    raw = _starts(stats, rows)
+    n = raw.count()
     params = stored(_shrunk(raw, n), "mcd")
     for _ in range(FIRST_STEPS - 1):
         params = stored(_shrunk(_concentrated(rows, params, n), n), "mcd")

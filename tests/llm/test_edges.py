@@ -380,7 +380,7 @@ def brute_quality(rows):
             raw[k] = moments(idx[d <= at(d, quality.SUPPORT)] if len(idx) else idx, quality.CONSISTENCY)
         return shrunk(raw)
 
-    starts = [{}, {}, {}]
+    starts = [{}, {}]
     for k, (_, some) in keys.items():
         idx = np.flatnonzero(some)
         if not len(idx):
@@ -391,8 +391,7 @@ def brute_quality(rows):
         m = np.array([(at(b, 0.5) + 0.5) / quality.FINE for b in bins.T])
         s = np.array([(at(b, 0.75) - at(b, 0.25)) / quality.FINE / 1.349 for b in bins.T])
         starts[0][k] = (len(idx), m, np.diag(s * s))
-        starts[1][k] = moments(idx[(np.abs(x[idx] - m) <= 2 * (s + np.sqrt(noise[idx]))).all(1)], 1.0)
-        starts[2][k] = moments(idx, 1.0)
+        starts[1][k] = moments(idx, 1.0)
     runs = [shrunk(s) for s in starts]
     for _ in range(quality.FIRST_STEPS):
         runs = [step(r) for r in runs]
