@@ -1,7 +1,9 @@
-"""Geometry on columns: affine and stereographic maps, body-fixed and local frames, bounds, sag, reflectance."""
+"""Geometry on columns: affine and stereographic maps, body-fixed and local frames, sag, areas, reflectance."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,3 +85,35 @@ def circular(values: Column, azimuth: Column) -> Column:
     low = F.floor(at)
     pick = lambda i: F.get(values, F.pmod(i, n).cast("int"))
     return pick(low) * (1 - (at - low)) + pick(low + 1) * (at - low)
+
+
+def polygon_area(xs: Column, ys: Column) -> Column:
+    """Area of the ring of points (shoelace); under three points there is none."""
+    n = F.size(xs)
+    at = lambda c, i: F.get(c, i % n)
+    twice = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + at(xs, i) * at(ys, i + 1) - at(xs, i + 1) * at(ys, i))
+    return F.when(n >= 3, F.abs(twice) / 2).otherwise(0.0)
+
+
+def mean_pixel_size(a: Column, e: Column) -> Column:
+    x, y = F.abs(a), F.abs(e)
+    return F.when((x > 0) & (y > 0), (x + y) / 2).otherwise(F.greatest(x, y, F.lit(1.0)))
+
+
+def remapped(c: Column, low: float, high: float, to_low: float, to_high: float) -> Column:
+    """Linear map of low..high to to_low..to_high, clipped."""
+    t = F.least(F.greatest((c - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+    return to_low + t * (to_high - to_low)
+
+
+def henyey_greenstein(cos_phase: Column, g: float) -> Column:
+    return (1 - g * g) / F.pow(1 + 2 * g * cos_phase + g * g, F.lit(1.5))
+
+
+def hapke(mu0: Column, mu: Column, cos_phase: Column, w: float, g: float, b0: float, h: float) -> Column:
+    """Simplified reflectance of a particulate surface with an opposition surge, 0 where it has no value."""
+    gamma = (1 - w) ** 0.5
+    ambient = lambda m: (1 + 2 * m) / (1 + 2 * m * gamma)
+    half = F.sqrt(F.greatest(F.lit(0.0), (1 - cos_phase) / (1 + cos_phase + 1e-12)))
+    r = w / (4 * math.pi) * F.try_divide(mu0, mu0 + mu) * ((1 + b0 / (1 + half / h)) * henyey_greenstein(cos_phase, g) + ambient(mu0) * ambient(mu) - 1)
+    return F.greatest(F.lit(0.0), F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)))

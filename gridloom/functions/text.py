@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that a query does without.
-STOP_WORDS = ["a", "an", "and", "are", "for", "how", "in", "is", "of", "on", "or", "the", "to", "what", "with"]
+STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "i", "in", "is", "it", "of", "on", "or", "that", "the", "to", "what", "when", "where", "which", "with"]
 
 
 def clean_name(name: Column) -> Column:
@@ -16,7 +16,7 @@ def clean_name(name: Column) -> Column:
 def name_score(clean: Column, raw: Column, wanted: str) -> Column:
     """100 for an equal clean name, 98 for an equal raw one, 85 for a beginning, 65 inside, else 0."""
     w = clean_name(F.lit(wanted))
-    return F.when(clean == w, 100).when(F.lower(raw) == wanted.lower(), 98).when(F.startswith(clean, w), 85).when(F.contains(clean, w), 65).otherwise(0)
+    return F.when(clean == w, 100).when(raw == wanted, 98).when(F.startswith(clean, w), 85).when(F.contains(clean, w), 65).otherwise(0)
 
 
 def has_type(types: Column, wanted: str) -> Column:
@@ -25,10 +25,10 @@ def has_type(types: Column, wanted: str) -> Column:
     return F.contains(spaced, F.lit(f" {wanted.lower()} "))
 
 
-def terms(query: Column) -> Column:
-    """Distinct lower-case words of over one letter but stop words, in order."""
-    w = F.regexp_extract_all(F.lower(query), F.lit("([a-z0-9_]+)"), F.lit(1))
-    return F.array_distinct(F.filter(w, lambda x: (F.length(x) > 1) & ~x.isin(STOP_WORDS)))
+def terms(query: Column, most: int = 24) -> Column:
+    """The first terms of a query, four at least: lower-case runs of letters, digits and `_:./-` of over one character, but stop words."""
+    w = F.regexp_extract_all(F.lower(query), F.lit("([a-z0-9_:./-]+)"), F.lit(1))
+    return F.slice(F.filter(w, lambda x: (F.length(x) > 1) & ~x.isin(STOP_WORDS)), 1, max(4, most))
 
 
 def collapsed(text: Column) -> Column:
@@ -68,3 +68,37 @@ def kebab(text: Column) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
+
+
+def unit_name_score(clean: Column, wanted: Column) -> Column:
+    """1.0 for equal clean names, 0.92 for a beginning, 0.86 inside, else and for empty names 0."""
+    return F.when((clean == "") | (wanted == ""), 0.0).when(clean == wanted, 1.0).when(F.startswith(clean, wanted), 0.92).when(F.contains(clean, wanted), 0.86).otherwise(0.0)
+
+
+def scenario_score(fields: list[Column], wanted: Column) -> Column:
+    """Score of (id, name, root, directory) for a reference: whole, beginning, inside, or all of its words anywhere."""
+    whole = F.coalesce(*[F.when(f == wanted, n) for f, n in zip(fields, (1000, 950, 900, 880), strict=True)])
+    inside = [F.when(F.contains(f, wanted), n).otherwise(0) for f, n in zip(fields, (700, 650, 620, 610), strict=True)]
+    begins = [F.when(F.startswith(f, wanted), n).otherwise(0) for f, n in zip(fields[:3], (780, 740, 720), strict=True)]
+    words, hay = F.filter(F.split(wanted, " "), lambda x: x != ""), F.concat_ws(" ", *[F.nullif(f, F.lit("")) for f in fields])
+    spread = F.when((F.size(words) > 0) & F.forall(words, lambda t: F.contains(hay, t)), 600 + F.least(F.lit(40), 10 * F.size(words))).otherwise(0)
+    return F.when(wanted == "", 0).otherwise(F.coalesce(whole, F.greatest(*inside, *begins, spread)))
+
+
+def turn_order(case_id: Column) -> Column:
+    """1 for a base id, 2 for `.followup`, N for `.turnN`, else 99."""
+    rest = F.lower(F.trim(F.regexp_extract(case_id, r"^[^.]*[.](.*)$", 1)))
+    number = F.regexp_extract(rest, "^turn([0-9]+)$", 1)
+    return F.when(~F.contains(case_id, F.lit(".")), 1).when(rest == "followup", 2).when(number != "", number.try_cast("int")).otherwise(99)
+
+
+def all_tokens_in(tokens: Column, words: Column) -> Column:
+    """Is every token inside some word?"""
+    return F.forall(tokens, lambda t: F.exists(words, lambda w: F.contains(w, t)))
+
+
+def degrees_text(c: Column) -> Column:
+    """Degrees as signed degrees, minutes and seconds."""
+    a = F.abs(c)
+    s = F.round((a * 3600) % 60, 2)
+    return F.format_string("%s%d°%02d'%05.2f", F.when(c < 0, "-").otherwise(""), F.floor(a).cast("int"), (F.floor(a * 60) % 60).cast("int"), s)

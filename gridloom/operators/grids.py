@@ -20,7 +20,7 @@ def haloed(g: DataFrame, halo: int = 1, tile: int = TILE) -> DataFrame:
     """Rows of g for each tile (tr, tc) that holds or borders them; `own` marks the tile's own cells."""
 
     def tiles(c: str) -> Column:
-        return F.array_distinct(F.array(F.floor((F.col(c) - halo) / tile), F.floor(F.col(c) / tile), F.floor((F.col(c) + halo) / tile)))
+        return F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))
 
     out = g.withColumn("tr", F.explode(tiles("row"))).withColumn("tc", F.explode(tiles("col")))
     own = (F.col("tr") == F.floor(F.col("row") / tile)) & (F.col("tc") == F.floor(F.col("col") / tile))
@@ -28,14 +28,19 @@ def haloed(g: DataFrame, halo: int = 1, tile: int = TILE) -> DataFrame:
 
 
 def gradients(g: DataFrame, yres: float = 1.0, xres: float = 1.0) -> DataFrame:
-    """row, col, v, dz_dy and dz_dx: central differences, one-sided at the grid's edges."""
+    """row, col, v, dz_dy and dz_dx: central differences, one-sided at the grid's first and last rows and columns only.
 
-    def slope(w, res: float) -> Column:
-        before, after, v = F.lag("v").over(w), F.lead("v").over(w), F.col("v")
-        return F.coalesce((after - before) / (2 * res), (after - v) / res, (v - before) / res)
+    Where a neighbour that the difference needs has no data, or is absent, there is none.
+    """
+    bounds = g.agg(*[f(c).alias(f"_{n}_{c}") for c in ("row", "col") for n, f in (("first", F.min), ("last", F.max))])
+
+    def slope(axis: str, across: str, res: float) -> Column:
+        w, at = Window.partitionBy("tr", "tc", across).orderBy(axis), F.col(axis)
+        before, after = F.when(F.lag(axis).over(w) == at - 1, F.lag("v").over(w)), F.when(F.lead(axis).over(w) == at + 1, F.lead("v").over(w))
+        return F.when(at == F.col(f"_first_{axis}"), (after - F.col("v")) / res).when(at == F.col(f"_last_{axis}"), (F.col("v") - before) / res).otherwise((after - before) / (2 * res))
 
-    h = haloed(g)
-    h = h.withColumn("dz_dy", slope(Window.partitionBy("tr", "tc", "col").orderBy("row"), yres)).withColumn("dz_dx", slope(Window.partitionBy("tr", "tc", "row").orderBy("col"), xres))
+    h = haloed(g).join(F.broadcast(bounds))  # one row
+    h = h.withColumn("dz_dy", slope("row", "col", yres)).withColumn("dz_dx", slope("col", "row", xres))
     return h.where("own").select("row", "col", "v", "dz_dy", "dz_dx")
 
 
@@ -56,31 +61,23 @@ def hillshade(azimuth: float = 315.0, elevation: float = 45.0) -> Column:
     return F.coalesce(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), shade)) * 255), F.lit(0)).cast("smallint")
 
 
-def _spread(h: DataFrame, col: str, how: str, edge: int) -> DataFrame:
-    """Three-cell minimum or maximum of a 0/1 column along both axes; cells outside count as `edge`."""
+def _spread(h: DataFrame, col: str, how: str, n: int) -> DataFrame:
+    """Minimum or maximum of a 0/1 column over n cells each way along both axes; cells outside count as 0."""
     for part, order in (("col", "row"), ("row", "col")):
-        w = Window.partitionBy("tr", "tc", part).orderBy(order).rangeBetween(-1, 1)
+        w = Window.partitionBy("tr", "tc", part).orderBy(order).rangeBetween(-n, n)
         pick = getattr(F, how)(col).over(w)
-        h = h.withColumn(col, F.when(F.count(F.lit(1)).over(w) < 3, getattr(F, "least" if how == "min" else "greatest")(pick, F.lit(edge))).otherwise(pick))
+        h = h.withColumn(col, F.when(F.count(F.lit(1)).over(w) < 2 * n + 1, F.lit(0)).otherwise(pick) if how == "min" else pick)
     return h
 
 
 def eroded(mask: DataFrame, n: int = 1) -> DataFrame:
-    """mask (row, col, m) after n 3x3 erosions; outside is 0."""
-    h = haloed(mask, n)
-    for _ in range(n):
-        h = _spread(h, "m", "min", 0)
-    return h.where("own").select("row", "col", "m")
+    """mask (row, col, m) after n 3x3 erosions, which are one minimum over n cells each way; outside is 0."""
+    return _spread(haloed(mask, n), "m", "min", n).where("own").select("row", "col", "m")
 
 
 def opened(mask: DataFrame, n: int = 1) -> DataFrame:
     """n erosions, then n dilations."""
-    h = haloed(mask, 2 * n)
-    for _ in range(n):
-        h = _spread(h, "m", "min", 0)
-    for _ in range(n):
-        h = _spread(h, "m", "max", 0)
-    return h.where("own").select("row", "col", "m")
+    return _spread(_spread(haloed(mask, 2 * n), "m", "min", n), "m", "max", n).where("own").select("row", "col", "m")
 
 
 def neighbour_sums(mask: DataFrame) -> DataFrame:
@@ -105,6 +102,18 @@ def regions(cells: DataFrame, neighbours: int = 8, same: str | None = None) -> D
     return nodes.join(comp, "k", "left").withColumn("seed", F.coalesce("comp", "k")).drop("k", "comp")
 
 
+def of_size(regioned: DataFrame, op: str, cells: int) -> DataFrame:
+    """The cells of regions() whose region has `>=` or `<=` so many cells."""
+    size = regioned.groupBy("seed").agg(F.count(F.lit(1)).alias("_n"))
+    return regioned.join(size.where(F.col("_n") >= cells if op == ">=" else F.col("_n") <= cells), "seed", "left_semi")
+
+
+def seeded(cells: DataFrame, left: DataFrame, neighbours: int = 8) -> DataFrame:
+    """The whole regions of cells (row, col) of which some cell is in left, as where a cleaned mask chose them."""
+    r = regions(cells, neighbours)
+    return r.join(r.join(left.select("row", "col"), ["row", "col"], "left_semi").select("seed").distinct(), "seed", "left_semi")
+
+
 def labelled(cells: DataFrame, **kind) -> DataFrame:
     """regions() with `label`, 1.. in the order of the regions' first cells.
 

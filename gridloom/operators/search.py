@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gridloom.functions import text as X
@@ -46,20 +47,37 @@ def windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     return docs.where("length(text) > 0").select("doc_id", "text", at).select("doc_id", "ordinal", F.expr(f"substring(text, i * {step} + 1, {size})").alias("content"))
 
 
-def paragraphs(docs: DataFrame, most: int = 1800) -> DataFrame:
-    """Paragraphs packed greedily into chunks of at most `most` characters; none is split.
+def _packed(parts: Column, most: int) -> Column:
+    """Parts joined greedily by blank lines to chunks of at most `most` characters: a fold that holds the open chunk apart."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
 
-    The packing is a fold over a document's paragraphs inside one row.
-    """
+    def add(a: Column, p: Column) -> Column:
+        fits = F.length(a["now"]) + 2 + F.length(p) <= most
+        return F.when(a["now"].isNull(), F.struct(a["done"].alias("done"), p.alias("now"))).when(fits, F.struct(a["done"].alias("done"), F.concat(a["now"], F.lit("\n\n"), p).alias("now"))).otherwise(
+            F.struct(F.array_append(a["done"], a["now"]).alias("done"), p.alias("now")))
+
+    return F.aggregate(parts, start, add, lambda a: F.when(a["now"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["now"])))
+
+
+def paragraphs(docs: DataFrame, most: int = 1800) -> DataFrame:
+    """Paragraphs packed greedily into chunks of at most `most` characters; none is split."""
     parts = F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return docs.where("text is not null").select("doc_id", F.posexplode(_packed(parts, most)).alias("ordinal", "content"))
 
-    def add(done: Column, p: Column) -> Column:
-        fits = (F.size(done) > 0) & (F.length(F.try_element_at(done, F.lit(-1))) + 2 + F.length(p) <= most)
-        joined = F.concat(F.try_element_at(done, F.lit(-1)), F.lit("\n\n"), p)
-        return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(p)))
 
-    chunks = F.aggregate(parts, F.array().cast("array<string>"), add)
-    return docs.where("text is not null").select("doc_id", F.posexplode(chunks).alias("ordinal", "content"))
+def markdown(docs: DataFrame, most: int = 2200) -> DataFrame:
+    """Sections, which begin at headings of one to three marks, packed greedily into chunks of at most `most` characters."""
+    parts = F.transform(F.split("text", r"(?m)^(?=[ \t]*#{1,3} +\S)"), lambda x: F.btrim(F.regexp_replace(x, r"(?m)^[ \t]+$", ""), F.lit(" \t\r\n")))
+    return docs.where("text is not null").select("doc_id", F.posexplode(_packed(F.filter(parts, lambda x: x != ""), most)).alias("ordinal", "content"))
+
+
+def csv_rows(docs: DataFrame, rows: int = 30) -> DataFrame:
+    """Chunks of so many lines of a CSV text, each with the header before them; quoted line ends are not looked for."""
+    lines = F.split(F.regexp_replace("text", r"[\r\n]+$", ""), r"\r?\n")
+    df = docs.where("length(text) > 0").select("doc_id", lines.alias("lines"))
+    n = F.greatest(F.ceil((F.size("lines") - 1) / rows), F.lit(1))
+    chunk = lambda i: F.btrim(F.array_join(F.concat(F.slice("lines", 1, 1), F.slice("lines", (i * rows + 2).cast("int"), rows)), "\n"), F.lit(" \t\r\n"))
+    return df.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), chunk)).alias("ordinal", "content"))
 
 
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -100,3 +118,14 @@ def fitting(rows: DataFrame, budget: int, key: str, order: list[str], text: str)
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """Each key's latest row: an upsert is a union and this."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))).where("_r = 1").drop("_r")
+
+
+def flattened(rows: DataFrame, key: str, record: str) -> DataFrame:
+    """One row a leaf of a nested record: the key, the leaf's dotted path and its value as text; nulls are left out."""
+
+    def leaves(kind: T.StructType, path: str) -> list[str]:
+        return [x for f in kind.fields for x in (leaves(f.dataType, f"{path}.{f.name}") if isinstance(f.dataType, T.StructType) else [f"{path}.{f.name}"])]
+
+    paths = leaves(rows.schema[record].dataType, record)
+    pairs = F.array(*[F.struct(F.lit(p.removeprefix(f"{record}.")).alias("key"), F.col(p).cast("string").alias("value")) for p in paths])
+    return rows.select(key, F.explode(pairs).alias("x")).select(key, "x.*").where("value is not null")

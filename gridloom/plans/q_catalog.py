@@ -25,7 +25,7 @@ def best(spark, sf_dir):
     return S.best_match(g, first or "").select("feature_id", "name", "importance")
 
 
-SCORE = "CASE WHEN clean_name = 'red widget' THEN 100 WHEN lower(name) = 'red widget' THEN 98 WHEN starts_with(clean_name, 'red widget') THEN 85 WHEN contains(clean_name, 'red widget') THEN 65 ELSE 0 END"
+SCORE = "CASE WHEN clean_name = 'red widget' THEN 100 WHEN name = 'red widget' THEN 98 WHEN starts_with(clean_name, 'red widget') THEN 85 WHEN contains(clean_name, 'red widget') THEN 65 ELSE 0 END"
 
 
 @query("srt_fuzzy_top", Z + f" SELECT feature_id, name, {SCORE} AS score FROM Z WHERE {SCORE} > 0 ORDER BY score DESC, importance DESC, name, feature_id LIMIT 20")
@@ -58,11 +58,6 @@ def sliding(spark, sf_dir):
     return S.windows(table(spark, sf_dir, "documents"), 600, 100)
 
 
-@query("ret_paragraph_chunks")
-def packed(spark, sf_dir):
-    return S.paragraphs(table(spark, sf_dir, "documents"))
-
-
 INDEX = "WITH P AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS term FROM documents) GROUP BY term, doc_id)"
 
 

@@ -104,32 +104,39 @@ def resample_nearest(spark, sf_dir):
     return R.nearest(grid(spark, sf_dir), targets(spark, sf_dir))
 
 
-GRAD = G + """, D AS (SELECT row, col, v,
-  coalesce((lead(v) OVER r - lag(v) OVER r) / 2, lead(v) OVER r - v, v - lag(v) OVER r) AS dy,
-  coalesce((lead(v) OVER c - lag(v) OVER c) / 2, lead(v) OVER c - v, v - lag(v) OVER c) AS dx
-  FROM G WINDOW r AS (PARTITION BY col ORDER BY row), c AS (PARTITION BY row ORDER BY col))"""
+GRAD = G + """, V AS (SELECT row, col, CASE WHEN (row * 7 + col * 3) % 11 <> 0 THEN v END AS v FROM G), B AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM V),
+ D AS (SELECT V.row, V.col, V.v,
+  CASE WHEN V.row = r0 THEN n.v - V.v WHEN V.row = r1 THEN V.v - p.v ELSE (n.v - p.v) / 2 END AS dy,
+  CASE WHEN V.col = c0 THEN e.v - V.v WHEN V.col = c1 THEN V.v - w.v ELSE (e.v - w.v) / 2 END AS dx
+  FROM V CROSS JOIN B LEFT JOIN V n ON n.row = V.row + 1 AND n.col = V.col LEFT JOIN V p ON p.row = V.row - 1 AND p.col = V.col
+  LEFT JOIN V e ON e.col = V.col + 1 AND e.row = V.row LEFT JOIN V w ON w.col = V.col - 1 AND w.row = V.row)"""
+
+
+def holed(spark, sf_dir):
+    """The grid without data in one cell of eleven."""
+    return grid(spark, sf_dir).withColumn("v", F.when((F.col("row") * 7 + F.col("col") * 3) % 11 != 0, v()))
 
 
 @query("win_gradient", GRAD + " SELECT row, col, round(dy, 6) AS dz_dy, round(dx, 6) AS dz_dx FROM D")
 def gradient(spark, sf_dir):
-    return R.gradients(grid(spark, sf_dir)).select("row", "col", r6(F.col("dz_dy")).alias("dz_dy"), r6(F.col("dz_dx")).alias("dz_dx"))
+    return R.gradients(holed(spark, sf_dir)).select("row", "col", r6(F.col("dz_dy")).alias("dz_dy"), r6(F.col("dz_dx")).alias("dz_dx"))
 
 
 @query("win_slope_aspect", GRAD + """ SELECT row, col, round(degrees(atan(sqrt(dx * dx + dy * dy))), 5) AS slope,
   round(((90 - degrees(atan2(dy, -dx))) % 360 + 360) % 360, 5) AS aspect FROM D""")
 def slope_aspect(spark, sf_dir):
-    g = R.gradients(grid(spark, sf_dir))
+    g = R.gradients(holed(spark, sf_dir))
     return g.select("row", "col", F.round(R.slope_degrees(), 5).alias("slope"), F.round(R.aspect_degrees(), 5).alias("aspect"))
 
 
 @query("win_hillshade", GRAD + """ SELECT row, col, CAST(coalesce(floor(greatest(0, least(1, sin(radians(45.0)) * cos(atan(sqrt(dx * dx + dy * dy))) + cos(radians(45.0)) * sin(atan(sqrt(dx * dx + dy * dy))) * cos(radians(135.0) - atan2(dy, -dx)))) * 255), 0) AS SMALLINT) AS shade FROM D""")
 def hillshade(spark, sf_dir):
-    return R.gradients(grid(spark, sf_dir)).select("row", "col", R.hillshade().alias("shade"))
+    return R.gradients(holed(spark, sf_dir)).select("row", "col", R.hillshade().alias("shade"))
 
 
 @query("win_surface_normal", GRAD + """ SELECT row, col, round(-dx / sqrt(dx * dx + dy * dy + 1), 6) AS nx, round(-dy / sqrt(dx * dx + dy * dy + 1), 6) AS ny, round(1 / sqrt(dx * dx + dy * dy + 1), 6) AS nz FROM D""")
 def surface_normal(spark, sf_dir):
-    g, n = R.gradients(grid(spark, sf_dir)), F.sqrt(F.col("dz_dx") * F.col("dz_dx") + F.col("dz_dy") * F.col("dz_dy") + 1)
+    g, n = R.gradients(holed(spark, sf_dir)), F.sqrt(F.col("dz_dx") * F.col("dz_dx") + F.col("dz_dy") * F.col("dz_dy") + 1)
     return g.select("row", "col", r6(-F.col("dz_dx") / n).alias("nx"), r6(-F.col("dz_dy") / n).alias("ny"), r6(1 / n).alias("nz"))
 
 

@@ -93,10 +93,9 @@ def snippets(spark, sf_dir):
 STOP_SQL = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 
 
-@query("fn_query_terms", f"SELECT conv_id, turn, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 1 AND x NOT IN ({STOP_SQL})))) AS n_terms, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 1 AND x NOT IN ({STOP_SQL})))), ' ') AS terms FROM conversations")
+@query("fn_query_terms", f"SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9_:./-]+'), lambda x: length(x) > 1 AND x NOT IN ({STOP_SQL}))[1:24], ' ') AS terms FROM conversations")
 def query_terms(spark, sf_dir):
-    t = X.terms(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(t).cast("long").alias("n_terms"), F.array_join(F.array_sort(t), " ").alias("terms"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(X.terms(F.col("text")), " ").alias("terms"))
 
 
 @query("fn_message_compaction", r"SELECT conv_id, string_agg('[' || upper(role) || '] ' || replace(coalesce(text, ''), chr(10), ' ')[:240], chr(10) ORDER BY turn, role, text) AS body FROM conversations GROUP BY conv_id")

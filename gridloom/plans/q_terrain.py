@@ -10,7 +10,7 @@ from gridloom.functions import codec
 from gridloom.operators import terrain as K
 from gridloom.plans.q_time import dense, hourly
 from gridloom.plans.registry import query
-from gridloom.sources.tables import shared_dir, table
+from gridloom.sources.tables import shared_dir, stored, table
 from gridloom.sources.views import GRID_SQL, grid
 from gridloom.streaming import tiles
 
@@ -68,11 +68,13 @@ def ephemeris(spark, sf_dir):
     return spark.range(0, 86401, 3600).withColumnRenamed("id", "t").select("t", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(z, 3).alias("z"))
 
 
-@query("krn_horizon_codec", "SELECT vec_id, true AS near FROM embeddings")
+@query("krn_horizon_codec", """WITH E AS (SELECT vec_id, unnest(range(1, 65)) AS i, CAST(round_even(unnest(embedding)::DOUBLE * 10 * 32767 / 50, 0) AS BIGINT) AS q FROM embeddings),
+ D AS (SELECT vec_id, i, q, q - lag(q) OVER (PARTITION BY vec_id ORDER BY i) AS d FROM E)
+ SELECT vec_id, string_agg(CASE WHEN i = 1 THEN lpad(hex(q & 65535), 4, '0') WHEN d >= -64 AND d < 63 THEN lpad(hex(d & 127), 2, '0') ELSE lpad(hex((d & 32767) | 32768), 4, '0') END, '' ORDER BY i) AS bytes, true AS near FROM D GROUP BY vec_id""")
 def coded(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 10).alias("h"))
-    back = e.select("vec_id", "h", codec.decode(codec.encode("h")).alias("b"))
-    return back.select("vec_id", F.forall(F.zip_with("h", "b", lambda x, y: F.abs(x - y) <= 0.001), lambda ok: ok).alias("near"))
+    back = e.select("vec_id", "h", codec.encode("h").alias("c")).select("vec_id", "h", "c", codec.decode("c").alias("b"))
+    return back.select("vec_id", F.hex("c").alias("bytes"), F.forall(F.zip_with("h", "b", lambda x, y: F.abs(x - y) <= 0.001), lambda ok: ok).alias("near"))
 
 
 @query("krn_sun_vector_reduction", "WITH P AS (SELECT user_id % 5 AS probe, floor(value / 360 * 1440)::BIGINT % 1440 AS bin, event_id, value FROM events) SELECT DISTINCT arg_max(event_id, (value, event_id)) AS event_id FROM P GROUP BY probe, bin")
@@ -81,15 +83,17 @@ def reduction(spark, sf_dir):
     return e.groupBy("probe", "bin").agg(F.max_by("event_id", F.struct("value", "event_id")).alias("event_id")).select("event_id").distinct()
 
 
-@query("str_tile_reduction", "WITH H AS (SELECT user_id AS cell, CAST(floor((epoch(ts) - 1704067200) / 3600) AS BIGINT) AS t, avg(value) AS value FROM events GROUP BY 1, 2) SELECT cell AS tile, 4 AS chunks, round(avg(value), 4) AS mean, round(max(value), 4) AS high FROM H GROUP BY cell")
+@query("str_tile_reduction", "WITH H AS (SELECT user_id AS cell, CAST(floor((epoch(ts) - 1704067200) / 3600) AS BIGINT) AS t, avg(value) AS value FROM events GROUP BY 1, 2) SELECT cell AS tile, 4 AS chunks, round(sum(CAST(round(value, 9) AS DECIMAL(28,9)))::DOUBLE / count(value), 6) AS mean, round(max(value), 6) AS high FROM H GROUP BY cell")
 def streamed(spark, sf_dir):
     h = dense(spark, sf_dir).withColumn("position", F.least(F.floor(F.col("t") / 192), F.lit(3)).cast("int"))
-    rows = h.groupBy(F.col("cell").cast("long").alias("tile"), "position").agg(F.lit(4).alias("of"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"), F.coalesce(F.max("value"), F.lit(float("-inf"))).alias("high"), F.count("value").alias("n"))
+    total = F.sum(F.round("value", 9).cast("decimal(28,9)")).cast("decimal(38,9)")
+    rows = stored(h.groupBy(F.col("cell").cast("long").alias("tile"), "position").agg(F.lit(4).alias("of"), total.alias("total"), F.max("value").alias("high"), F.count("value").alias("n")), "chunks")
+    done = None
     folder = f"{shared_dir(spark)}/gridloom-chunks-{uuid.uuid4().hex}"
-    for i in range(4):  # four batches, in order
-        rows.where(F.col("position") == i).coalesce(1).write.mode("append").parquet(folder)
-    out = tiles.run(tiles.reduced(tiles.chunk_stream(spark, folder, 1)), "tiles")
-    return out.select("tile", "chunks", F.round("mean", 4).alias("mean"), F.round("high", 4).alias("high"))
+    for i in range(4):  # four batches, in order: one run of the stream for each
+        rows.where(F.col("position") == i).write.mode("append").parquet(folder)
+        done = tiles.run(tiles.reduced(tiles.chunk_stream(spark, folder, 1_000)), "tiles", folder)
+    return tiles.complete(rows, done).select("tile", "chunks", F.round("mean", 6).alias("mean"), F.round("high", 6).alias("high"))
 
 
 @query("krn_light_curve", "WITH H AS (SELECT user_id AS cell, CAST(floor((epoch(ts) - 1704067200) / 3600) AS BIGINT) AS t, avg(value) AS value FROM events GROUP BY 1, 2) SELECT t, round(value, 6) AS value FROM H WHERE cell = 7")

@@ -25,46 +25,6 @@ GRID_SQL = "G AS (SELECT vec_id AS row, label, unnest(range(0, 64))::INTEGER AS
 SECOND_SQL = "G2 AS (SELECT row, (63 - col)::INTEGER AS col, CASE WHEN (row + 63 - col) % 7 <> 0 THEN v END AS w FROM G)"
 
 
-def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time cube (cell, t, value): hourly means of a user's events."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("user_id").alias("cell"), F.date_trunc("hour", "ts").alias("t")).agg(F.avg("value").alias("value"))
-
-
-CUBE_SQL = "C AS (SELECT user_id AS cell, date_trunc('hour', ts) AS t, avg(value) AS value FROM events GROUP BY 1, 2)"
-
-
-def dense_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cube over every hour from its first to its last, with gaps as NULL."""
-    c = cube(spark, sf_dir)
-    span = c.agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    cells = c.select("cell").distinct().join(F.broadcast(span))  # one row
-    return cells.select("cell", F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("t")).join(c, ["cell", "t"], "left")
-
-
-DENSE_SQL = CUBE_SQL + """, D AS (
-  SELECT cell, t, value FROM (SELECT DISTINCT cell FROM C) CROSS JOIN (SELECT unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM C) LEFT JOIN C USING (cell, t))"""
-
-
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals (id, start, stop): runs of a user's events with gaps under half an hour."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    new = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) > 1_800_000_000) | F.lag("ts").over(w).isNull()
-    e = e.withColumn("n", F.sum(new.cast("int")).over(w))
-    return e.groupBy(F.col("user_id").alias("id"), "n").agg(F.min("ts").alias("start"), F.max("ts").alias("stop")).drop("n")
-
-
-SESSION_SQL = """S AS (
-  SELECT user_id AS id, min(ts) AS start, max(ts) AS stop FROM (
-    SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (
-      SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 THEN 1 ELSE 0 END AS fresh
-      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))
-  GROUP BY user_id, n)"""
-
-
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named features with type, importance, diameter, centre and extent, from the part table."""
     p = table(spark, sf_dir, "part")

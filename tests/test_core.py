@@ -1,5 +1,7 @@
 """Operators on literal rows with known results."""
 
+from decimal import Decimal
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,10 +81,10 @@ def test_any_term_only_if_no_document_has_all(spark):
     assert {r["doc_id"] for r in search.retrieve(index, ["red", "blue"], 5).collect()} == {1, 2, 3}
 
 
-@pytest.mark.parametrize("values", [[], [0], [63, -64, 62], [0, 16383, 32766, -3], [5, 5, 5]])
+@pytest.mark.parametrize("values", [[], [0], [63, -64, 62], [0, 16383, 32766, -3], [5, 5, 5], [-32767, -32767, -20000], [32767, 32700], [0, 32767, 0, -5]])
 def test_codec_round_trips_up_to_fifteen_bits(values):
     back = codec.unpacked(codec.packed(np.array(values))).tolist()
-    steps = np.diff([0, *values])
+    steps = np.diff(values)
     assert back == values if (abs(steps) <= 16383).all() else len(back) == len(values)
 
 
@@ -99,8 +101,51 @@ def test_stops_get_both_ends():
 
 
 def test_tiles_come_out_when_complete_and_in_order(spark, tmp_path):
-    rows = [(t, p, 2, float(t + p), float(p), 1) for p in range(2) for t in (1, 2) if (t, p) != (2, 1)]
+    rows = [(t, p, 2, Decimal(t + p), float(p), 1) for p in range(2) for t in (1, 2) if (t, p) != (2, 1)]
     for p in range(2):
         spark.createDataFrame([r for r in rows if r[1] == p], tiles.CHUNK).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = tiles.run(tiles.reduced(tiles.chunk_stream(spark, str(tmp_path / "in"), 1)), "test").collect()
     assert [(r["tile"], r["chunks"], r["mean"]) for r in got] == [(1, 2, 1.5)]
+
+
+def test_codec_bytes():
+    assert codec.packed(np.array([-2, -1, 61, 124, 60, -100])).hex() == "fffe" + "01" + "3e" + "803f" + "40" + "ff60"
+    assert codec.packed(np.array([30000, 30001])).hex() == "753001" and codec.unpacked(bytes.fromhex("753001")).tolist() == [30000, 30001]
+    blocks = [b"", b"ab", b"c" * 300]
+    assert codec.framed(blocks)[:4] == b"\0\0\2\0" and codec.unframed(codec.framed(blocks)) == blocks
+    with pytest.raises(ValueError):
+        codec.unframed(b"\5\0ab")
+
+
+def test_tiles_left_without_chunks_are_an_error(spark):
+    chunks = spark.createDataFrame([(1, 0, 1, Decimal(1), 1.0, 1), (2, 0, 2, Decimal(1), 1.0, 1)], tiles.CHUNK)
+    done = spark.createDataFrame([(1, 1, 1.0, 1.0)], tiles.OUT)
+    with pytest.raises(ValueError, match="2"):
+        tiles.complete(chunks, done)
+    assert tiles.complete(chunks.where("tile = 1"), done).count() == 1
+
+
+def test_gradient_is_one_sided_at_borders_only(spark):
+    z = [1.0, 4.0, None, 16.0, 25.0]
+    g = spark.createDataFrame([(r, c, v) for r in range(3) for c, v in enumerate(z)], "row long, col int, v double")
+    got = {r["col"]: r["dz_dx"] for r in grids.gradients(g).where("row = 1").collect()}
+    assert got == {0: 3.0, 1: None, 2: 6.0, 3: None, 4: 9.0}
+    absent = {r["col"]: r["dz_dx"] for r in grids.gradients(g.where("v is not null")).where("row = 1").collect()}
+    assert absent == {0: 3.0, 1: None, 3: None, 4: 9.0}
+
+
+def test_wide_erosions_and_halos(spark):
+    m = spark.createDataFrame([(r, c, 1) for r in range(40) for c in range(40)], "row long, col int, m int")
+    assert {(r["row"], r["col"]) for r in grids.eroded(m, 19).where("m = 1").collect()} == {(r, c) for r in (19, 20) for c in (19, 20)}
+    h = grids.haloed(m.where("row = 20 and col = 20"), halo=20, tile=8)
+    assert h.count() == 36 and h.where("own").count() == 1
+
+
+def test_markdown_and_csv_chunks(spark):
+    text = "intro\n# A\nline\n## B\n| x |\n| y |\n\ntail\n" + "# C\n" + "z" * 30
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = [(r["doc_id"], r["ordinal"], r["content"]) for r in search.markdown(df, 24).orderBy("doc_id", "ordinal").collect()]
+    assert got == [(1, 0, "intro\n\n# A\nline"), (1, 1, "## B\n| x |\n| y |\n\ntail"), (1, 2, "# C\n" + "z" * 30)]
+    rows = spark.createDataFrame([(1, "h,i\n" + "\n".join(f"{k},{k}" for k in range(5))), (2, "h,i"), (3, None)], "doc_id long, text string")
+    got = [(r["doc_id"], r["ordinal"], r["content"]) for r in search.csv_rows(rows, 2).orderBy("doc_id", "ordinal").collect()]
+    assert got == [(1, 0, "h,i\n0,0\n1,1"), (1, 1, "h,i\n2,2\n3,3"), (1, 2, "h,i\n4,4"), (2, 0, "h,i")]
