@@ -61,10 +61,6 @@ def as_byte(c: Column) -> Column:
     return F.least(F.greatest(F.rint(c), F.lit(0.0)), F.lit(255.0)).cast("smallint")
 
 
-def truncated_byte(c: Column) -> Column:
-    return F.least(F.greatest(F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)), F.lit(0)), F.lit(255)).cast("smallint")
-
-
 def as_continuous(c: Column, *used: Column) -> Column:
     """The value, or -9999 where it or any used input is nodata."""
     out = finite(c)

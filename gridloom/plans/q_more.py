@@ -109,7 +109,7 @@ def token_filter(spark, sf_dir):
 @query("set_token_overlap", "SELECT conv_id, turn, len(list_intersect(string_split(lower(text), ' '), ['the', 'data', 'how', 'please']))::INTEGER AS shared FROM conversations WHERE text IS NOT NULL")
 def token_overlap(spark, sf_dir):
     hints = F.array(*map(F.lit, ("the", "data", "how", "please")))
-    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.size(F.array_intersect(F.split(F.lower("text"), " "), hints)).alias("shared"))
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", X.overlap(F.split(F.lower("text"), " "), hints).alias("shared"))
 
 
 @query("fn_polygon_area", """WITH P AS (SELECT feature_id, [min_x, max_x + 1, max_x, min_x - 2] AS xs, [min_y, min_y, max_y, max_y] AS ys FROM Z WHERE min_x IS NOT NULL)
