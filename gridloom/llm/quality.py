@@ -57,7 +57,6 @@ CUTOFF = 25.7
 P = len(UNITS)
 XS = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
-MS, CS = [f"m{i}" for i in range(P)], [f"c{i}{j}" for i, j in PAIRS]
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -107,26 +106,32 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_w", "_upper", "_lines", "_grams", "_pairs", "_at")
 
 
-# From here on the many expressions are SQL text, which Spark parses at once: they come to thousands of columns otherwise.
+# From here on the many expressions are SQL text, which Spark parses at once. An estimate is two arrays, so that its
+# shrinking, done for some hundred rows, is a few expressions that the driver plans; only the rows' distances are columns.
 
 
 def _moments(rows: DataFrame, near: str, scale: float) -> DataFrame:
-    """Mean m and covariance c of the rows of each key `_g` and start `_s` that are near, with their number; nulls where there is none."""
+    """Mean `_m` and covariance `_c` (arrays, nulls where there is none) of the rows of each key `_g` and start `_s` that are near, with their number."""
     at = lambda c: f"avg(if({near}, {c}, null))"
     out = rows.groupBy("_g", "_p", "_s").agg(
         F.expr(f"count(if({near}, {XS[0]}, null)) as _n"),
-        *[F.expr(f"{at(x)} as m{i}") for i, x in enumerate(XS)],
-        *[F.expr(f"{at(f'{XS[i]} * {XS[j]}')} as q{i}{j}") for i, j in PAIRS],
+        F.expr(f"array({', '.join(at(x) for x in XS)}) as _m"),
+        F.expr(f"array({', '.join(at(f'{XS[i]} * {XS[j]}') for i, j in PAIRS)}) as _q"),
     )
-    return out.selectExpr("_g", "_p", "_s", "_n", *MS, *[f"{scale}D * (q{i}{j} - m{i} * m{j}) as c{i}{j}" for i, j in PAIRS])
+    return out.selectExpr("_g", "_p", "_s", "_n", "_m", f"transform(_q, (q, k) -> {scale}D * (q - {_side('_m', 0)} * {_side('_m', 1)})) as _c")
 
 
-def _toward(n: str, m: list[str], c: list[str], m0: list[str], c0: list[str]) -> list[str]:
-    """Means, then covariances, of n rows shrunk towards a prior by n / (n + CENTRE) and n / (n + PRIOR)."""
-    mix = lambda x, y, k: f"(coalesce({n} / ({n} + {k}D) * {x}, 0D) + (1 - {n} / ({n} + {k}D)) * {y})"
-    off = lambda i: f"coalesce({m[i]} - {m0[i]}, 0D)"
+def _side(of: str, which: int) -> str:
+    """The element of an array of P that belongs to row (0) or column (1) of the covariance's k-th entry."""
+    return f"get({of}, get(array({', '.join(str(p[which]) for p in PAIRS)}), k))"
+
+
+def _toward(n: str, m: str, c: str, m0: str, c0: str) -> tuple[str, str]:
+    """Mean and covariance of n rows shrunk towards a prior by n / (n + CENTRE) and n / (n + PRIOR)."""
+    mix = lambda a, b, k: f"zip_with({a}, {b}, (x, y) -> coalesce({n} / ({n} + {k}D) * x, 0D) + (1 - {n} / ({n} + {k}D)) * y)"
+    off = f"zip_with({m}, {m0}, (x, y) -> coalesce(x - y, 0D))"
     wider = f"{n} / ({n} + {CENTRE}D) * {CENTRE} / ({n} + {PRIOR})"
-    return [mix(x, y, CENTRE) for x, y in zip(m, m0, strict=True)] + [f"{mix(x, y, PRIOR)} + {wider} * {off(i)} * {off(j)}" for (i, j), x, y in zip(PAIRS, c, c0, strict=True)]
+    return mix(m, m0, CENTRE), f"transform({mix(c, c0, PRIOR)}, (z, k) -> z + {wider} * {_side(off, 0)} * {_side(off, 1)})"
 
 
 def _shrunk(raw: DataFrame, n: int) -> DataFrame:
@@ -136,13 +141,12 @@ def _shrunk(raw: DataFrame, n: int) -> DataFrame:
     """
     parent = lambda x: sized_broadcast(raw.selectExpr(*[f"{k} as {x}{k}" for k in raw.columns]), n)
     df = raw.join(parent("a_"), F.expr("_p = a__g and _s = a__s"), "left").join(parent("b_"), F.expr("a__p = b__g and _s = b__s"), "left")
-    names = lambda x, of: [x + k for k in of]
     # the parent's estimate: itself for all rows, shrunk for a language
-    above = _toward("a__n", names("a_", MS), names("a_", CS), names("b_", MS), names("b_", CS))
-    df = df.selectExpr(*raw.columns, "a__g", *[f"if(b__g is null, a_{k}, {e}) as p_{k}" for k, e in zip((*MS, *CS), above, strict=True)])
-    own = _toward("_n", MS, CS, names("p_", MS), names("p_", CS))
-    df = df.selectExpr("_g", "_p", "_s", "_n", *[f"if(a__g is null, {k}, {e}) as {k}" for k, e in zip((*MS, *CS), own, strict=True)])
-    left = df.selectExpr("*", *[f"c{i}{j} + {RIDGE if i == j else 0.0} as l{i}{j}" for i, j in PAIRS])
+    m, c = _toward("a__n", "a__m", "a__c", "b__m", "b__c")
+    df = df.selectExpr(*raw.columns, "a__g", f"if(b__g is null, a__m, {m}) as p_m", f"if(b__g is null, a__c, {c}) as p_c")
+    m, c = _toward("_n", "_m", "_c", "p_m", "p_c")
+    df = df.selectExpr("_g", "_p", "_s", "_n", f"if(a__g is null, _m, {m}) as _m", f"if(a__g is null, _c, {c}) as _c")
+    left = df.selectExpr("*", *[f"get(_c, {k}) + {RIDGE if i == j else 0.0} as l{i}{j}" for k, (i, j) in enumerate(PAIRS)])
     for j in range(P - 1):
         left = left.withColumns({f"l{i}{k}": F.expr(f"l{i}{k} - l{i}{j} * l{k}{j} / l{j}{j}") for i in range(j + 1, P) for k in range(j + 1, i + 1)})
     return left.selectExpr(*df.columns, " + ".join(f"ln(l{i}{i})" for i in range(P)) + " as _det")
@@ -154,13 +158,16 @@ def _noise() -> list[str]:
 
 def _with_distance(df: DataFrame) -> DataFrame:
     """df with `_d`, the squared Mahalanobis distance of x0..x4, by elimination in the covariance plus the row's sampling noise."""
-    df = df.withColumns({"_d": F.lit(0.0), **{f"v{i}": F.expr(f"{XS[i]} - m{i}") for i in range(P)}, **{f"c{i}{i}": F.expr(f"c{i}{i} + {noise}") for i, noise in enumerate(_noise())}})
+    noise = _noise()
+    start = {f"v{i}": f"{x} - get(_m, {i})" for i, x in enumerate(XS)}
+    start |= {f"c{i}{j}": f"get(_c, {k}) + {noise[i]}" if i == j else f"get(_c, {k})" for k, (i, j) in enumerate(PAIRS)}
+    df = df.withColumns({"_d": F.lit(0.0), **{k: F.expr(e) for k, e in start.items()}})
     for j in range(P):
         new = {"_d": f"_d + v{j} * v{j} / c{j}{j}"}
         new |= {f"v{i}": f"v{i} - c{i}{j} / c{j}{j} * v{j}" for i in range(j + 1, P)}
         new |= {f"c{i}{k}": f"c{i}{k} - c{i}{j} / c{j}{j} * c{k}{j}" for i in range(j + 1, P) for k in range(j + 1, i + 1)}
         df = df.withColumns({k: F.expr(e) for k, e in new.items()})
-    return df.drop(*MS, *CS, *[f"v{i}" for i in range(P)])
+    return df.drop("_m", "_c", *start)
 
 
 def _group() -> Column:
@@ -189,7 +196,7 @@ def _starts(stats: DataFrame, rows: DataFrame) -> DataFrame:
     q = q.groupBy("_g").agg(*[F.expr(f"max(if(i = {i}, (m + 0.5D) / {FINE}, null)) as m{i}") for i in range(P)], *[F.expr(f"max(if(i = {i}, (b - a) / {FINE} / 1.349D, null)) as s{i}") for i in range(P)])
     raw = _moments(rows.withColumn("_s", F.lit(1)), "true", 1.0)
     first = raw.select("_g", "_p", F.lit(0).alias("_s"), "_n").join(q, "_g", "left")
-    first = first.selectExpr("_g", "_p", "_s", "_n", *MS, *[f"s{i} * s{i} as c{i}{j}" if i == j else f"0D as c{i}{j}" for i, j in PAIRS])
+    first = first.selectExpr("_g", "_p", "_s", "_n", f"array({', '.join(f'm{i}' for i in range(P))}) as _m", f"array({', '.join(f's{i} * s{i}' if i == j else '0D' for i, j in PAIRS)}) as _c")
     return stored(raw.unionByName(first), "mcd")
 
 
