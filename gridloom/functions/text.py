@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 #: Words that a query does without.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "i", "in", "is", "it", "of", "on", "or", "that", "the", "to", "what", "when", "where", "which", "with"]
 
+#: Words that hint at a question about how to do something, and at one about the subject.
+PROCEDURAL_HINTS = ["how", "steps", "procedure", "workflow", "run", "generate", "create", "produce", "configure", "set", "api", "job", "tool", "script", "parameter", "arguments", "command"]
+DOMAIN_HINTS = ["lunar", "moon", "surface", "temperature", "dataset", "science", "mission", "apollo", "regolith", "insolation", "illumination", "thermal", "orbit", "crater"]
+CHANNELS = ["procedural", "domain", "mixed"]
+
 
 def clean_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
@@ -102,3 +107,40 @@ def degrees_text(c: Column) -> Column:
     a = F.abs(c)
     s = F.round((a * 3600) % 60, 2)
     return F.format_string("%s%d°%02d'%05.2f", F.when(c < 0, "-").otherwise(""), F.floor(a).cast("int"), (F.floor(a * 60) % 60).cast("int"), s)
+
+
+def routed(query: Column, default: str = "mixed") -> Column:
+    """The channel of which the query has more hints, counted by distinct words; the default on a tie, mixed for a blank query."""
+    words = F.regexp_extract_all(F.lower(query), F.lit("([a-z0-9_:/.-]+)"), F.lit(1))
+    how, what = (F.size(F.array_intersect(words, F.array(*map(F.lit, hints)))) for hints in (PROCEDURAL_HINTS, DOMAIN_HINTS))
+    return F.when(F.coalesce(collapsed(query), F.lit("")) == "", "mixed").when(how > what, "procedural").when(what > how, "domain").otherwise(default)
+
+
+def channel_split(k: Column, intent: Column, procedural: Column, domain: Column) -> Column:
+    """k rows dealt over both channels by their budgets: rounded half to even, one each at least.
+
+    What is over k is taken from the channel that the intent does not name, for a mixed one from the larger.
+    """
+    p, d, k = F.greatest(procedural, F.lit(0.0)), F.greatest(domain, F.lit(0.0)), F.greatest(k, F.lit(1))
+    share = lambda x: F.when(p + d > 0, F.try_divide(x, p + d)).otherwise(0.5)
+    a, b = (F.greatest(F.rint(k * share(x)).cast("int"), F.lit(1)) for x in (p, d))
+    over, keeps_a = F.greatest(a + b - k, F.lit(0)), F.when(intent == "procedural", True).when(intent == "domain", False).otherwise(a < b)
+    return F.struct(F.when(keeps_a, a).otherwise(F.greatest(a - over, F.lit(1))).alias("procedural"), F.when(keeps_a, F.greatest(b - over, F.lit(1))).otherwise(b).alias("domain"))
+
+
+def sanitised(text: Column) -> Column:
+    """ASCII only, spaces collapsed, each paragraph on one line, paragraphs parted by one blank line."""
+    ascii_only = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[^\x00-\x7F]", "")
+    lines = F.transform(F.split(ascii_only, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t\x0B\f\x1C-\x1F ]+", " ")))
+    parts = F.split(F.array_join(lines, "\n"), r"\n{2,}")
+    return F.array_join(F.filter(F.transform(parts, lambda x: F.trim(F.translate(x, "\n", " "))), lambda x: x != ""), "\n\n")
+
+
+def channel(text: Column) -> Column:
+    t = F.lower(F.trim(text))
+    return F.when(t.isin(CHANNELS), t).otherwise("mixed")
+
+
+def tags(text: Column) -> Column:
+    """Trimmed, non-empty parts of a comma list, each once, in order."""
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))

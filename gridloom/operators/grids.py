@@ -152,3 +152,17 @@ def nearest(g: DataFrame, targets: DataFrame) -> DataFrame:
     """targets (id, y, x) with v of the cell whose centre is nearest (halves go up)."""
     t = targets.withColumns({"row": F.floor(F.col("y") + 0.5), "col": F.floor(F.col("x") + 0.5)})
     return t.join(g.select("row", "col", "v"), ["row", "col"], "left").select("id", "y", "x", "v")
+
+
+def nested(fine: DataFrame, coarse: DataFrame, border: int, factor: int) -> DataFrame:
+    """A grid with so many cells more on each side: fine values where there are any, else those of coarse cells `factor` cells wide.
+
+    fine, coarse: row, col, v; cell (0, 0) of both begins at the same corner.
+    """
+    box = fine.agg(*[f(c).alias(f"{n}_{c}") for c in ("row", "col") for n, f in (("a", F.min), ("b", F.max))])  # one row
+    span = lambda c: F.explode(F.sequence(F.col(f"a_{c}") - border, F.col(f"b_{c}") + border)).alias(c)
+    cells = box.where("a_row is not null").select(span("row"), "a_col", "b_col").repartition("row").select("row", span("col"))
+    cells = cells.join(fine.select("row", "col", "v"), ["row", "col"], "left")
+    block = lambda c: F.floor(F.col(c) / factor)
+    far = coarse.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("v").alias("_v"))
+    return cells.withColumns({"_r": block("row"), "_c": block("col")}).join(far, ["_r", "_c"], "left").select("row", "col", F.coalesce("v", "_v").alias("v"))

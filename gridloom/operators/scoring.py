@@ -28,3 +28,31 @@ def gated(scored: DataFrame, suite: str, threshold: float) -> DataFrame:
     """Mean score a suite; passed if it reaches threshold without a mandatory failure."""
     out = scored.groupBy(suite).agg(F.avg("score").alias("mean"), F.sum((~F.col("mandatory")).cast("int")).alias("failures"), F.count(F.lit(1)).alias("cases"))
     return out.withColumn("passed", (F.col("mean") >= threshold) & (F.col("failures") == 0))
+
+
+def case_metrics(cases: DataFrame) -> DataFrame:
+    """One row of ratios over matched cases: mode, tool, arguments, schema, first try, blocked calls.
+
+    cases: expected_mode, mode, expected_tool, allowed, disallowed, tool, required, given, valid, first_try, expects_block, blocked.
+    All but the first and the last count cases whose expected mode is tool_call.
+    """
+    c, yes = F.col, lambda x: F.coalesce(x, F.lit(False))
+    call, every = yes(c("expected_mode") == "tool_call"), F.lit(True)
+    named = c("expected_tool").isNull() | (c("expected_tool") == "") | yes(c("tool") == c("expected_tool")) | yes(F.array_contains("allowed", c("tool")))
+    tool = named & ~yes(F.array_contains("disallowed", c("tool")))
+    given = F.size(F.array_except(F.coalesce("required", F.array().cast("array<string>")), F.coalesce("given", F.array().cast("array<string>")))) == 0
+    return cases.agg(
+        ratio(c("mode").eqNullSafe(c("expected_mode")), every).alias("mode"), ratio(tool, call).alias("tool"), ratio(given, call).alias("arguments"), ratio(yes(c("valid")), call).alias("schema"),
+        ratio(yes(c("first_try")), call).alias("first_try"), ratio(yes(c("blocked")), yes(c("expects_block"))).alias("blocked"),
+    )
+
+
+def prefilter(turns: DataFrame) -> DataFrame:
+    """One row: shares of first turns that are eligible, eligible and right at once, and of failed ones that a second turn repairs.
+
+    turns: base, order, eligible, first_try. First turns of unknown eligibility don't count.
+    """
+    of = lambda n, name: F.max(F.when(F.col("order") == n, F.coalesce(F.col(name), F.lit(False)) if n == 2 else F.col(name)))
+    t = turns.where("order in (1, 2)").groupBy("base").agg(of(1, "eligible").alias("e1"), of(1, "first_try").alias("t1"), of(2, "eligible").alias("e2"), of(2, "first_try").alias("t2"))
+    known, right = F.col("e1").isNotNull(), F.coalesce(F.col("e1") & F.coalesce("t1", F.lit(False)), F.lit(False))
+    return t.agg(ratio(F.coalesce("e1", F.lit(False)), known).alias("eligible"), ratio(right, known).alias("right_at_once"), ratio(F.coalesce(F.col("e2") & F.col("t2"), F.lit(False)), known & ~right & F.col("e2").isNotNull()).alias("repaired"))

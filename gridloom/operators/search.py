@@ -129,3 +129,40 @@ def flattened(rows: DataFrame, key: str, record: str) -> DataFrame:
     paths = leaves(rows.schema[record].dataType, record)
     pairs = F.array(*[F.struct(F.lit(p.removeprefix(f"{record}.")).alias("key"), F.col(p).cast("string").alias("value")) for p in paths])
     return rows.select(key, F.explode(pairs).alias("x")).select(key, "x.*").where("value is not null")
+
+
+def routed_top(scored: DataFrame, channels: DataFrame, terms: int, budget: dict[str, int], k: int) -> DataFrame:
+    """The best documents of each channel, mixed ones included, up to its budget; the first channel's come first, k in all.
+
+    scored: doc_id, matched, score; channels: doc_id, channel. A channel without a document that holds all terms takes those with any.
+    """
+    rows, found = scored.join(channels, "doc_id"), []
+    for place, (name, n) in enumerate(budget.items()):
+        own = rows.where(F.col("channel").isin(name, "mixed"))
+        most = F.broadcast(own.agg(F.max("matched").alias("_m")))  # one row
+        best = own.join(most).where((F.col("_m") < terms) | (F.col("matched") == terms))
+        found.append(best.orderBy(F.round("score", 9).desc(), "doc_id").limit(n).select("doc_id", "score", F.lit(place).alias("place")))
+    both = found[0]
+    for x in found[1:]:
+        both = both.union(x)
+    first = both.groupBy("doc_id").agg(F.min("place").alias("place"), F.max("score").alias("score"))
+    return first.orderBy("place", F.round("score", 9).desc(), "doc_id").limit(k)
+
+
+def front_matter(docs: DataFrame) -> DataFrame:
+    """doc_id, metadata and body: the lines `key: value` that a text begins with, lower-case keys, the last of equal ones; and the rest."""
+    breaks = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), f"({breaks})$", ""), breaks)
+    d = docs.select("doc_id", lines.alias("lines"))
+    stop = F.array_position(F.transform("lines", lambda x: x.rlike(r"^[a-zA-Z_][a-zA-Z0-9_-]*:\s+")), False)
+    d = d.withColumn("n", F.when(stop == 0, F.size("lines")).otherwise(stop - 1).cast("int"))
+    pair = lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.btrim(F.regexp_replace(x, "^[^:]*:", ""), F.lit(" \t")).alias("value"))
+    d = d.withColumn("pairs", F.transform(F.slice("lines", F.lit(1), F.col("n")), pair))
+    last = F.filter("pairs", lambda x, i: ~F.exists(F.slice("pairs", i + 2, F.size("pairs")), lambda y: y["key"] == x["key"]))
+    body = F.ltrim(F.array_join(F.slice("lines", F.col("n") + 1, F.size("lines")), "\n"), F.lit("\n"))
+    return d.select("doc_id", F.map_from_entries(last).alias("metadata"), body.alias("body"))
+
+
+def layered(layers: DataFrame, key: str) -> DataFrame:
+    """`place` of each layer of its scene, from 1: by z_index, then by age."""
+    return layers.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("z_index", "updated")))

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions.geometry import circular, drop
+from gridloom.sources.tables import sized_broadcast
 
 
 def rays(observers: DataFrame, directions: int, steps: int) -> DataFrame:
     """Cells (row, col) that each observer's rays step on, with direction, step and distance in cells.
 
-    observers: id, row, col. One row an observer, direction and step; nothing is collected.
+    observers: id, row, col; their other columns go along. One row an observer, direction and step; nothing is collected.
     """
-    out = observers.select("id", F.col("row").alias("r0"), F.col("col").alias("c0"), F.explode(F.sequence(F.lit(0), F.lit(directions - 1))).alias("direction"))
+    also = [c for c in observers.columns if c not in ("id", "row", "col")]
+    out = observers.select("id", *also, F.col("row").alias("r0"), F.col("col").alias("c0"), F.explode(F.sequence(F.lit(0), F.lit(directions - 1))).alias("direction"))
     out = out.select("*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
     a = F.col("direction") * (2 * math.pi / directions)
     row, col = F.floor(F.col("r0") - F.cos(a) * F.col("step") + 0.5), F.floor(F.col("c0") + F.sin(a) * F.col("step") + 0.5)
@@ -24,9 +26,13 @@ def rays(observers: DataFrame, directions: int, steps: int) -> DataFrame:
 
 
 def _heights(observers: DataFrame, dem: DataFrame, directions: int, steps: int, eye: float, cell: float) -> DataFrame:
-    """Slope from each observer's eye to each cell on its rays, curvature taken off."""
-    eyes = observers.select("id", "row", "col").join(dem.select("row", "col", F.col("v").alias("z0")), ["row", "col"])
-    cells = rays(eyes, directions, steps).join(dem.select("row", "col", F.col("v").alias("z")), ["row", "col"]).join(eyes.select("id", "z0"), "id")
+    """Slope from each observer's eye to each cell on its rays, curvature taken off.
+
+    An observer's rays stay in its task: only observers are shuffled, unless the grid is too large to broadcast.
+    """
+    eyes = observers.select("id", "row", "col").join(dem.select("row", "col", F.col("v").alias("z0")), ["row", "col"]).repartition("id")
+    heights = dem.select("row", "col", F.col("v").alias("z"))
+    cells = rays(eyes, directions, steps).join(sized_broadcast(heights, dem.count()), ["row", "col"])
     d = F.hypot((F.col("row") - F.col("r0")).cast("double"), (F.col("col") - F.col("c0")).cast("double")) * cell
     return cells.withColumn("slope", F.try_divide(F.col("z") - drop(d) - F.col("z0") - eye, d))
 

@@ -15,24 +15,25 @@ from gridloom.sources.views import GRID_SQL, grid
 from gridloom.streaming import tiles
 
 G = f"WITH {GRID_SQL}"
-RAYS = G + """, O AS (SELECT row AS id, row, col, v AS z0 FROM G WHERE row % 25 = 12 AND col = 32), R AS (SELECT id, row AS r0, col AS c0, z0, d, s,
-  floor(row - cos(d * (2 * pi() / {dirs})) * s + 0.5)::BIGINT AS row, floor(col + sin(d * (2 * pi() / {dirs})) * s + 0.5)::BIGINT AS col FROM O, unnest(range(0, {dirs})) AS a(d), unnest(range(1, 25)) AS b(s)),
+RAYS = G + """, O AS (SELECT row * 64 + col AS id, row, col, v AS z0 FROM G), R AS (SELECT id, row AS r0, col AS c0, z0, d, s,
+  floor(row - cos(d * (2 * pi() / {dirs})) * s + 0.5)::BIGINT AS row, floor(col + sin(d * (2 * pi() / {dirs})) * s + 0.5)::BIGINT AS col FROM O, unnest(range(0, {dirs})) AS a(d), unnest(range(1, {past})) AS b(s)),
 S AS (SELECT id, d, s, R.row, R.col, (G.v - x * x / (2 * 1737400.0) - z0 - 0.05) / x AS slope FROM (SELECT *, sqrt((row - r0) * (row - r0) + (col - c0) * (col - c0)) AS x FROM R) R JOIN G ON G.row = R.row AND G.col = R.col)"""
 
 
 def observers(spark, sf_dir):
-    return grid(spark, sf_dir).where("row % 25 = 12 and col = 32").select(F.col("row").alias("id"), "row", "col")
+    """Every cell."""
+    return grid(spark, sf_dir).select((F.col("row") * 64 + F.col("col")).alias("id"), "row", "col")
 
 
-@query("krn_viewshed", RAYS.format(dirs=16) + """, V AS (SELECT *, max(slope) OVER (PARTITION BY id, d ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM S)
+@query("krn_viewshed", RAYS.format(dirs=16, past=17) + """, V AS (SELECT *, max(slope) OVER (PARTITION BY id, d ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM S)
 SELECT row, col, count(DISTINCT id)::INTEGER AS observers FROM (SELECT row, col, id FROM V WHERE top IS NULL OR slope + 1e-8 >= top UNION SELECT row, col, id FROM O) GROUP BY row, col""")
 def viewshed(spark, sf_dir):
-    return K.viewshed(observers(spark, sf_dir), grid(spark, sf_dir), 16, 24).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "observers")
+    return K.viewshed(observers(spark, sf_dir), grid(spark, sf_dir), 16, 16).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "observers")
 
 
-@query("krn_horizon", RAYS.format(dirs=12) + " SELECT id, d AS direction, round(degrees(atan(max(slope))), 5) AS angle FROM S GROUP BY id, d")
+@query("krn_horizon", RAYS.format(dirs=12, past=65) + " SELECT id, d AS direction, round(degrees(atan(max(slope))), 5) AS angle FROM S GROUP BY id, d")
 def horizon(spark, sf_dir):
-    h = K.horizons(observers(spark, sf_dir), grid(spark, sf_dir), 12, 24)
+    h = K.horizons(observers(spark, sf_dir), grid(spark, sf_dir), 12, 64)
     return h.select("id", F.posexplode("horizon").alias("direction", "angle")).where("angle > -90").select("id", F.col("direction").cast("long").alias("direction"), F.round("angle", 5).alias("angle"))
 
 
