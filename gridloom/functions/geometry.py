@@ -117,3 +117,15 @@ def hapke(mu0: Column, mu: Column, cos_phase: Column, w: float, g: float, b0: fl
     half = F.sqrt(F.greatest(F.lit(0.0), (1 - cos_phase) / (1 + cos_phase + 1e-12)))
     r = w / (4 * math.pi) * F.try_divide(mu0, mu0 + mu) * ((1 + b0 / (1 + half / h)) * henyey_greenstein(cos_phase, g) + ambient(mu0) * ambient(mu) - 1)
     return F.greatest(F.lit(0.0), F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)))
+
+
+def segment_meets_box(x1: Column, y1: Column, x2: Column, y2: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    """Does a segment touch a closed box? Their extents meet, and the box's corners are not all on one side of the line."""
+    side = [(x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) for x in (left, right) for y in (top, bottom)]
+    extents = (F.least(x1, x2) <= right) & (F.greatest(x1, x2) >= left) & (F.least(y1, y2) <= bottom) & (F.greatest(y1, y2) >= top)
+    return extents & (F.least(*side) <= 0) & (F.greatest(*side) >= 0)
+
+
+def outward(low: Column, high: Column, size: int) -> tuple[Column, Column]:
+    """An extent grown to whole patches."""
+    return F.floor(low / size) * size, F.ceil(high / size) * size

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -53,3 +55,13 @@ def contour(v: Column, interval: float, width: float) -> Column:
     """Is v within half a width of a multiple of interval?"""
     r = F.pmod(v, F.lit(interval))
     return F.coalesce(F.least(r, interval - r) <= max(1e-6, width / 2), F.lit(False))
+
+
+def default_colormap(stem: Column, rules: Sequence[tuple[str, str]], known: Sequence[str], default: str = "gray") -> Column:
+    """The colour map of the first rule whose pattern is found in the file's stem; rules of unknown maps or with broken patterns are left out."""
+    valid = []
+    for pattern, name in rules:
+        with contextlib.suppress(re.error):
+            re.compile(pattern)
+            valid += [(pattern, name)] if name in known else []
+    return F.coalesce(*[F.when(stem.rlike(p), n) for p, n in valid], F.lit(default if default in known else "gray"))

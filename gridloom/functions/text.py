@@ -144,3 +144,42 @@ def channel(text: Column) -> Column:
 def tags(text: Column) -> Column:
     """Trimmed, non-empty parts of a comma list, each once, in order."""
     return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+#: Kinds of features, and other words for them.
+KINDS = ["Crater", "Mons", "Mare", "Massif", "Rima", "Rupes", "Vallis", "Dorsum", "Planitia", "Palus", "Lacus", "Promontorium", "Montes", "Patera", "Sinus", "Catena", "Oceanus", "Dorsa"]
+OTHER_KINDS = {
+    "mountain": "Mons", "mountains": "Montes", "sea": "Mare", "plain": "Planitia", "plains": "Planitia", "valley": "Vallis", "ridge": "Dorsum", "ridges": "Dorsa", "marsh": "Palus",
+    "lake": "Lacus", "ocean": "Oceanus", "cape": "Promontorium", "cliff": "Rupes", "cliffs": "Rupes", "trench": "Rima", "channel": "Rima", "crater": "Crater",
+}
+
+
+def kind(text: Column) -> Column:
+    """The usual spelling of a kind of feature or another word for it; other texts as they are, NULL for blank ones."""
+    t = F.nullif(collapsed(text), F.lit(""))
+    words = {k.lower(): k for k in KINDS} | OTHER_KINDS
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), F.lower(t)), t)
+
+
+def name_variants(name: Column, feature_type: Column) -> Column:
+    """Array of (name, type) to look up in turn.
+
+    The name as it is; with a kind that it begins or ends with, also without it; each kind before and after
+    the bare name; at last the name without a type. Equal ones, whatever their case, are kept once.
+    """
+    base, given = collapsed(name), kind(feature_type)
+    words = F.split(base, " ")
+    n = F.size(words)
+    first, last = kind(F.get(words, F.lit(0))), kind(F.get(words, n - 1))
+    begins, ends = (n > 1) & first.isin(KINDS), (n > 1) & last.isin(KINDS)
+    inner = F.when(begins, first).when(ends, last)
+    bare = F.when(begins, F.array_join(F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))), " ")).when(ends, F.array_join(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), " "))
+    none = F.lit(None).cast("string")
+    pair = lambda a, t, ok: F.when(ok, F.struct(a.alias("name"), t.alias("type")))
+    stem = F.coalesce(bare, base)
+    typed = [p for t in (given, inner) for p in (pair(F.concat(t, F.lit(" "), stem), t, t.isNotNull()), pair(F.concat(stem, F.lit(" "), t), t, t.isNotNull()), pair(base, t, t.isNotNull()))]
+    every = F.array(pair(base, given, base != ""), pair(base, inner, inner.isNotNull()), pair(bare, inner, inner.isNotNull()), *typed, pair(base, none, given.isNotNull()))
+    named = F.filter(every, lambda x: x.isNotNull() & (x["name"] != ""))
+    same = lambda a, b: (F.lower(a["name"]) == F.lower(b["name"])) & F.lower(a["type"]).eqNullSafe(F.lower(b["type"]))
+    once = F.filter(named, lambda x, i: ~F.exists(F.slice(named, F.lit(1), i), lambda y: same(x, y)))
+    return F.when(F.coalesce(base, F.lit("")) != "", once).otherwise(F.filter(named, lambda x: F.lit(False)))

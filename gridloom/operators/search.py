@@ -166,3 +166,23 @@ def front_matter(docs: DataFrame) -> DataFrame:
 def layered(layers: DataFrame, key: str) -> DataFrame:
     """`place` of each layer of its scene, from 1: by z_index, then by age."""
     return layers.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("z_index", "updated")))
+
+
+def refreshed(indexed: DataFrame, listed: DataFrame) -> DataFrame:
+    """path and state of every file: added, updated (another mtime or size), unchanged, or removed from the listing."""
+    a = indexed.select("path", F.struct("mtime", "size").alias("_a"))
+    b = listed.select("path", F.struct("mtime", "size").alias("_b"))
+    state = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_a").eqNullSafe(F.col("_b")), "unchanged").otherwise("updated")
+    return a.join(b, "path", "full_outer").select("path", state.alias("state"))
+
+
+def resolved(mentions: DataFrame, features: DataFrame) -> DataFrame:
+    """Each mention (id, name, type) with the feature that the first of its name's variants to be found names.
+
+    features: feature_id, clean_name, feature_type, importance. Of several features the most important, then the least id.
+    """
+    v = mentions.select("id", F.posexplode(X.name_variants(F.col("name"), F.col("type"))).alias("place", "v"))
+    v = v.select("id", "place", X.clean_name(F.col("v.name")).alias("clean_name"), F.lower("v.type").alias("_t"))
+    f = features.select("clean_name", "feature_id", F.coalesce("importance", F.lit(0.0)).alias("_i"), F.concat(F.lit(" "), F.lower(F.translate("feature_type", ",/", "  ")), F.lit(" ")).alias("_types"))
+    hits = v.join(f, "clean_name").where(F.col("_t").isNull() | F.contains("_types", F.concat(F.lit(" "), F.col("_t"), F.lit(" "))))
+    return hits.groupBy("id").agg(F.min(F.struct("place", -F.col("_i"), "feature_id"))["feature_id"].alias("feature_id"))

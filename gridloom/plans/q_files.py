@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.functions import geometry as M
+from gridloom.functions import style
 from gridloom.functions import text as X
 from gridloom.operators import grids as R
 from gridloom.operators import scoring as E
@@ -13,7 +15,7 @@ from gridloom.plans.q_catalog import BM25
 from gridloom.plans.registry import query
 from gridloom.sources import tilefiles as T
 from gridloom.sources.tables import table
-from gridloom.sources.views import GRID_SQL, grid
+from gridloom.sources.views import GAZETTEER_SQL, GRID_SQL, gazetteer, grid
 
 
 def r6(c):
@@ -170,3 +172,51 @@ def nested(spark, sf_dir):
     coarse = g.groupBy((F.floor(F.col("row") / 8) - 1).alias("row"), (F.floor(F.col("col") / 8) - 1).alias("col")).agg(F.avg("v").alias("v"))
     n = R.nested(g, coarse, 8, 8)
     return n.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), r6(F.col("v")).alias("v"))
+
+
+@query("ret_refresh_states", """WITH A AS (SELECT doc_id, n_chars AS m, length(source) AS z FROM documents), B AS (SELECT doc_id, CASE WHEN toxic = 1 THEN -1 ELSE 0 END AS d FROM labels), C AS (SELECT doc_id, m + d AS m, z FROM A JOIN B USING (doc_id) UNION ALL SELECT -1 - n_nationkey, 0, 0 FROM nation)
+ SELECT coalesce(A.doc_id, C.doc_id)::VARCHAR AS path, CASE WHEN A.doc_id IS NULL THEN 'added' WHEN C.doc_id IS NULL THEN 'removed' WHEN A.m IS NOT DISTINCT FROM C.m AND A.z IS NOT DISTINCT FROM C.z THEN 'unchanged' ELSE 'updated' END AS state FROM A FULL OUTER JOIN C ON A.doc_id = C.doc_id""")
+def refresh(spark, sf_dir):
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("mtime"), F.length("source").cast("long").alias("size"))
+    b = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"), "toxic")
+    c = a.join(b, "path").select("path", (F.col("mtime") + F.when(F.col("toxic") == 1, -1).otherwise(0)).alias("mtime"), "size")
+    more = table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("string").alias("path"), F.lit(0).cast("long").alias("mtime"), F.lit(0).cast("long").alias("size"))
+    return S.refreshed(a, c.union(more))
+
+
+@query("fn_name_variants", """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || '|Mons;Mons ' || p_name || '|Mons;' || p_name || ' Mons|Mons;' || p_name || '|' WHEN 1 THEN 'Sea ' || p_name || '|;Sea ' || p_name || '|Mare;' || p_name || '|Mare;Mare ' || p_name || '|Mare;' || p_name || ' Mare|Mare' ELSE p_name || '|' END AS variants FROM part""")
+def variants(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    name = F.when(k == 1, F.concat(F.lit(" Sea  "), "p_name")).otherwise(F.col("p_name"))
+    v = X.name_variants(name, F.when(k == 0, "mountain"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(v, lambda x: F.concat(x["name"], F.lit("|"), F.coalesce(x["type"], F.lit("")))), ";").alias("variants"))
+
+
+@query("jn_resolved_names", f"WITH {GAZETTEER_SQL} SELECT a.feature_id AS id, first(b.feature_id ORDER BY coalesce(b.importance, 0) DESC, b.feature_id)::BIGINT AS feature_id FROM Z a JOIN Z b USING (clean_name) WHERE a.clean_name <> '' GROUP BY a.feature_id")
+def resolved(spark, sf_dir):
+    g = gazetteer(spark, sf_dir)
+    return S.resolved(g.select(F.col("feature_id").alias("id"), "name", F.lit(None).cast("string").alias("type")), g)
+
+
+RULES = [("[", "heat"), ("^red", "lost"), ("red|blue", "heat"), ("widget$", "slope")]
+
+
+@query("fn_default_colormap", "SELECT p_partkey, CASE WHEN regexp_matches(p_name, 'red|blue') THEN 'heat' WHEN regexp_matches(p_name, 'widget$') THEN 'slope' ELSE 'gray' END AS colormap FROM part")
+def colormap(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", style.default_colormap(F.col("p_name"), RULES, ["heat", "slope", "gray"]).alias("colormap"))
+
+
+@query("fn_segment_box", """WITH S AS (SELECT p_partkey AS k, k * 7 % 41 AS x1, k * 11 % 43 AS y1, k * 13 % 41 AS x2, k * 17 % 43 AS y2, k * 5 % 30 AS l, k * 3 % 30 AS t, k * 5 % 30 + k % 9 AS r, k * 3 % 30 + k % 8 AS b FROM part),
+ E AS (SELECT *, [CASE WHEN x2 = x1 THEN CASE WHEN x1 BETWEEN l AND r THEN -1 ELSE 9 END ELSE least((l - x1) / (x2 - x1), (r - x1) / (x2 - x1)) END, CASE WHEN y2 = y1 THEN CASE WHEN y1 BETWEEN t AND b THEN -1 ELSE 9 END ELSE least((t - y1) / (y2 - y1), (b - y1) / (y2 - y1)) END, 0] AS lo,
+  [CASE WHEN x2 = x1 THEN 9 ELSE greatest((l - x1) / (x2 - x1), (r - x1) / (x2 - x1)) END, CASE WHEN y2 = y1 THEN 9 ELSE greatest((t - y1) / (y2 - y1), (b - y1) / (y2 - y1)) END, 1] AS hi FROM S)
+ SELECT k, list_max(lo) <= list_min(hi) + 1e-12 AS meets, (l // 8 * 8)::BIGINT AS low, ((r + 7) // 8 * 8)::BIGINT AS high FROM E""")
+def segment_box(spark, sf_dir):
+    k = F.col("p_partkey")
+    left, top = k * 5 % 30, k * 3 % 30
+    low, high = M.outward(left, left + k % 9, 8)
+    return table(spark, sf_dir, "part").select(k.alias("k"), M.segment_meets_box(k * 7 % 41, k * 11 % 43, k * 13 % 41, k * 17 % 43, left, top, left + k % 9, top + k % 8).alias("meets"), low.alias("low"), high.alias("high"))
+
+
+@query("set_ordered_distinct", "WITH W AS (SELECT item_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM benchmark WHERE text IS NOT NULL) SELECT item_id, string_agg(w, ' ' ORDER BY i) AS words FROM (SELECT item_id, w, min(i) AS i FROM W GROUP BY item_id, w) GROUP BY item_id")
+def ordered_distinct(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
