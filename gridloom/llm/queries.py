@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, jaccard, langid, quality, sharding, substring, tokens, toxicity, urlfilter, warc
+from gridloom.llm import decontam, jaccard, langid, packing, quality, sharding, substring, tokens, toxicity, urlfilter, warc
 from gridloom.llm.common import table
 
 
@@ -57,7 +57,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_sentencepiece, op4_warc_derivatives, op5_url_filter, op6_toxicity, op7_sharding, op8_quality_rules, op9_substring_dedup, op10_ngram_jaccard)}
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_sentencepiece, op4_warc_derivatives, op5_url_filter, op6_toxicity, op7_sharding, op8_quality_rules, op9_substring_dedup, op10_ngram_jaccard, op12_packing)}
 SQL: dict[str, str] = {}
 
 SQL["op9_substring_dedup"] = r"""
