@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, jaccard, langid, packing, quality, sharding, substring, tokens, toxicity, urlfilter, warc
+from gridloom.llm import collocations, decontam, jaccard, langid, packing, quality, sharding, substring, tokens, toxicity, urlfilter, warc
 from gridloom.llm.common import table
 
 
@@ -57,11 +57,15 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_sentencepiece, op4_warc_derivatives, op5_url_filter, op6_toxicity, op7_sharding, op8_quality_rules, op9_substring_dedup, op10_ngram_jaccard, op12_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_sentencepiece, op4_warc_derivatives, op5_url_filter, op6_toxicity, op7_sharding, op8_quality_rules, op9_substring_dedup, op10_ngram_jaccard, op11_collocations, op12_packing)}
 SQL: dict[str, str] = {}
 
 SQL["op9_substring_dedup"] = r"""
@@ -122,3 +126,33 @@ SELECT page_id, u.host, u.path, rule, coalesce(v, CASE
   ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN m ON u.host = m.host AND u.path = m.path
 """
+
+SQL["op11_collocations"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT i, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(t, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p
+), g AS (
+  SELECT lang, k, w[j:j + k - 1] AS g FROM w, (VALUES (1), (2), (3)) AS o(k), unnest(range(1, len(w) - k + 2)) AS r(j)
+), f AS (
+  SELECT lang, k, g, count(*) AS f FROM g GROUP BY lang, k, g
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 10
+), top AS (
+  SELECT lang, g, max(f) AS f FROM (SELECT lang, g[1:2] AS g, f FROM f WHERE k = 3 AND f >= 10 UNION ALL SELECT lang, g[2:3], f FROM f WHERE k = 3 AND f >= 10) GROUP BY lang, g
+), kept AS (
+  SELECT c.* FROM c LEFT JOIN top ON c.lang = top.lang AND c.g = top.g WHERE top.f IS NULL OR 100 * top.f < 50 * a
+), s AS (
+  SELECT kept.lang, kept.g, a, cut, x.f AS l, y.f AS r, 1000000 * a::HUGEINT * a::HUGEINT // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM kept JOIN (VALUES (1), (2)) AS o(cut) ON cut < kept.k
+  JOIN f AS x ON x.lang = kept.lang AND x.g = kept.g[1:cut] JOIN f AS y ON y.lang = kept.lang AND y.g = kept.g[cut + 1:kept.k]
+), low AS (
+  SELECT *, array_to_string(g, ' ') AS phrase FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM low JOIN n USING (lang) QUALIFY rank <= 2000
+"""
