@@ -45,6 +45,12 @@ def stereographic_scale(lon: Column, lat: Column, lon0: float, lat0: float) -> C
     return 2.0 / (1.0 + F.sin(p) * F.sin(la) + F.cos(p) * F.cos(la) * F.cos(lo))
 
 
+def stereographic_convergence(lon: Column, lat: Column, lon0: float, lat0: float) -> Column:
+    """Degrees that a direction on the map is turned clockwise to be a bearing from north."""
+    la, lo, p = F.radians(lat), F.radians(lon - lon0), F.radians(F.lit(lat0))
+    return F.degrees(F.atan2(F.sin(lo) * (F.sin(la) + F.sin(p)), F.cos(la) * F.cos(p) + F.cos(lo) * (1.0 + F.sin(la) * F.sin(p))))
+
+
 def body_fixed(lon: Column, lat: Column, height: Column, radius: float = RADIUS) -> tuple[Column, Column, Column]:
     r, lo, la = height + radius, F.radians(lon), F.radians(lat)
     return r * F.cos(la) * F.cos(lo), r * F.cos(la) * F.sin(lo), r * F.sin(la)
