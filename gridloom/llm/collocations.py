@@ -40,7 +40,7 @@ WORDS, LEAST, WITHIN, MOST = 3, 10, 50, 2000
 BREAK = b"\xff"
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + BREAK * 10 + b" ")
 #: Starting words of a run; words or n-grams that a task holds before it counts them out; the frequent words of an id bucket.
-RUN, HELD, BUCKET = 1 << 15, 1 << 20, 50_000
+RUN, HELD, BUCKET = 1 << 15, 1 << 19, 50_000
 #: Bits of the range of a task's filters, and those that each further turn of merging adds.
 SPREAD, FAN = 9, 6
 #: The most bits, as a power of two, of the sieve of frequent (n - 1)-grams.
