@@ -15,8 +15,8 @@ the last full ones, lays the remaining pieces end to end, cuts them at the capac
 sequences whose lengths are powers of two, which need no padding.
 
 Ids are those of the `tokenizers` library. Its file drops white space, so the ids of a text
-are those of its words one after the other: each word is encoded once a task (`REMEMBERED` words
-are kept), and long texts are worked on in stretches of about `STRETCH` bytes that end at white
+are those of its words one after the other: a Python worker encodes a word once as long as it
+remembers it, and long texts are worked on in stretches of about `STRETCH` bytes that end at white
 space. Nothing but a single word without white space must be in memory with the library's
 own bookkeeping.
 
@@ -28,8 +28,14 @@ deals the rows; that each id lies in one piece, and the padding's bound, do not.
 
 from __future__ import annotations
 
+import json
+import re
+import sys
+import zlib
 from array import array
 from collections.abc import Iterator
+from types import SimpleNamespace
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +49,20 @@ from gridloom.llm.words import rows_of, texts
 CAPACITY, END = 4096, 2
 #: Share of its class's size that a piece may be short of before it is cut.
 SLACK = 1 / 64
-#: Bytes of a text that are encoded at a time, and words that a task remembers, twice (under 200 MB).
-STRETCH, REMEMBERED = 1 << 20, 400_000
+#: Bytes of a text that are encoded at a time, and words that a worker remembers (some 120 MB).
+STRETCH, REMEMBERED = 1 << 20, 600_000
 #: Ids that one task gets after the first round, and at most in the last.
 LAST = 4 << 20
+#: How a file must split words for them to be encoded apart, and the same for lower-case ASCII.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
+#: A mark at a word's end, after a letter of ASCII or Latin-1.
+LAST_MARK = re.compile(rb"([.,;:!?])(?:(?<=[A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \t\n\r\x0b\x0c]|\Z)")
 #: Pieces of an output batch.
 BATCH = 512
 
-PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.list_(pa.int32())), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-PIECE_SQL = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
+PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+PIECE_SQL = "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -74,44 +85,66 @@ def powers(n: int) -> list[int]:
 
 
 class WordIds(dict):
-    """A word's ids by the tokenizer's file, as bytes; words not met lately are forgotten when there are too many."""
+    """A word's ids by the tokenizer's file, as bytes; forgotten when there are too many.
+
+    Words are encoded apart if the file lowers letters and splits by PATTERN. Then what it does to Latin and ASCII words is
+    known: only their tokens are left to the library's model. All other words, and texts under any other file, are encoded by the library.
+    """
 
     def __init__(self, file: str) -> None:
-        from tokenizers import Tokenizer
+        import os
 
-        self.tokenizer, self.before = Tokenizer.from_str(file), {}
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task a core
+        from tokenizers import Tokenizer
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > REMEMBERED:
-            self.before = dict(self)
+        self.tokenizer = Tokenizer.from_str(file)
+        self.model = self.tokenizer.model
+        # byte-level tokens: printable bytes stand for themselves, the others for the characters from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {x: 256 + i for i, x in enumerate(x for x in range(256) if x not in shown)}
+        how = json.loads(file)
+        steps = [x["type"] for x in (how["normalizer"] or {}).get("normalizers", [])]
+        parts = (how["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and parts[0].get("pattern") == {"Regex": PATTERN} and not (how["added_tokens"] and any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in how["added_tokens"]))
+
+    @classmethod
+    def of_worker(cls, file: str) -> WordIds:
+        """One that lasts as long as the Python worker, which runs task after task."""
+        held = sys.modules.setdefault("_words_of_worker", SimpleNamespace())
+        key = zlib.crc32(file.encode())
+        if getattr(held, "key", None) != key:
+            held.key, held.words = key, cls(file)
+        return held.words
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
             self.clear()
-        new = [w for w in words if w not in self]
-        parts = {w: _parts(w) for w in new if w not in self.before}
-        unknown = [p for p in {p for found in parts.values() for p in found} if p not in self and p not in self.before]
-        ids = {}
-        for i in range(0, len(unknown), 10_000):
-            some = unknown[i : i + 10_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode(errors="replace") for p in some], add_special_tokens=False), strict=True):
-                ids[p] = array("i", e.ids).tobytes()
-        self |= ids
-        for w in new:
-            if w not in self:
-                self[w] = b"".join(self[p] if p in self else self.before[p] for p in parts[w]) if w in parts else self.before[w]
+        s = word.decode(errors="replace")
+        if s.isascii() and "<" not in s and s.isprintable():
+            s = s.lower()
+            parts = (s,) if s.isalpha() else ASCII_PART.findall(s)
+        elif _one_token(s):
+            parts = (s.lower().encode().decode("latin-1").translate(self.shown),)
+        else:
+            out = self[word] = array("i", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
+            return out
+        out = self[word] = array("i", [t.id for p in parts for t in self.model.tokenize(p)]).tobytes()
+        return out
 
     def of(self, text: bytes) -> np.ndarray:
-        out = []
-        for part in stretches(text):
-            words = part.split()  # at ASCII white space, which no token holds
-            self.learn(set(words))
-            out.append(b"".join(map(self.__getitem__, words)))
-        return np.frombuffer(b"".join(out), np.int32)
+        if not self.by_word:
+            return np.array(self.tokenizer.encode(text.decode(errors="replace"), add_special_tokens=False).ids, np.int32)
+        return np.frombuffer(b"".join([b"".join(map(self.__getitem__, _words(part))) for part in stretches(text)]), np.int32)
+
 
+def _one_token(s: str) -> bool:
+    """Is s a Latin word whose only normalisation is lower case and that is not split?"""
+    return s.isalpha() and max(s) < "\u0250" and "\u0130" not in s and is_normalized("NFC", s)
 
-def _parts(word: bytes) -> tuple[bytes, ...]:
-    """What of a word is encoded apart: a last mark after an ASCII letter is a token's start, and the file lowers ASCII letters (but for its special tokens)."""
-    if len(word) > 1 and word[-1] in b".,;:!?" and 97 <= word[-2] | 32 <= 122:
-        return (*_parts(word[:-1]), word[-1:])
-    return (word.lower() if word.isascii() and b"<" not in word else word,)
+
+def _words(part: bytes) -> list[bytes]:
+    """What is encoded apart: no token holds white space, and a last mark after a letter starts one. Letters are lowered anyway, but for special tokens."""
+    return LAST_MARK.sub(rb" \1", part if b"<|" in part else part.lower()).split()
 
 
 def stretches(text: bytes, most: int = STRETCH) -> Iterator[bytes]:
@@ -127,7 +160,7 @@ def stretches(text: bytes, most: int = STRETCH) -> Iterator[bytes]:
 
 def _pieces(file: str, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        known = WordIds(file)
+        known = WordIds.of_worker(file)
         for batch in batches:
             for part in rows_of(batch):
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), texts(part), strict=True):
@@ -139,10 +172,16 @@ def _pieces(file: str, capacity: int):
     return cut
 
 
+def _lists(ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list starts, and last where the last ends, in the values of all."""
+    return np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]), ids.flatten().to_numpy(zero_copy_only=False)
+
+
 def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        for r in batch.to_pylist():
-            yield r["doc_id"], r["start"], np.array(r["ids"], np.int32), r["doc_tokens"]
+        at, flat = _lists(batch.column("ids"))
+        for doc_id, start, whole, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens")), at[:-1], at[1:], strict=True):
+            yield doc_id, start, flat[a:b].copy(), whole
 
 
 def fill(pieces: Iterator[tuple], capacity: int, first: int, last: bool) -> Iterator[tuple]:
@@ -195,11 +234,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     doc_id, start, length, ids, whole, sequence, offset = zip(*rows, strict=True)
     at = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
     flat = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids)))
-    return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), flat, *(pa.array(x, pa.int64()) for x in (whole, sequence, offset))], schema=PIECE)
+    crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+    return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), flat, pa.array(crc, pa.int64()), *(pa.array(x, pa.int64()) for x in (whole, sequence, offset))], schema=PIECE)
 
 
 def pack(docs: DataFrame, file: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, start, length, ids, doc_tokens, sequence_id and offset of every piece of docs (doc_id, text); file: the tokenizer's, as read by the driver."""
+    """doc_id, start, length, ids, ids_crc32 (of little-endian unsigned 32-bit ids), doc_tokens, sequence_id and offset of every piece of docs (doc_id, text); file: the tokenizer's, as read by the driver."""
     spark = docs.sparkSession
     with open(file, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
@@ -216,19 +256,3 @@ def pack(docs: DataFrame, file: str, capacity: int = CAPACITY) -> DataFrame:
             return out.unionByName(left.coalesce(1).mapInArrow(_filler(_again, capacity, turn, True), PIECE_SQL))
         found = stored(left.repartition(tasks).mapInArrow(_filler(_again, capacity, turn, False), PIECE_SQL), "pieces")
         out = out.unionByName(found.where("sequence_id is not null"))
-
-
-def digests(pieces: DataFrame) -> DataFrame:
-    """The pieces with ids_crc32, of little-endian unsigned 32-bit ids, in place of ids."""
-
-    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, at = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-            columns = {c: batch.column(c) for c in ("doc_id", "start", "length")} | {"ids_crc32": pa.array(crc, pa.int64())} | {c: batch.column(c) for c in ("doc_tokens", "sequence_id", "offset")}
-            yield pa.RecordBatch.from_pydict(columns)
-
-    return pieces.mapInArrow(digested, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -62,7 +62,7 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).drop("ids")
 
 
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
