@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions import geometry as G
 from gridloom.functions.geometry import RADIUS
 from gridloom.operators import blocks as B
 from gridloom.sources.tables import sized_broadcast, stored
@@ -108,17 +107,22 @@ def coarser(level: DataFrame) -> DataFrame:
     return up.agg(F.max("top").alias("top"), F.min("low").alias("low"), (F.bool_and("full") & (F.count(F.lit(1)) == FACTOR * FACTOR)).alias("full"))
 
 
-def _crossing(size: int, near: int, directions: int, guard: float = 1.0) -> tuple[Column, Column]:
-    """Cells from the observer at which a ray enters and leaves block (br, bc), grown by guard; behind the near field only."""
+def _steps(directions: int) -> dict[str, Column]:
+    """What a ray moves in rows and columns with each cell of its length, never nothing, so that dividing by it needs no case of its own."""
     a = F.col("direction") * (2 * math.pi / directions)
-    low, high = F.lit(float(near)), F.lit(float("inf"))
-    for place, block, step in (("row", "br", F.round(-F.cos(a), 9)), ("col", "bc", F.round(F.sin(a), 9))):
-        first, last = F.col(block) * size - F.col(place) - guard, F.col(block) * size - F.col(place) + (size + guard)
-        one, two = F.try_divide(first, step), F.try_divide(last, step)
-        inside = (first <= 0) & (last >= 0)
-        low = F.greatest(low, F.when(step == 0, F.when(inside, 0.0).otherwise(float("inf"))).otherwise(F.least(one, two)))
-        high = F.least(high, F.when(step == 0, F.when(inside, float("inf")).otherwise(-1.0)).otherwise(F.greatest(one, two)))
-    return low, high
+    some = lambda s: F.when(F.abs(s) < 1e-12, 1e-12).otherwise(s)
+    return {"dr": some(-F.cos(a)), "dc": some(F.sin(a))}
+
+
+def _crossing(size: int, near: int, guard: float = 1.0) -> tuple[Column, Column]:
+    """Cells from the observer at which a ray enters and leaves block (br, bc), grown by guard; behind the near field only."""
+    low, high = [F.lit(float(near))], []
+    for place, block, step in (("row", "br", "dr"), ("col", "bc", "dc")):
+        one = (F.col(block) * size - F.col(place) - guard) / F.col(step)
+        two = (F.col(block) * size - F.col(place) + (size + guard)) / F.col(step)
+        low.append(F.least(one, two))
+        high.append(F.greatest(one, two))
+    return F.greatest(*low), F.least(*high)
 
 
 def _bound(height: str, t: Column, cell: float) -> Column:
@@ -126,22 +130,22 @@ def _bound(height: str, t: Column, cell: float) -> Column:
     return (F.col(height) - d * d / (2 * RADIUS) - F.col("eye")) / d
 
 
-def frontier(rays: DataFrame, levels: list[DataFrame], size: int, near: int, directions: int, cell: float, prune: bool = True) -> DataFrame:
-    """id, row, col, direction, eye, slope, br, bc: the finest blocks that may hold a sample steeper than a ray's slope. levels: from the finest."""
-    ray = ["id", "row", "col", "direction", "eye"]
+def frontier(rays: DataFrame, levels: list[DataFrame], size: int, near: int, cell: float, prune: bool = True) -> DataFrame:
+    """id, row, col, direction, dr, dc, eye, slope, br, bc: the finest blocks that may hold a sample steeper than a ray's slope. levels: from the finest."""
+    ray = ["id", "row", "col", "direction", "dr", "dc", "eye"]
     ends = levels[-1].agg(*[f(c).alias(f"{n}_{c}") for c in ("br", "bc") for n, f in (("first", F.min), ("last", F.max))]).first()
     out = rays
     for c in ("br", "bc"):
         out = out.withColumn(c, F.explode(F.sequence(F.lit(ends[f"first_{c}"] or 0), F.lit(ends[f"last_{c}"] or 0))))
     for k in range(len(levels) - 1, -1, -1):
-        low, high = _crossing(size * FACTOR**k, near, directions)
+        low, high = _crossing(size * FACTOR**k, near)
         out = out.withColumns({"t0": low, "t1": high}).where("t1 > t0 and t1 > 0")
         out = out.join(sized_broadcast(levels[k], levels[k].count()), ["br", "bc"])
         if prune:
             # slopes rise with t up to where curvature takes over, then fall: the highest is there or at an end
             peak = F.when(F.col("top") < F.col("eye"), F.sqrt(2 * RADIUS * (F.col("eye") - F.col("top"))) / cell).otherwise(0.0)
             upper = _bound("top", F.least(F.greatest(peak, "t0"), "t1"), cell)
-            u0, u1 = _crossing(size * FACTOR**k, near, directions, 0.0)
+            u0, u1 = _crossing(size * FACTOR**k, near, 0.0)
             lower = F.when(F.col("full") & (u1 - u0 >= 1.5), F.least(_bound("low", u0, cell), _bound("low", u1, cell)))  # a sample lies between
             best = F.greatest("slope", F.coalesce(F.max(lower).over(Window.partitionBy("id", "direction")), F.lit(NONE)))
             out = out.withColumns({"upper": upper, "slope": best}).where("upper >= slope - 1e-12").drop("upper")
@@ -210,8 +214,8 @@ def cast_rays(observers: DataFrame, dem: DataFrame, directions: int = 1440, near
         d = (near + 1) * cell
         first = (F.lit(highest) - F.col("eye")) / d
         rays = rays.where((F.col("eye") > highest) | (first >= F.col("slope")))
-    left = frontier(rays.repartition("id"), levels, size, near, directions, cell, prune)
-    t0, t1 = _crossing(size, near, directions)
+    left = frontier(rays.withColumns(_steps(directions)).repartition("id"), levels, size, near, cell, prune)
+    t0, t1 = _crossing(size, near)
     ray = F.struct("id", "row", "col", "direction", "eye", t0.alias("t0"), t1.alias("t1"))
     packed = left.groupBy(F.floor(F.col("row") / size).alias("r"), F.floor(F.col("col") / size).alias("c"), "br", "bc").agg(F.collect_list(ray).alias("rays"))
     far = packed.join(ringed, ["br", "bc"]).mapInArrow(_far(size, near, directions, cell), "id long, direction int, slope double")
@@ -227,7 +231,7 @@ def horizons(observers: DataFrame, dem: DataFrame, **how) -> DataFrame:
     return near.join(steeper, "id", "left").select("id", F.transform(of, lambda s: F.when(s <= NONE, -90.0).otherwise(F.degrees(F.atan(s)))).alias("horizon"))
 
 
-# the reference: exact geometry on the sphere, by columns
+# the reference: exact geometry on the sphere
 
 
 def corners(dem: DataFrame) -> DataFrame:
@@ -238,40 +242,66 @@ def corners(dem: DataFrame) -> DataFrame:
     return out.groupBy("row", "col").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in ("v00", "v01", "v10", "v11")])
 
 
-def reference(observers: DataFrame, dem: DataFrame, row0: float, col0: float, directions: int = 1440, near: int = 8, fine: float = 0.5, eye: float = 2.0, cell: float = 20.0, lat0: float = -90.0) -> DataFrame:
-    """id, direction, angle and range (cells): the horizon by great circles and local frames, sample by sample.
+def _targets(row0: float, col0: float, directions: int, near: int, fine: float, cell: float):
+    """The grid's places that an observer's rays reach: id, direction, t, z0 and row, col with the rest fr, fc.
 
-    The grid is a stereographic map around (row0, col0), at lat0. A ray leaves along a direction of the grid, so its
-    bearing is that direction turned by the convergence at its observer; it goes on along a great circle to where
-    the grid's extent ends. Nothing is pruned: this is what horizons() is compared with.
+    Points are unit vectors in the frame of the map's centre. The map is conformal, so the tangent of a ray is the derivative of the
+    point along the ray's direction on the map; no latitude is needed, which would be ill-conditioned near a pole.
     """
-    ends = dem.agg(*[f(c).alias(f"{n}_{c}") for c in ("row", "col") for n, f in (("first", F.min), ("last", F.max))])
-    heights = dem.select("row", "col", F.col("v").alias("z0"))
-    eyes = observers.select("id", "row", "col").join(heights, ["row", "col"]).where("z0 is not null").repartition("id").join(F.broadcast(ends))  # one row
-    lon, lat = G.stereographic_inverse((F.col("col") - col0) * cell, (row0 - F.col("row")) * cell, 0.0, lat0)
-    eyes = eyes.withColumns({"lon": lon, "lat": lat}).withColumn("turn", G.stereographic_convergence(F.col("lon"), F.col("lat"), 0.0, lat0))
-    rays = eyes.withColumn("direction", F.explode(F.sequence(F.lit(0), F.lit(directions - 1))))
-    a = F.col("direction") * (2 * math.pi / directions)
-    most = [F.when(F.abs(s) > 1e-9, F.greatest((F.col(f"first_{c}") - F.col(c)) / s, (F.col(f"last_{c}") - F.col(c)) / s)).otherwise(float("inf")) for c, s in (("row", -F.cos(a)), ("col", F.sin(a)))]
-    steps = F.concat(F.transform(F.sequence(F.lit(1), F.lit(round(near / fine))), lambda i: i * fine), F.when(F.least(*most) >= near + 1, F.transform(F.sequence(F.lit(near + 1), F.floor(F.least(*most)).cast("int")), lambda i: i.cast("double"))).otherwise(F.array().cast("array<double>")))
-    out = rays.withColumn("t", F.explode(steps))
-    bearing, arc = a + F.radians("turn"), F.col("t") * (cell / RADIUS)
-    la, lo = F.radians("lat"), F.radians("lon")
-    out = out.withColumn("to_lat", F.asin(F.sin(la) * F.cos(arc) + F.cos(la) * F.sin(arc) * F.cos(bearing)))
-    out = out.withColumn("to_lon", lo + F.atan2(F.sin(bearing) * F.sin(arc) * F.cos(la), F.cos(arc) - F.sin(la) * F.sin("to_lat"))).withColumns({"to_lat": F.degrees("to_lat"), "to_lon": F.degrees("to_lon")})
-    x, y = G.stereographic(F.col("to_lon"), F.col("to_lat"), 0.0, lat0)
-    out = out.withColumns({"y": F.round(row0 - y / cell, 7), "x": F.round(x / cell + col0, 7)})
-    out = out.select("id", "direction", "t", "z0", "lon", "lat", "to_lon", "to_lat", F.floor("y").alias("row"), F.floor("x").alias("col"), (F.col("y") - F.floor("y")).alias("fr"), (F.col("x") - F.floor("x")).alias("fc"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = round(near / fine)
+        for batch in batches:
+            every = {c: batch.column(c).to_numpy() for c in ("id", "row", "col", "z0", "first_row", "last_row", "first_col", "last_col")}
+            for part in np.array_split(np.arange(len(batch)), max(1, len(batch) >> 8)):
+                o = {c: v[part] for c, v in every.items()}
+                x, y = (o["col"] - col0) * cell / RADIUS, (row0 - o["row"]) * cell / RADIUS
+                q = 1 + (x * x + y * y) / 4
+                point = np.array([x / q, y / q, (2 - q) / q])
+                for d in range(directions):
+                    a = 2 * math.pi * d / directions
+                    most = np.full(len(part), np.inf)
+                    for axis, s in (("row", -math.cos(a)), ("col", math.sin(a))):
+                        if abs(s) > 1e-9:
+                            most = np.minimum(most, np.maximum((o[f"first_{axis}"] - o[axis]) / s, (o[f"last_{axis}"] - o[axis]) / s))
+                    count = first + np.maximum(np.floor(most + 1e-9).astype(int) - near, 0)
+                    of = np.repeat(np.arange(len(part)), count)
+                    k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                    t = np.where(k < first, (k + 1) * fine, near + 1.0 + k - first)
+                    dq = (x * math.sin(a) + y * math.cos(a)) / 2
+                    along = np.array([math.sin(a) - x * dq / q, math.cos(a) - y * dq / q, -2 * dq / q])
+                    arc = t * (cell / RADIUS)
+                    to = point[:, of] * np.cos(arc) + along[:, of] * np.sin(arc)
+                    scale = 2 / (1 + to[2]) * (RADIUS / cell)
+                    row, col = np.round(row0 - scale * to[1], 9), np.round(col0 + scale * to[0], 9)
+                    i, j = np.floor(row), np.floor(col)
+                    out = {"id": o["id"][of], "direction": np.full(len(of), d, np.int32), "t": t, "z0": o["z0"][of], "row": i.astype(np.int64), "col": j.astype(np.int64), "fr": row - i, "fc": col - j}
+                    yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in out.items()})
+
+    return found
+
+
+def reference(observers: DataFrame, dem: DataFrame, row0: float, col0: float, directions: int = 1440, near: int = 8, fine: float = 0.5, eye: float = 2.0, cell: float = 20.0) -> DataFrame:
+    """id, direction, angle and range (cells): the horizon by great circles on the sphere, sample by sample.
+
+    The grid is a stereographic map around (row0, col0). A ray leaves along a direction of the grid and goes on along
+    a great circle, over as many samples as its direction has on the grid. A sample's elevation follows from both heights and the arc between, without any
+    approximation of curvature. Nothing is pruned: this is what horizons() is compared with.
+    """
+    ends = dem.agg(*[f(c).cast("long").alias(f"{n}_{c}") for c in ("row", "col") for n, f in (("first", F.min), ("last", F.max))])
+    heights = dem.select("row", "col", F.col("v").alias("z0")).where("z0 is not null")
+    eyes = observers.select("id", "row", "col").join(heights, ["row", "col"]).select(F.col("id").cast("long").alias("id"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("z0").cast("double").alias("z0"))
+    eyes = eyes.repartition("id").join(F.broadcast(ends))  # one row
+    out = eyes.mapInArrow(_targets(row0, col0, directions, near, fine, cell), "id long, direction int, t double, z0 double, row long, col long, fr double, fc double")
     four = corners(dem)
     out = out.join(sized_broadcast(four, four.count()), ["row", "col"])
     weights = {"v00": (1 - F.col("fr")) * (1 - F.col("fc")), "v01": (1 - F.col("fr")) * F.col("fc"), "v10": F.col("fr") * (1 - F.col("fc")), "v11": F.col("fr") * F.col("fc")}
     height = sum(F.when(w > 0, F.col(v) * w).otherwise(0.0) for v, w in weights.items())
-    here = G.body_fixed(F.col("lon"), F.col("lat"), F.col("z0") + eye)
-    there = G.body_fixed(F.col("to_lon"), F.col("to_lat"), height)
-    _, angle = G.azimuth_elevation(*G.local_frame(there, here, F.col("lon"), F.col("lat")))
+    out = out.withColumns({"height": height, "arc": F.col("t") * (cell / RADIUS)})
+    up = (F.col("height") - F.col("z0") - eye) * F.cos("arc") - (F.col("z0") + (eye + RADIUS)) * 2 * F.pow(F.sin(F.col("arc") / 2), 2)  # without the difference of two radii
+    angle = F.degrees(F.atan2(up, (F.col("height") + RADIUS) * F.sin("arc")))
     seen = out.select("id", "direction", "t", angle.alias("angle")).where("angle is not null")
-    best = seen.groupBy("id", "direction").agg(F.max(F.struct(F.col("angle"), (-F.col("t")).alias("t"))).alias("best"))
-    return best.select("id", "direction", "best.angle", (-F.col("best.t")).alias("range"))
+    return seen.groupBy("id", "direction").agg(F.max("angle").alias("angle"), F.max_by("t", "angle").alias("range"))  # numbers, which a hash aggregate holds
 
 
 def compared(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -37,18 +37,13 @@ def ray_horizon(spark, sf_dir):
     return h.select("id", F.posexplode("horizon").alias("direction", "angle")).select("id", F.col("direction").cast("long").alias("direction"), F.round("angle", 5).alias("angle"))
 
 
-SPHERE = SAMPLES + f""", L AS (SELECT *, CASE WHEN rho > 1e-12 THEN atan2(mx, my) ELSE 0 END AS lo, CASE WHEN rho > 1e-12 THEN -asin(cos(2 * atan2(rho, 3474800.0))) ELSE -pi() / 2 END AS la FROM (SELECT *, sqrt(mx * mx + my * my) AS rho FROM (SELECT *, (col - {COL0}) * 20 AS mx, ({ROW0} - row) * 20 AS my FROM S0))),
-B AS (SELECT *, a + atan2(sin(lo) * (sin(la) - 1), cos(lo) * (1 - sin(la))) AS b, t * 20 / 1737400.0 AS arc FROM L),
-P AS (SELECT *, asin(sin(la) * cos(arc) + cos(la) * sin(arc) * cos(b)) AS la2 FROM B),
-Q AS (SELECT *, lo + atan2(sin(b) * sin(arc) * cos(la), cos(arc) - sin(la) * sin(la2)) AS lo2 FROM P),
-M AS (SELECT *, 1737400.0 * 2 / (1 - sin(la2)) * cos(la2) AS r2 FROM Q),
-S AS (SELECT id, d, v, t, la, lo, la2, lo2, floor(y)::BIGINT AS row, floor(x)::BIGINT AS col, y - floor(y) AS fr, x - floor(x) AS fc FROM (SELECT id, d, v, t, la, lo, la2, lo2, round({ROW0} - r2 * cos(lo2) / 20, 7) AS y, round(r2 * sin(lo2) / 20 + {COL0}, 7) AS x FROM M)),
-H AS (SELECT id, d, t, v + 2 + 1737400.0 AS r1, {HEIGHT} + 1737400.0 AS r2, la, lo, la2, lo2 FROM S JOIN C ON S.row = C.row AND S.col = C.col),
-X AS (SELECT id, d, t, r2 * cos(la2) * cos(lo2) - r1 * cos(la) * cos(lo) AS dx, r2 * cos(la2) * sin(lo2) - r1 * cos(la) * sin(lo) AS dy, r2 * sin(la2) - r1 * sin(la) AS dz, la, lo FROM H WHERE r2 IS NOT NULL),
-U AS (SELECT id, d, t, cos(lo) * dy - sin(lo) * dx AS e, cos(la) * dz - sin(la) * (cos(lo) * dx + sin(lo) * dy) AS n, cos(la) * (cos(lo) * dx + sin(lo) * dy) + sin(la) * dz AS u FROM X)"""
-
-
-@query("krn_reference_horizon", SPHERE + " SELECT id, d AS direction, round(max(degrees(atan2(u, sqrt(e * e + n * n)))), 4) AS angle FROM U GROUP BY id, d")
+SPHERE = SAMPLES + f""", P AS (SELECT *, x / q AS px, y / q AS py, (2 - q) / q AS pz, (x * sin(a) + y * cos(a)) / 2 AS dq, t * 20 / 1737400.0 AS arc FROM (SELECT *, 1 + (x * x + y * y) / 4 AS q FROM (SELECT *, (col - {COL0}) * 20 / 1737400.0 AS x, ({ROW0} - row) * 20 / 1737400.0 AS y FROM S0))),
+M AS (SELECT id, d, v, t, arc, px * cos(arc) + (sin(a) - x * dq / q) * sin(arc) AS tx, py * cos(arc) + (cos(a) - y * dq / q) * sin(arc) AS ty, pz * cos(arc) - 2 * dq / q * sin(arc) AS tz FROM P),
+S AS (SELECT id, d, v, arc, floor(y)::BIGINT AS row, floor(x)::BIGINT AS col, y - floor(y) AS fr, x - floor(x) AS fc FROM (SELECT id, d, v, arc, round({ROW0} - 2 / (1 + tz) * ty * 86870.0, 9) AS y, round({COL0} + 2 / (1 + tz) * tx * 86870.0, 9) AS x FROM M)),
+U AS (SELECT id, d, (z - v - 2) * cos(arc) - (v + 2 + 1737400.0) * 2 * sin(arc / 2) ** 2 AS u, (z + 1737400.0) * sin(arc) AS h FROM (SELECT id, d, arc, v, {HEIGHT} AS z FROM S JOIN C ON S.row = C.row AND S.col = C.col) WHERE z IS NOT NULL)"""
+
+
+@query("krn_reference_horizon", SPHERE + " SELECT id, d AS direction, round(max(degrees(atan2(u, h))), 4) AS angle FROM U GROUP BY id, d")
 def reference_horizon(spark, sf_dir):
     h = H.reference(observers(spark, sf_dir), dem(spark, sf_dir), ROW0, COL0, **HOW)
     return h.select("id", F.col("direction").cast("long").alias("direction"), F.round("angle", 4).alias("angle"))
