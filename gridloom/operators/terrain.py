@@ -37,6 +37,33 @@ def _heights(observers: DataFrame, dem: DataFrame, directions: int, steps: int,
     return cells.withColumn("slope", F.try_divide(F.col("z") - drop(d) - F.col("z0") - eye, d))
 
 
+def observers_of(dem: DataFrame, cell: tuple[int, int] | None = None, cells: DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
+    """id, row and col of observers from exactly one of: a cell, a table of cells (row, col), a mask (row, col, m) whose set cells they are.
+
+    A cell outside of the grid is an error, as are observers that are none.
+    """
+    if sum(x is not None for x in (cell, cells, mask)) != 1:
+        raise ValueError("observers come from a cell, from cells or from a mask, exactly one of them")
+    spark = dem.sparkSession
+    if cell is not None:
+        cells = spark.createDataFrame([cell], "row long, col long")
+    found = (mask.where("m > 0") if cells is None else cells).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).distinct()
+    outside = found.join(dem.select("row", "col"), ["row", "col"], "left_anti").limit(5).collect()
+    if outside:
+        raise ValueError(f"observers outside of the grid: {[tuple(r) for r in outside]}")
+    if found.isEmpty():
+        raise ValueError("there is no observer")
+    return found.select((F.col("row") * (1 << 31) + F.col("col")).alias("id"), "row", "col")
+
+
+def merged(seen: DataFrame, dem: DataFrame, how: str = "any_visible") -> DataFrame:
+    """row, col and v of every cell of dem, by viewshed()'s counts: 1 or 0 (`any_visible`), or the count itself (`visibility_count`)."""
+    if how not in ("any_visible", "visibility_count"):
+        raise ValueError(f"viewsheds are merged by any_visible or visibility_count, not {how}")
+    count = F.coalesce("observers", F.lit(0))
+    return dem.select("row", "col").join(seen, ["row", "col"], "left").select("row", "col", (F.least(count, F.lit(1)) if how == "any_visible" else count).alias("v"))
+
+
 def viewshed(observers: DataFrame, dem: DataFrame, directions: int = 64, steps: int = 32, eye: float = 0.05, cell: float = 1.0) -> DataFrame:
     """row, col and the number of observers that see it (65535 at most): no cell before it on a ray is steeper."""
     h = _heights(observers, dem, directions, steps, eye, cell)

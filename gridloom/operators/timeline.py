@@ -16,6 +16,15 @@ def reduced(cube: DataFrame, key: str = "cell") -> DataFrame:
     return cube.groupBy(key).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
 
 
+def time_axes(series: DataFrame, step: int, key: str = "cell", t: str = "t", most: int = 1_000_000) -> DataFrame:
+    """key and t: each series' times from its first to its last, every `step`; over `most` of them are an error."""
+    if step <= 0:
+        raise ValueError(f"a step of {step} leads nowhere")
+    ends = series.groupBy(key).agg(F.min(t).alias("_a"), F.max(t).alias("_b")).where("_a is not null")
+    times = F.when((F.col("_b") - F.col("_a")) / step < most, F.sequence("_a", "_b", F.lit(step).cast("long"))).otherwise(F.raise_error(F.lit(f"a series has over {most} times")))
+    return ends.select(key, F.explode(times).alias(t))
+
+
 def runs(series: DataFrame, flag: Column, key: str = "cell", t: str = "t") -> DataFrame:
     """Maximal runs of rows where flag holds: key, first, last and n rows. A NULL flag ends a run."""
     own, same = Window.partitionBy(key).orderBy(t), Window.partitionBy(key, "_f").orderBy(t)

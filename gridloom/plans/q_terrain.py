@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import codec
 from gridloom.operators import terrain as K
-from gridloom.plans.q_time import dense, hourly
+from gridloom.plans.q_time import SECONDS, dense, hourly
 from gridloom.plans.registry import query
 from gridloom.sources.tables import shared_dir, stored, table
 from gridloom.sources.views import GRID_SQL, grid
@@ -31,6 +31,16 @@ def viewshed(spark, sf_dir):
     return K.viewshed(observers(spark, sf_dir), grid(spark, sf_dir), 16, 16).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "observers")
 
 
+@query("krn_viewshed_any", RAYS.replace("AS z0 FROM G)", "AS z0 FROM G WHERE v > 0.2)").format(dirs=16, past=17) + """, V AS (SELECT *, max(slope) OVER (PARTITION BY id, d ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM S),
+N AS (SELECT DISTINCT row, col FROM (SELECT row, col FROM V WHERE top IS NULL OR slope + 1e-8 >= top UNION SELECT row, col FROM O))
+SELECT G.row, G.col, (N.row IS NOT NULL)::INTEGER AS v FROM G LEFT JOIN N ON N.row = G.row AND N.col = G.col""")
+def viewshed_any(spark, sf_dir):
+    """What is seen from any cell of a mask."""
+    dem = grid(spark, sf_dir)
+    seen = K.viewshed(K.observers_of(dem, mask=dem.select("row", "col", (F.col("v") > 0.2).cast("int").alias("m"))), dem, 16, 16)
+    return K.merged(seen, dem)
+
+
 @query("krn_horizon", RAYS.format(dirs=12, past=65) + " SELECT id, d AS direction, round(degrees(atan(max(slope))), 5) AS angle FROM S GROUP BY id, d")
 def horizon(spark, sf_dir):
     h = K.horizons(observers(spark, sf_dir), grid(spark, sf_dir), 12, 64)
@@ -53,20 +63,22 @@ def shadow(spark, sf_dir):
     return m.select("id", F.round("m", 6).alias("margin"), K.shadow_byte(F.col("m")).alias("mask"))
 
 
-COLUMNS = [((i + 0.5) / 4 * 2 - 1) * 0.27 for i in range(4)]
+COLUMNS = [((i + 0.5) / 16 * 2 - 1) * 0.27 for i in range(16)]
 HALVES = [(0.27**2 - x * x) ** 0.5 for x in COLUMNS]
 PARTS = " + ".join(f"least(greatest(el + {h} - {AT.format(a=f'((az + 360 + {x}) % 360)')}, 0), {2 * h})" for x, h in zip(COLUMNS, HALVES, strict=True))
 
 
 @query("krn_sun_fraction", LIT.format(q=f"M AS (SELECT id, s, ({PARTS}) / {2 * sum(HALVES)} AS f FROM P)") + "SELECT id, s, round(f, 5) AS fraction FROM M")
 def fraction(spark, sf_dir):
-    return lit(spark, sf_dir).select("id", F.col("s").cast("long").alias("s"), F.round(K.disc_fraction(F.col("h"), F.col("az"), F.col("el"), columns=4), 5).alias("fraction"))
+    return lit(spark, sf_dir).select("id", F.col("s").cast("long").alias("s"), F.round(K.disc_fraction(F.col("h"), F.col("az"), F.col("el")), 5).alias("fraction"))
 
 
-@query("src_synthetic_ephemeris", "SELECT t, round(cos(t / 86400.0 * 2 * pi()) / sqrt(1.04) * 1737400, 3) AS x, round(sin(t / 86400.0 * 2 * pi()) / sqrt(1.04) * 1737400, 3) AS y, round(0.2 / sqrt(1.04) * 1737400, 3) AS z FROM unnest(range(0, 86401, 3600)) AS r(t)")
+@query("src_synthetic_ephemeris", "SELECT event_id, round(cos(s / 86400.0 * 2 * pi()) / sqrt(1.04) * 1737400, 3) AS x, round(sin(s / 86400.0 * 2 * pi()) / sqrt(1.04) * 1737400, 3) AS y, round(0.2 / sqrt(1.04) * 1737400, 3) AS z FROM (SELECT event_id, floor(epoch(ts) - 1704067200) AS s FROM events)")
 def ephemeris(spark, sf_dir):
-    x, y, z = K.sun_vector(F.col("t"))
-    return spark.range(0, 86401, 3600).withColumnRenamed("id", "t").select("t", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(z, 3).alias("z"))
+    """The fallback direction at every event's time."""
+    e = table(spark, sf_dir, "events").select("event_id", F.expr(SECONDS).alias("s"))
+    x, y, z = K.sun_vector(F.col("s"))
+    return e.select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(z, 3).alias("z"))
 
 
 @query("krn_horizon_codec", """WITH E AS (SELECT vec_id, unnest(range(1, 65)) AS i, CAST(round_even(unnest(embedding)::DOUBLE * 10 * 32767 / 50, 0) AS BIGINT) AS q FROM embeddings),

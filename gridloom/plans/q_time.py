@@ -147,9 +147,10 @@ def haven(spark, sf_dir):
     return T.lowest_windows(hourly(spark, sf_dir), 30.0, 10.0)
 
 
-@query("fn_time_axis", "SELECT unnest(range(0, 172801, 3600))::BIGINT AS t")
+@query("fn_time_axis", H + " SELECT cell, unnest(range(min(t), max(t) + 1, 6))::BIGINT AS t FROM H GROUP BY cell")
 def axis(spark, sf_dir):
-    return spark.range(1).select(F.explode(F.expr("sequence(0L, 172800L, 3600L)")).alias("t"))
+    """Every sixth hour of each series, from its first to its last."""
+    return T.time_axes(hourly(spark, sf_dir), 6)
 
 
 @query("aux_date_starts", "SELECT event_id, CAST(date_trunc('month', ts) AS VARCHAR)[:10] AS month, CAST(date_trunc('week', ts) AS VARCHAR)[:10] AS week, CAST(date_trunc('day', ts) AS VARCHAR)[:10] AS day, hour(ts)::INTEGER AS hour FROM events")

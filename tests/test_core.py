@@ -1,5 +1,6 @@
 """Operators on literal rows with known results."""
 
+import random
 from decimal import Decimal
 
 import numpy as np
@@ -149,3 +150,59 @@ def test_markdown_and_csv_chunks(spark):
     rows = spark.createDataFrame([(1, "h,i\n" + "\n".join(f"{k},{k}" for k in range(5))), (2, "h,i"), (3, None)], "doc_id long, text string")
     got = [(r["doc_id"], r["ordinal"], r["content"]) for r in search.csv_rows(rows, 2).orderBy("doc_id", "ordinal").collect()]
     assert got == [(1, 0, "h,i\n0,0\n1,1"), (1, 1, "h,i\n2,2\n3,3"), (1, 2, "h,i\n4,4"), (2, 0, "h,i")]
+
+
+def test_viewshed_observers_and_modes(spark):
+    dem = spark.createDataFrame([(r, c, 0.0) for r in range(4) for c in range(5)], "row int, col int, v double")
+    some = spark.createDataFrame([(1, 1), (1, 1), (3, 4)], "row int, col int")
+    assert sorted((r.row, r.col) for r in terrain.observers_of(dem, cells=some).collect()) == [(1, 1), (3, 4)]
+    assert [(r.row, r.col) for r in terrain.observers_of(dem, cell=(2, 3)).collect()] == [(2, 3)]
+    mask = dem.select("row", "col", ((F.col("row") == 0) & (F.col("col") > 2)).cast("int").alias("m"))
+    assert terrain.observers_of(dem, mask=mask).count() == 2
+    for bad in ({}, {"cell": (0, 0), "mask": mask}, {"cell": (4, 0)}, {"mask": mask.withColumn("m", F.lit(0))}):
+        with pytest.raises(ValueError):
+            terrain.observers_of(dem, **bad)
+    seen = spark.createDataFrame([(0, 0, 3)], "row int, col int, observers int")
+    assert {r.v for r in terrain.merged(seen, dem).collect()} == {0, 1}
+    assert {r.v for r in terrain.merged(seen, dem, "visibility_count").collect()} == {0, 3}
+    with pytest.raises(ValueError):
+        terrain.merged(seen, dem, "mean")
+
+
+def test_time_axes_are_bounded(spark):
+    s = spark.createDataFrame([(1, 0), (1, 13), (2, 5)], "cell long, t long")
+    assert sorted(map(tuple, timeline.time_axes(s, 6).collect())) == [(1, 0), (1, 6), (1, 12), (2, 5)]
+    with pytest.raises(ValueError):
+        timeline.time_axes(s, 0)
+    with pytest.raises(Exception, match="over 2 times"):
+        timeline.time_axes(s, 6, most=2).collect()
+
+
+def flooded(mask):
+    """8-connected regions of a set of cells."""
+    left, out = set(mask), []
+    while left:
+        todo, region = [left.pop()], set()
+        while todo:
+            r, c = todo.pop()
+            region.add((r, c))
+            near = {(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        out.append(region)
+    return out
+
+
+def test_regions_left_after_opening(spark):
+    """Whole regions of a mask of which an opened part of some size is left, against a flood fill."""
+    rng = random.Random(8)
+    cells = {(r, c) for r in range(24) for c in range(24) if rng.random() < 0.12} | {(r, c) for r in range(3, 8) for c in range(4, 9)} | {(r, c) for r in range(15, 18) for c in range(12, 15)}
+    mask = spark.createDataFrame([(r, c, int((r, c) in cells)) for r in range(24) for c in range(24)], "row int, col int, m int")
+    eroded = {(r, c) for r, c in cells if all((r + i, c + j) in cells for i in (-1, 0, 1) for j in (-1, 0, 1))}
+    opened = {(r + i, c + j) for r, c in eroded for i in (-1, 0, 1) for j in (-1, 0, 1)}
+    for least in (4, 10):
+        kept = set().union(*[x for x in flooded(opened) if len(x) >= least])
+        want = set().union(*[x for x in flooded(cells) if x & kept])
+        left = grids.of_size(grids.regions(grids.opened(mask).where("m = 1").select("row", "col")), ">=", least)
+        got = {(r.row, r.col) for r in grids.seeded(mask.where("m = 1").select("row", "col"), left).collect()}
+        assert got == want
