@@ -6,10 +6,14 @@ task holds one key's series at a time and keys spread over all tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.sources.tables import sized_broadcast
+
 
 def reduced(cube: DataFrame, key: str = "cell") -> DataFrame:
     """Minimum, maximum, mean and population deviation over time; nodata is ignored."""
@@ -99,3 +103,41 @@ def lowest_windows(series: DataFrame, threshold: float, limit: float, key: str =
     best = best.select(F.col(f"_k.{key}").alias(key), F.col("_k.event").alias("event"), "_n")
     hours = F.least(F.coalesce("_n", F.lit(0)), F.lit(255)).cast("int")
     return low.join(best, [key, "event"], "left").select(key, "first", "last", hours.alias("duration"))
+
+
+def light_curves(series: DataFrame, lists: DataFrame, reducers: dict[str, Callable[[Column], Column]], key: str = "cell", t: str = "t") -> DataFrame:
+    """key, list and a column a reducer: each takes the array of a series' values at a list's times, in their order.
+
+    lists: list, t (a time of several lists counts in each; repeated ones once). Series are read once for all lists;
+    times without a row or without a value are not in the arrays, and a list that a series has none of gives no row.
+    """
+    times = lists.select("list", F.col("t").alias(t)).distinct()
+    met = series.where("value is not null").select(key, t, "value").join(sized_broadcast(times, times.count()), t)
+    packed = met.groupBy(key, "list").agg(F.sort_array(F.collect_list(F.struct(t, "value"))).alias("_x"))
+    return packed.select(key, "list", *[f(F.transform("_x", lambda x: x["value"])).alias(name) for name, f in reducers.items()])
+
+
+def share_above(threshold: float) -> Callable[[Column], Column]:
+    """Share of an array's values that are at or above threshold."""
+    return lambda v: F.size(F.filter(v, lambda x: x >= threshold)) / F.size(v)
+
+
+def longest_above(threshold: float) -> Callable[[Column], Column]:
+    """The longest run of an array's values at or above threshold."""
+
+    def of(v: Column) -> Column:
+        start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
+
+        def step(s: Column, x: Column) -> Column:
+            now = F.when(x >= threshold, s["now"] + 1).otherwise(0)
+            return F.struct(now.alias("now"), F.greatest(s["best"], now).alias("best"))
+
+        return F.aggregate(v, start, step)["best"]
+
+    return of
+
+
+def largest_step(v: Column) -> Column:
+    """The largest difference between neighbours of an array; 0 of a single value."""
+    pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v)), lambda a, b: F.abs(b - a))
+    return F.coalesce(F.array_max(pairs), F.lit(0.0))

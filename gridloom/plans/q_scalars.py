@@ -40,6 +40,13 @@ def stereographic(spark, sf_dir):
     return p.select("feature_id", F.round("x", 3).alias("px"), F.round("y", 3).alias("py"), r6(F.col("scale")).alias("scale"), back.alias("back"))
 
 
+@query("fn_convergence", Z + """, P AS (SELECT feature_id, radians(x - 180 - 10) AS lo, radians(y * 0.9) AS la, radians(-80.0) AS p FROM Z)
+SELECT feature_id, round(degrees(atan2(sin(lo) * (sin(la) + sin(p)), cos(la) * cos(p) + cos(lo) * (1 + sin(la) * sin(p)))), 6) AS convergence FROM P""")
+def convergence(spark, sf_dir):
+    p = gazetteer(spark, sf_dir).select("feature_id", (F.col("x") - 180).alias("lon"), (F.col("y") * 0.9).alias("lat"))
+    return p.select("feature_id", r6(M.stereographic_convergence(F.col("lon"), F.col("lat"), 10.0, -80.0)).alias("convergence"))
+
+
 @query("fn_body_fixed_azimuth", Z + f""", P AS (SELECT feature_id, radians(x) AS lo, radians(y) AS la, {R} + diameter AS r FROM Z), Q AS (SELECT feature_id, r * cos(la) * cos(lo) - {R} AS dx, r * cos(la) * sin(lo) AS dy, r * sin(la) AS dz FROM P)
 SELECT feature_id, round(dx, 3) AS dx, round(dy, 3) AS dy, round(dz, 3) AS dz, round(degrees(atan2(dx, sqrt(dy * dy + dz * dz))), 6) AS elevation FROM Q""")
 def fixed(spark, sf_dir):

@@ -164,3 +164,16 @@ def static(spark, sf_dir):
     d = dense(spark, sf_dir)
     base = hourly(spark, sf_dir).groupBy("cell").agg(F.avg("value").alias("base"))
     return d.join(base, "cell").groupBy("cell").agg(F.count("value").alias("n"), F.coalesce(F.sum(F.when(F.col("value") > F.col("base"), 1)), F.lit(0)).cast("long").alias("over_base"))
+
+
+@query("krn_light_curve_lists", H + """, M AS (SELECT DISTINCT list, t FROM (SELECT t, unnest(list_filter([CASE WHEN t % 3 = 0 THEN 'thirds' END, CASE WHEN t % 24 BETWEEN 6 AND 17 THEN 'days' END], lambda x: x IS NOT NULL)) AS list FROM H)),
+ X AS (SELECT cell, list, t, value, row_number() OVER w AS i, lag(value) OVER w AS b, value >= 20 AS f FROM H JOIN M USING (t) WINDOW w AS (PARTITION BY cell, list ORDER BY t)),
+ G AS (SELECT *, i - row_number() OVER (PARTITION BY cell, list, f ORDER BY t) AS g FROM X), R AS (SELECT cell, list, max(n) AS n FROM (SELECT cell, list, g, count(*) AS n FROM G WHERE f GROUP BY cell, list, g) GROUP BY cell, list)
+ SELECT cell, list, round(count(*) FILTER (f) / count(*), 6) AS share, coalesce(any_value(n), 0)::INTEGER AS longest, round(coalesce(max(abs(value - b)), 0), 6) AS largest FROM G LEFT JOIN R USING (cell, list) GROUP BY cell, list""")
+def light_curve_lists(spark, sf_dir):
+    """Two lists of times over the same series, three reducers in one pass."""
+    h = hourly(spark, sf_dir)
+    both = F.array(F.when(F.col("t") % 3 == 0, "thirds"), F.when((F.col("t") % 24).between(6, 17), "days"))
+    lists = h.select("t").distinct().select("t", F.explode(F.array_compact(both)).alias("list"))
+    found = T.light_curves(h, lists, {"share": T.share_above(20), "longest": T.longest_above(20), "largest": T.largest_step})
+    return found.select("cell", "list", r6(F.col("share")).alias("share"), "longest", r6(F.col("largest")).alias("largest"))
