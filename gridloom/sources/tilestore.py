@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import codec
+from gridloom.functions.codec import SCALE, framed, packed, quantised, unpacked
 from gridloom.sources.tables import stored
 from gridloom.sources.tilefiles import tile_key
 
@@ -62,10 +62,10 @@ def decoded(kind: str, payload: bytes, profiles: int, samples: int) -> np.ndarra
             raise ValueError(f"profile {i} has {n} bytes")
         if at + 2 + n > len(payload):
             raise ValueError(f"the payload ends within profile {i}")
-        found = codec.unpacked(payload[at + 2 : at + 2 + n])
+        found = unpacked(payload[at + 2 : at + 2 + n])
         if len(found) != samples:
             raise ValueError(f"profile {i} has {len(found)} angles where {samples} are due")
-        out[i], at = found / codec.SCALE, at + 2 + n
+        out[i], at = found / SCALE, at + 2 + n
     if at != len(payload):
         raise ValueError(f"{len(payload) - at} bytes are left behind the last profile")
     return out
@@ -74,7 +74,7 @@ def decoded(kind: str, payload: bytes, profiles: int, samples: int) -> np.ndarra
 def encoded(angles: np.ndarray, kind: str) -> bytes:
     if kind == "raw":
         return np.ascontiguousarray(angles, "<f4").tobytes()
-    return codec.framed([codec.packed(codec.quantised(a)) for a in angles])
+    return framed([packed(quantised(a)) for a in angles])
 
 
 def payloads(tiles: DataFrame, kind: str = "compressed", profiles: int = PROFILES, samples: int = SAMPLES) -> DataFrame:
@@ -82,7 +82,7 @@ def payloads(tiles: DataFrame, kind: str = "compressed", profiles: int = PROFILE
     if kind not in ("raw", "compressed"):
         raise ValueError(f"a payload is raw or compressed, not {kind}")
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 a = batch.column("angles")[i].values.to_numpy(zero_copy_only=False)
@@ -91,7 +91,7 @@ def payloads(tiles: DataFrame, kind: str = "compressed", profiles: int = PROFILE
                 own = [batch.column(c).slice(i, 1) for c in ("y", "x", "elevation")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array([kind]), pa.array([encoded(a.reshape(profiles, samples), kind)], pa.binary())], names=["y", "x", "elevation", "kind", "payload"])
 
-    return tiles.select(*[F.col(c).cast("int").alias(c) for c in ("y", "x", "elevation")], F.col("angles").cast("array<double>").alias("angles")).mapInArrow(packed, "y int, x int, elevation int, kind string, payload binary")
+    return tiles.select(*[F.col(c).cast("int").alias(c) for c in ("y", "x", "elevation")], F.col("angles").cast("array<double>").alias("angles")).mapInArrow(encode, "y int, x int, elevation int, kind string, payload binary")
 
 
 def profiles(tiles: DataFrame, count: int = PROFILES, samples: int = SAMPLES) -> DataFrame:
