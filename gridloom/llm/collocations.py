@@ -40,7 +40,9 @@ WORDS, LEAST, WITHIN, MOST = 3, 10, 50, 2000
 BREAK = b"\xff"
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + BREAK * 10 + b" ")
 #: Starting words of a run; words or n-grams that a task holds before it counts them out; the frequent words of an id bucket.
-RUN, HELD, BUCKET = 1 << 15, 1 << 19, 50_000
+RUN, HELD, BUCKET = 1 << 9, 1 << 19, 50_000
+#: Words of runs whose n-grams are made at once: Arrow's batches have many runs, and making n-grams takes some ten arrays of their words.
+AT_ONCE = 1 << 17
 #: Bits of the range of a task's filters, and those that each further turn of merging adds.
 SPREAD, FAN = 9, 6
 #: The most bits, as a power of two, of the sieve of frequent (n - 1)-grams.
@@ -172,6 +174,16 @@ def ngrams(batch: pa.RecordBatch, order: int) -> tuple[list[np.ndarray], np.ndar
     return [c[full] for c in columns], at[full]
 
 
+def portions(batch: pa.RecordBatch, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of runs that have about `most` words; a longer run stands alone."""
+    ends = np.cumsum(batch.column("ids").value_lengths().to_numpy().astype(np.int64))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 FILTER = pa.schema([("range", pa.int64()), ("filter", pa.binary())])
 FILTER_SQL = "range long, filter binary"
 
@@ -194,8 +206,8 @@ def _collector(shape: Shape, spread: int, below: Shape | None, sieve, power: int
     def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         bits = None if sieve is None else np.frombuffer(sieve.value, np.uint8)
-        for batch in batches:
-            columns, _ = ngrams(batch, shape.order)
+        for portion in (x for batch in batches for x in portions(batch)):
+            columns, _ = ngrams(portion, shape.order)
             if bits is not None:
                 keep = np.ones(len(columns[0]), bool)
                 for some in (columns[:-1], columns[1:]):

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -123,3 +124,16 @@ def test_nothing(spark):
 def test_scores_pass_64_bits(spark):
     row = spark.createDataFrame([(9 * 10**13, 10**14, 95 * 10**12)], "a long, l long, r long").select(collocations._score("a", "l", "r").alias("s")).first()
     assert row.s == 1000000 * (9 * 10**13) ** 2 // (10**14 * 95 * 10**12)
+
+
+def test_ngrams_are_made_of_few_runs_at_once():
+    """A batch of many runs is parted by words, each run whole and once; no batch of runs is larger than 10,000 times RUN words."""
+    lists = [[i + 1] * (i % 7) for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, collocations.RUNS.field(0).type), pa.array([len(x) for x in lists], pa.int32())], schema=collocations.RUNS)
+    parts = list(collocations.portions(batch, 10))
+    assert [x for p in parts for x in p.column("ids").to_pylist()] == lists
+    assert all(len(p) == 1 or sum(map(len, p.column("ids").to_pylist())) <= 10 for p in parts)
+    got = [collocations.ngrams(p, 2)[0][0].tolist() for p in parts]
+    assert [x for g in got for x in g] == collocations.ngrams(batch, 2)[0][0].tolist()
+    assert list(collocations.portions(batch.slice(0, 0))) == []
+    assert 10_000 * (collocations.RUN + 2) * 8 < 64 << 20
