@@ -3,7 +3,8 @@
 1. Words are counted a task at a time and then by language; those that are frequent enough to be part
    of a candidate get ids, one number a (language, word), so that an n-gram of ids also tells its language.
 2. Texts become runs of ids, with 0 where a piece ends or a word is rare. The dictionary
-   is sent to the tasks up to `BROADCAST_BYTES`; beyond, words are joined with it by a shuffle. Runs have
+   is sent to the tasks up to `BROADCAST_BYTES`; beyond, that much of it, its most frequent words. Only the other words
+   are joined with the rest of it by a shuffle, and their ids put into the runs. Runs have
    at most `RUN` starting words, and the words after them that their last n-grams reach.
 3. For each order, tasks collect permuted n-grams up to `HELD` of them, count them, and give one counting
    quotient filter (`quotient`) a range. Filters of a range meet in one task and are merged by
@@ -28,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,14 +100,20 @@ def _runs(ids: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, int]]:
         yield ids[i : i + RUN + words - 1], min(RUN, len(ids) - i)
 
 
+def _sent(sent) -> dict[str, dict[bytes, int]]:
+    """The dictionary that a task holds, from Arrow's bytes of (lang, word, w1)."""
+    known: dict[str, dict[bytes, int]] = {}
+    for b in pa.ipc.open_stream(sent.value):
+        for lang, w, i in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
+            known.setdefault(lang, {})[w] = i
+    return known
+
+
 def _sender(sent, words: int):
-    """Runs by a dictionary that the task holds: Arrow's bytes of (lang, word, w1)."""
+    """Runs by a dictionary that the task holds."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[bytes, int]] = {}
-        for b in pa.ipc.open_stream(sent.value):
-            for lang, w, i in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
-                known.setdefault(lang, {})[w] = i
+        known = _sent(sent)
         for batch in batches:
             for part in rows_of(batch):
                 out = []
@@ -118,47 +126,72 @@ def _sender(sent, words: int):
     return found
 
 
-def _speller(words: int):
-    """(text, run, place, starts, lang, word): every word with its run; words after a run's starts are also in the next."""
+OPEN_SQL = "rid long, run int, ids array<long>, starts int, lang string, places array<int>, unknown array<string>"
+
 
-    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _opener(sent, words: int):
+    """Runs by the dictionary's most frequent words; the others with their places."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _sent(sent)
         for batch in batches:
-            for rid, lang, text in zip(batch.column("rid").to_pylist(), batch.column("lang").to_pylist(), texts(batch), strict=True):
-                found = words_of(text)
-                for run, i in enumerate(range(0, len(found), RUN)):
-                    some = found[i : i + RUN + words - 1]
-                    k = len(some)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([rid] * k), pa.array([run] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array([min(RUN, len(found) - i)] * k, pa.int32()),
-                        pa.array([lang] * k), pa.array([None if w == BREAK else w.decode(errors="replace") for w in some], pa.string()),
-                    ], names=["rid", "run", "place", "starts", "lang", "word"])
+            for part in rows_of(batch):
+                out = []
+                for rid, lang, text in zip(part.column("rid").to_pylist(), part.column("lang").to_pylist(), texts(part), strict=True):
+                    of, w = known.get(lang, {}).get, words_of(text)
+                    for run, (ids, starts) in enumerate(_runs(np.fromiter((of(x, 0) for x in w), np.int64, len(w)), words)):
+                        places = [i for i in np.flatnonzero(ids == 0).tolist() if w[run * RUN + i] != BREAK]
+                        out.append((rid, run, ids, starts, lang, places, [w[run * RUN + i].decode(errors="replace") for i in places]))
+                if out:
+                    kinds = (pa.int64(), pa.int32(), RUNS.field(0).type, pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["rid", "run", "ids", "starts", "lang", "places", "unknown"])
 
-    return spelt
+    return found
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs with the ids of their other words put in."""
+    for batch in batches:
+        for part in portions(batch):
+            lists, more = part.column("ids"), part.column("x")
+            first = np.repeat(np.cumsum(lists.value_lengths().to_numpy()) - lists.value_lengths().to_numpy(), pa.compute.fill_null(more.value_lengths(), 0).to_numpy(zero_copy_only=False))
+            ids, x = lists.flatten().to_numpy().copy(), more.flatten()
+            ids[first + x.field("place").to_numpy()] = x.field("w1").to_numpy()
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), part.column("starts")], schema=RUNS)
+
+
+def _broadcast(spark, dictionary: DataFrame):
+    known = dictionary.select("lang", "word", "w1").toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, known.schema) as out:
+        out.write_table(known)
+    return spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def _size() -> Column:
+    return F.octet_length("word") + F.octet_length("lang") + 16
 
 
 def runs(docs: DataFrame, dictionary: DataFrame, size: int, words: int) -> DataFrame:
     """ids and starts of the runs of docs (lang, text)."""
+    spark = docs.sparkSession
     if size <= BROADCAST_BYTES:
-        known = dictionary.select("lang", "word", "w1").toArrow()
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, known.schema) as out:
-            out.write_table(known)
-        return docs.mapInArrow(_sender(docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()), words), "ids array<long>, starts int")
-    spelt = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_speller(words), "rid long, run int, place int, starts int, lang string, word string")
+        return docs.mapInArrow(_sender(_broadcast(spark, dictionary), words), "ids array<long>, starts int")
+    level = F.floor(F.log2("n") * 8).cast("int")
+    least, held = None, 0
+    for r in dictionary.groupBy(level.alias("level")).agg(F.sum(_size()).alias("size")).orderBy(F.desc("level")).collect():  # at most 8 * 63 rows
+        held += r.size
+        if held > BROADCAST_BYTES:
+            break
+        least = r.level
+    often = F.lit(False) if least is None else level >= least
+    spelt = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_opener(_broadcast(spark, dictionary.where(often)), words), OPEN_SQL)
     spelt = stored(spelt, "spelt")  # rows keep their numbers
-    met = spelt.where("word is not null").join(dictionary.select("lang", "word", "w1"), ["lang", "word"])
-    known = met.groupBy("rid", "run", "starts").agg(F.sort_array(F.collect_list(F.struct("place", "w1"))).alias("x"))
-    return known.select(F.col("x.place").alias("places"), F.col("x.w1").alias("w1"), "starts").mapInArrow(_gapped, "ids array<long>, starts int")
-
-
-def _gapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of words that have ids, with 0 in the places between."""
-    for batch in batches:
-        for places, w1, starts in zip(batch.column("places"), batch.column("w1"), batch.column("starts").to_pylist(), strict=True):
-            at = places.values.to_numpy()
-            ids = np.zeros(at[-1] + 1, np.int64)
-            ids[at] = w1.values.to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array([ids], RUNS.field(0).type), pa.array([starts], pa.int32())], schema=RUNS)
+    rest = spelt.select("rid", "run", "lang", F.explode(F.arrays_zip("places", F.col("unknown").alias("word"))).alias("x")).select("rid", "run", F.col("x.places").alias("place"), "lang", "x.word")
+    met = rest.join(dictionary.where(~often).select("lang", "word", "w1"), ["lang", "word"])
+    found = met.groupBy("rid", "run").agg(F.collect_list(F.struct("place", "w1")).alias("x"))
+    return spelt.select("rid", "run", "ids", "starts").join(found, ["rid", "run"], "left").select("ids", "starts", "x").mapInArrow(_filled, "ids array<long>, starts int")
 
 
 def ngrams(batch: pa.RecordBatch, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -345,7 +378,7 @@ def phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, within: int
     counts = stored(counted_words(docs), "words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     often = counts.where(F.col("n") >= least)
-    size, count, total = often.agg(F.coalesce(F.sum(F.octet_length("word") + F.octet_length("lang") + 16), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    size, count, total = often.agg(F.coalesce(F.sum(_size()), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     dictionary = stored(numbered(often, count), "dictionary")
     bits = max(1, int(dictionary.agg(F.coalesce(F.max("w1"), F.lit(0))).first()[0]).bit_length())
     found = stored(runs(docs, dictionary, size, words), "runs")

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridloom.llm import collocations
 from gridloom.llm.quotient import Keys, Shape
@@ -137,3 +138,16 @@ def test_ngrams_are_made_of_few_runs_at_once():
     assert [x for g in got for x in g] == collocations.ngrams(batch, 2)[0][0].tolist()
     assert list(collocations.portions(batch.slice(0, 0))) == []
     assert 10_000 * (collocations.RUN + 2) * 8 < 64 << 20
+
+
+def test_only_rarer_words_are_joined(spark, monkeypatch):
+    """A dictionary too large to be sent is sent in part: the most frequent words need no join."""
+    kept = {}
+    monkeypatch.setattr(collocations, "stored", lambda df, name, stored=collocations.stored: kept.setdefault(name, stored(df, name)))
+    monkeypatch.setattr(collocations, "BROADCAST_BYTES", 700)
+    monkeypatch.setattr(collocations, "RUN", 9)
+    rows = corpus()
+    assert got(collocations.phrases(spark.createDataFrame(rows, DOCS).repartition(5))) == plain(rows)
+    spelt, words = kept["spelt"], sum(r.n for r in kept["words"].collect())
+    assert 0 < spelt.agg(F.sum(F.size("unknown"))).first()[0] < words
+    assert spelt.where("exists(ids, x -> x > 0)").count() > 0
