@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -161,25 +163,45 @@ def kind(text: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), F.lower(t)), t)
 
 
+def _by(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once, however often f has it: as what an array's function gets."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def name_variants(name: Column, feature_type: Column) -> Column:
     """Array of (name, type) to look up in turn.
 
     The name as it is; with a kind that it begins or ends with, also without it; each kind before and after
     the bare name; at last the name without a type. Equal ones, whatever their case, are kept once.
     """
-    base, given = collapsed(name), kind(feature_type)
-    words = F.split(base, " ")
-    n = F.size(words)
-    first, last = kind(F.get(words, F.lit(0))), kind(F.get(words, n - 1))
-    begins, ends = (n > 1) & first.isin(KINDS), (n > 1) & last.isin(KINDS)
-    inner = F.when(begins, first).when(ends, last)
-    bare = F.when(begins, F.array_join(F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))), " ")).when(ends, F.array_join(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), " "))
-    none = F.lit(None).cast("string")
+    none, blank = F.lit(None).cast("string"), F.lit("")
     pair = lambda a, t, ok: F.when(ok, F.struct(a.alias("name"), t.alias("type")))
-    stem = F.coalesce(bare, base)
-    typed = [p for t in (given, inner) for p in (pair(F.concat(t, F.lit(" "), stem), t, t.isNotNull()), pair(F.concat(stem, F.lit(" "), t), t, t.isNotNull()), pair(base, t, t.isNotNull()))]
-    every = F.array(pair(base, given, base != ""), pair(base, inner, inner.isNotNull()), pair(bare, inner, inner.isNotNull()), *typed, pair(base, none, given.isNotNull()))
-    named = F.filter(every, lambda x: x.isNotNull() & (x["name"] != ""))
-    same = lambda a, b: (F.lower(a["name"]) == F.lower(b["name"])) & F.lower(a["type"]).eqNullSafe(F.lower(b["type"]))
-    once = F.filter(named, lambda x, i: ~F.exists(F.slice(named, F.lit(1), i), lambda y: same(x, y)))
-    return F.when(F.coalesce(base, F.lit("")) != "", once).otherwise(F.filter(named, lambda x: F.lit(False)))
+
+    def split(s: Column) -> Column:
+        words = F.split(s["base"], " ")
+        return F.struct(s["base"].alias("base"), s["given"].alias("given"), words.alias("words"), F.size(words).alias("n"), kind(F.get(words, F.lit(0))).alias("first"), kind(F.get(words, F.size(words) - 1)).alias("last"))
+
+    def parted(s: Column) -> Column:
+        n = s["n"]
+        begins, ends = (n > 1) & s["first"].isin(KINDS), (n > 1) & s["last"].isin(KINDS)
+        inner = F.when(begins, s["first"]).when(ends, s["last"])
+        some = lambda a: F.array_join(F.slice(s["words"], F.lit(a), F.greatest(n - 1, F.lit(0))), " ")
+        bare = F.when(begins, some(2)).when(ends, some(1))
+        return F.struct(s["base"].alias("base"), s["given"].alias("given"), inner.alias("inner"), bare.alias("bare"), F.coalesce(bare, s["base"]).alias("stem"))
+
+    def listed_(s: Column) -> Column:
+        base, given, inner, bare, stem = (s[c] for c in ("base", "given", "inner", "bare", "stem"))
+        typed = [p for t in (given, inner) for p in (pair(F.concat(t, F.lit(" "), stem), t, t.isNotNull()), pair(F.concat(stem, F.lit(" "), t), t, t.isNotNull()), pair(base, t, t.isNotNull()))]
+        every = F.array(pair(base, given, base != ""), pair(base, inner, inner.isNotNull()), pair(bare, inner, inner.isNotNull()), *typed, pair(base, none, given.isNotNull()))
+        named = F.filter(every, lambda x: x.isNotNull() & (x["name"] != "") & (F.coalesce(base, blank) != ""))
+        return F.transform(named, lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"), F.lower(x["name"]).alias("_n"), F.lower(x["type"]).alias("_t")))
+
+    def once(named: Column) -> Column:
+        same = lambda x, y: (x["_n"] == y["_n"]) & x["_t"].eqNullSafe(y["_t"])
+        kept = F.filter(named, lambda x, i: ~F.exists(F.slice(named, F.lit(1), i), lambda y: same(x, y)))
+        return F.transform(kept, lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type")))
+
+    found = F.struct(collapsed(name).alias("base"), kind(feature_type).alias("given"))
+    for step in (split, parted, listed_, once):
+        found = _by(found, step)
+    return found
