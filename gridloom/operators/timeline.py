@@ -6,14 +6,19 @@ task holds one key's series at a time and keys spread over all tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.sources.tables import sized_broadcast
 
+#: Cells that are filled up at once.
+FILLED = 64
+
 
 def reduced(cube: DataFrame, key: str = "cell") -> DataFrame:
     """Minimum, maximum, mean and population deviation over time; nodata is ignored."""
@@ -29,6 +34,31 @@ def time_axes(series: DataFrame, step: int, key: str = "cell", t: str = "t", mos
     return ends.select(key, F.explode(times).alias(t))
 
 
+def filled(series: DataFrame) -> DataFrame:
+    """cell, t and value of every cell at every whole t from the first to the last of all, NULL where series (cell, t, value; a row a cell and t) has none.
+
+    A cell's rows are packed and filled up in one task: only rows that are there are shuffled.
+    """
+    span = series.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    a, n = (0, 0) if span.a is None else (span.a, span.b - span.a + 1)
+    row = F.when(F.col("t").isNotNull() & F.col("cell").isNotNull(), F.struct(F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("value")))
+    packed = series.groupBy("cell").agg(F.collect_list(row).alias("x"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), FILLED):
+                some = batch.slice(at, FILLED)
+                size, x = some.column("x").value_lengths().to_numpy(), some.column("x").flatten()
+                place = np.repeat(np.arange(len(some)), size) * n + x.field("t").to_numpy() - a
+                source = np.full(len(some) * n, -1)
+                source[place] = np.arange(len(x))
+                value = x.field("value").take(pa.array(source, mask=source < 0))
+                cell = some.column("cell").take(pa.array(np.repeat(np.arange(len(some)), n)))
+                yield pa.RecordBatch.from_arrays([cell, pa.array(np.tile(np.arange(a, a + n), len(some))), value], names=["cell", "t", "value"])
+
+    return packed.mapInArrow(fill, f"cell {series.schema['cell'].dataType.simpleString()}, t long, value double")
+
+
 def runs(series: DataFrame, flag: Column, key: str = "cell", t: str = "t") -> DataFrame:
     """Maximal runs of rows where flag holds: key, first, last and n rows. A NULL flag ends a run."""
     own, same = Window.partitionBy(key).orderBy(t), Window.partitionBy(key, "_f").orderBy(t)

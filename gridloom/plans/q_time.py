@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import timeline as T
 from gridloom.plans.registry import query
-from gridloom.sources.tables import table
+from gridloom.sources.tables import stored, table
 
 SECONDS = "timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)"
 H = "WITH H AS (SELECT user_id AS cell, CAST(floor((epoch(ts) - 1704067200) / 3600) AS BIGINT) AS t, avg(value) AS value FROM events GROUP BY 1, 2)"
@@ -22,9 +22,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for every hour, gaps as NULL."""
-    h = hourly(spark, sf_dir)
-    span = h.agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    return h.select("cell").distinct().join(F.broadcast(span)).select("cell", F.explode(F.sequence("a", "b")).alias("t")).join(h, ["cell", "t"], "left")  # span: one row
+    return T.filled(stored(hourly(spark, sf_dir), "hours"))
 
 
 def r6(c):
@@ -161,8 +159,9 @@ def starts(spark, sf_dir):
 
 @query("krn_static_over_time", HD + ", S AS (SELECT cell, avg(value) AS base FROM H GROUP BY cell) SELECT cell, count(value) AS n, coalesce(sum(CASE WHEN value > base THEN 1 END), 0)::BIGINT AS over_base FROM D JOIN S USING (cell) GROUP BY cell")
 def static(spark, sf_dir):
-    d = dense(spark, sf_dir)
-    base = hourly(spark, sf_dir).groupBy("cell").agg(F.avg("value").alias("base"))
+    h = stored(hourly(spark, sf_dir), "hours")  # once: means that are taken twice may differ in their last digits
+    d = T.filled(h)
+    base = h.groupBy("cell").agg(F.avg("value").alias("base"))
     return d.join(base, "cell").groupBy("cell").agg(F.count("value").alias("n"), F.coalesce(F.sum(F.when(F.col("value") > F.col("base"), 1)), F.lit(0)).cast("long").alias("over_base"))
 
 

@@ -237,3 +237,25 @@ def test_viewsheds_and_horizons_leave_their_blocks_as_counts(spark):
     assert {(r.row, r.col): r.observers for r in seen.collect()} == count
     got = {r.id: r.horizon for r in high.collect()}
     assert set(got) == set(best) and all(got[i] == pytest.approx(best[i]) for i in best)
+
+
+def test_series_are_filled_up_without_a_join(spark):
+    rows = [(1, 5, 2.0), (1, 3, None), (2, 7, 1.5), (None, 4, 9.0), (3, None, 1.0)]
+    df = timeline.filled(spark.createDataFrame(rows, "cell int, t long, value double"))
+    want = {(c, t): None for c in (1, 2, 3, None) for t in range(3, 8)} | {(1, 5): 2.0, (2, 7): 1.5}
+    assert {(r.cell, r.t): r.value for r in df.collect()} == want and "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    assert timeline.filled(spark.createDataFrame([], "cell int, t long, value double")).collect() == []
+
+
+def test_a_lone_hour_is_never_over_its_mean(spark, tmp_path):
+    """Means are taken once: a series whose hours are all alike has none over its base."""
+    from gridloom.plans import q_time
+
+    times = [f"2024-01-01 {h:02d}:00:00" for h in range(2)]
+    values = [0.1, 0.7, 0.3, 1e9, 0.2, 123.456]
+    rows = [(u * 100 + i, u, values[i % 6] + u, times[0]) for u in range(50) for i in range(36)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, value double, ts string").withColumn("ts", F.to_timestamp_ntz("ts"))
+    df.repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    found = q_time.static(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {(u, 1, 0) for u in range(50)}
+    assert "events.parquet" not in found._jdf.queryExecution().executedPlan().toString()
