@@ -60,6 +60,43 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(b"w" + w.encode("utf-8", "surrogatepass")) % BUCKETS, *map(_bucket, names)]
 
 
+def _keys(*points: np.ndarray) -> np.ndarray:
+    """One whole number for each tuple of up to three code points; 0 stands for none."""
+    key = np.zeros(len(points[0]), np.int64)
+    for x in points:
+        key = key << 21 | x
+    return key
+
+
+def _buckets_of(kind: str, keys: np.ndarray) -> np.ndarray:
+    """Bucket of each n-gram of a kind: every different one is hashed once."""
+    coded = pa.array(keys).dictionary_encode()
+    name = lambda k: kind + "".join(chr(x) for x in (k >> 42, k >> 21 & 0x1FFFFF, k & 0x1FFFFF) if x)
+    of = np.fromiter((_bucket(name(k)) for k in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    return of[coded.indices.to_numpy()]
+
+
+def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features() of many words end to end, in its order, and their number for each word."""
+    ws = [w.lower() for w in words]
+    n = np.fromiter(map(len, ws), np.int64, len(ws))
+    c = np.frombuffer(("<" + "><".join(ws) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    count = 2 * n + 8
+    out, at = np.empty(int(count.sum()), np.int64), np.cumsum(count) - count
+    first = np.cumsum(n + 2) - n - 1  # of a word's own letters in c
+    out[at] = [zlib.crc32(b"w" + w.encode("utf-8", "surrogatepass")) % BUCKETS for w in ws]
+    letter = lambda i, some: np.where(some, c[np.where(some, i, 0)], 0)
+    for k in (1, 2, 3):
+        out[at + k] = _buckets_of("p", _keys(*[letter(first + i, i < n) for i in range(k)]))
+        out[at + 3 + k] = _buckets_of("s", _keys(*[letter(first + n - k + i, i >= k - n) for i in range(k)]))
+        if k > 1:
+            many = n + 3 - k
+            i = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            start = np.repeat(first - 1, many) + i
+            out[np.repeat(at + (7 if k == 2 else 8 + n), many) + i] = _buckets_of("g", _keys(*[c[start + j] for j in range(k)]))
+    return out, count
+
+
 def forward_backward(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scaled forward probabilities, emission factors and backward values (n, labels) of sequences laid end to end.
 
@@ -174,7 +211,7 @@ class Emissions(dict):
         self.weights, self.rows, self.new = weights, np.zeros((0, weights.shape[1])), []
 
     def __missing__(self, word: str) -> int:
-        if not any(map(str.isalpha, word)):
+        if not (word.isalpha() or any(map(str.isalpha, word))):
             self[word] = -1
             return -1
         self[word] = i = len(self.rows) + len(self.new)
@@ -187,9 +224,7 @@ class Emissions(dict):
             self.rows = self.rows[:0]
         out = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         if self.new:
-            ids = [features(w) for w in self.new]
-            count = np.array([len(x) for x in ids])
-            flat = np.fromiter((i for x in ids for i in x), dtype=np.int64, count=int(count.sum()))
+            flat, count = features_of(self.new)
             self.rows = np.concatenate([self.rows, np.add.reduceat(self.weights[flat], np.cumsum(count) - count)])
             self.new = []
         return out

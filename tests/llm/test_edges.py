@@ -284,6 +284,14 @@ def test_language_pair_expectations_match_enumeration():
     assert np.allclose(got, want) and np.allclose(post, langid.posteriors(emit, trans, start, lengths))
 
 
+def test_features_of_many_words():
+    """Those of each word alone, in the same order: sums of weights are the same to the bit."""
+    rng = random.Random(1)
+    words = ["a", "I", "ab", "Éa", "straße", "İstanbul", "𐐀𐐁", "aé²", "abc", "abcd", "ǅ", "x" * 300, "\ud800"] + ["".join(rng.choices("abcdefgéßЖ漢𐐀İ", k=rng.randint(1, 14))) for _ in range(500)]
+    flat, count = langid.features_of(words)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == list(map(langid.features, words))
+
+
 def test_language_spans_of_mixed_texts(spark):
     rng = random.Random(2)
     stems = {"en": ["the", "which", "thing", "working", "house", "through"], "de": ["der", "nicht", "schließen", "straße", "wurden", "über"]}
