@@ -1,12 +1,13 @@
 """Audit of how the sources of a language diverge in the terms that they use.
 
-1. One CountVectorizer a language, with minDF and the largest vocabSize there is, so that no term
-   is cut; its model turns documents into exact sparse vectors of counts. The vocabulary
-   of one language at a time (its terms of at least `least` documents) passes through the driver, as that
-   class works; documents never do. The terms are written once, by language.
+1. Texts are written once, by language, and parted into terms twice. Terms of fewer than `least` documents are left
+   out by an aggregate, as they are most of all terms and a vectorizer's own count of documents moves them as Java
+   objects. One CountVectorizer a language is fitted on the rest, with the largest vocabSize there is, so that no other term is cut; its model turns
+   the terms that a source has in a slice of texts into exact sparse vectors of counts. The vocabulary
+   of one language at a time passes through the driver, as that class works; documents never do.
 2. Vectors are summed by (language, source): indices and values are exploded and added, by
    map-side aggregates first, so that no group's vector is ever dense or in one task.
-3. A group gives each kept term p = 1 + floor(10^9 (count + 2) / (N + 2 V)), by exact decimals.
+3. A group gives each kept term p = 1 + floor(10^9 (count + 2) / (N + 2 V)), by whole numbers, decimals where they pass 64 bits.
 4. Pairs of sources are evaluated on sparse blocks: `BLOCK` terms of a language by two tiles of
    `TILE` sources. A term that neither source of a pair has is worth the same for all such terms: those that a block's
    tiles do not hold are only counted. Sums are of whole numbers under 2^63. A pair is evaluated once and read both ways.
@@ -31,34 +32,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import stored
+from gridloom.llm.words import rows_of
 from gridloom.sources.tables import shared_dir
 
 #: ASCII letters are lowered, all other ASCII characters part terms.
 PLAIN = bytes(b | 32 if chr(b).isalpha() else 32 if b < 128 else b for b in range(128)) + bytes(range(128, 256))
 LEAST, MOST_TERMS, FIRST = 10, 2**31 - 1, 10
-#: Stands in every document, so that no vocabulary is empty; no term holds it.
+#: Stands in a document of its own, so that no vocabulary is empty; no term holds it.
 EVERY = "\x00"
 BLOCK, TILE = 2048, 64
-
-
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """source, terms and at: a batch's texts are lowered and parted in one pass over their bytes, which keeps their places."""
-    for batch in batches:
-        text = batch.column("text").cast(pa.large_string())
-        offsets, data = text.buffers()[1:]
-        spaced = pa.LargeStringArray.from_buffers(len(text), offsets, pa.py_buffer((data.to_pybytes() if data else b"").translate(PLAIN)), None, 0, text.offset)
-        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(spaced))
-        yield pa.RecordBatch.from_arrays([batch.column("source"), split, batch.column("at")], names=["source", "terms", "at"])
+#: Bytes of texts whose terms are parted at once.
+SLICE = 1 << 21
+
+
+def _split(texts: pa.Array) -> pa.LargeListArray:
+    """The terms of each text: texts are lowered and parted in one pass over their bytes, which keeps their places."""
+    text = texts.cast(pa.large_string())
+    offsets, data = text.buffers()[1:]
+    at = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1] if offsets else np.zeros(1, np.int64)
+    own = data[int(at[0]) : int(at[-1])].to_pybytes() if data else b""  # a slice's buffer is that of its whole batch
+    spaced = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(at - at[0]), pa.py_buffer(own.translate(PLAIN)))
+    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(spaced))
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term and n, the number of a slice's texts that hold it."""
+    for whole in batches:
+        for batch in rows_of(whole, SLICE):
+            split = _split(batch.column("text"))
+            coded = split.flatten().dictionary_encode()
+            many, terms = np.diff(split.offsets.to_numpy()), coded.dictionary
+            pairs_ = np.unique(np.repeat(np.arange(len(many)), many) * len(terms) + coded.indices.to_numpy())
+            found = np.bincount(pairs_ % max(1, len(terms)), minlength=len(terms))
+            some = pc.not_equal(terms, "")  # what a text without terms is split into
+            yield pa.RecordBatch.from_arrays([terms.filter(some).cast(pa.string()), pa.array(found, pa.int64()).filter(some)], names=["term", "n"])
+
+
+def _by_source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """source and the terms of all its texts in a slice, repeated as they are there: counts of texts add up."""
+    for whole in batches:
+        for batch in rows_of(whole, SLICE):
+            source = batch.column("source").dictionary_encode()
+            at = source.indices.to_numpy()
+            split = _split(batch.column("text")).take(pa.array(np.argsort(at, kind="stable")))
+            ends = np.searchsorted(np.sort(at), np.arange(len(source.dictionary) + 1))
+            terms = pa.LargeListArray.from_arrays(split.offsets.take(pa.array(ends)), split.values)
+            yield pa.RecordBatch.from_arrays([source.dictionary, terms.cast(pa.list_(pa.string()))], names=["source", "terms"])
 
 
 def _by_language(rows: DataFrame, langs: list[str]) -> list[DataFrame]:
-    """source and terms of each language, from tables written once."""
+    """source and text of each language, from texts written once."""
     spark = rows.sparkSession
-    path = f"{shared_dir(spark)}/gridloom-terms-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gridloom-texts-{uuid.uuid4().hex}"
     number = spark.createDataFrame(list(enumerate(langs)), "at int, lang string")
-    split = rows.join(F.broadcast(number), "lang").select("text", "source", "at").mapInArrow(_terms, "source string, terms array<string>, at int")
-    split.withColumn("terms", F.array_remove("terms", "")).write.partitionBy("at").parquet(path)
-    return [spark.read.schema("source string, terms array<string>").parquet(f"{path}/at={i}") for i in range(len(langs))]
+    rows.join(F.broadcast(number), "lang").select("text", "source", "at").write.partitionBy("at").parquet(path)
+    return [spark.read.schema("text string, source string").parquet(f"{path}/at={i}") for i in range(len(langs))]
 
 
 def group_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -67,20 +95,23 @@ def group_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFr
     langs = [r.lang for r in docs.groupBy("lang").count().where(F.col("count") >= least).orderBy("lang").collect()]  # no other language can keep a term
     counts, kept = [spark.createDataFrame([], "lang string, source string, i int, n long")], [spark.createDataFrame([], "lang string, i int, term string")]
     for lang, rows in zip(langs, _by_language(docs, langs) if langs else [], strict=True):
-        every = F.concat("terms", F.array(F.lit(EVERY)))
-        model = CountVectorizer(inputCol="all", outputCol="vector", minDF=float(least), vocabSize=MOST_TERMS).fit(rows.select(every.alias("all")))
+        often = rows.mapInArrow(_held, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        every = spark.createDataFrame([(EVERY,)], "term string")
+        model = CountVectorizer(inputCol="terms", outputCol="vector", vocabSize=MOST_TERMS).fit(often.select("term").unionByName(every).select(F.array("term").alias("terms")))
         vocabulary = model.vocabulary
         kept.append(spark.createDataFrame(pa.table({"lang": [lang] * len(vocabulary), "i": pa.array(range(len(vocabulary)), pa.int32()), "term": vocabulary})).where(F.col("term") != EVERY))
-        model.setInputCol("terms")
         vector = F.unwrap_udt("vector")
-        cells = model.transform(rows).select("source", F.explode(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("n"))).alias("x"))
-        counts.append(cells.select(F.lit(lang).alias("lang"), "source", "x.i", F.col("x.n").cast("long").alias("n")).groupBy("lang", "source", "i").agg(F.sum("n").alias("n")))
+        few = rows.coalesce(max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // 2))  # what a task sums is not shuffled
+        texts = model.transform(few.mapInArrow(_by_source, "source string, terms array<string>"))
+        cells = texts.select("source", vector["values"].alias("values"), F.posexplode(vector["indices"]).alias("k", "i")).select("source", "i", F.expr("cast(values[k] as long)").alias("n"))
+        counts.append(cells.groupBy("source", "i").agg(F.sum("n").alias("n")).select(F.lit(lang).alias("lang"), "source", "i", "n"))
     return stored(reduce(DataFrame.unionByName, counts), "counts"), stored(reduce(DataFrame.unionByName, kept), "vocabulary")
 
 
 def share(n: str) -> Column:
     """1 + floor(10^9 (n + 2) / (total + 2 v)) of columns n, total and v; null where the language keeps no term."""
-    return F.expr(f"1 + (cast(1000000000 as decimal(10,0)) * cast({n} + 2 as decimal(19,0))) div cast(nullif(total + 2 * v, 0) as decimal(19,0))")
+    wide = f"(cast(1000000000 as decimal(10,0)) * cast({n} + 2 as decimal(19,0))) div cast(nullif(total + 2 * v, 0) as decimal(19,0))"
+    return F.expr(f"1 + if({n} < 9000000000, (1000000000L * ({n} + 2)) div nullif(total + 2 * v, 0), {wide})")  # the product has under 64 bits
 
 
 def distance(p: str, q: str) -> Column:
