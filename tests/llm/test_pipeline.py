@@ -7,7 +7,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from gridloom.llm import tokens  # noqa: E402
+from gridloom.llm import quality, tokens  # noqa: E402
 from gridloom.llm.queries import tokenizer_file  # noqa: E402
 from tests.llm.test_edges import brute_quality  # noqa: E402
 from tests.llm.test_operators import DOCS, brute_classes, brute_hits  # noqa: E402
@@ -79,3 +79,16 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality rules" and len(corpus_pipeline.STAGES) == 5
+
+
+def test_verdicts_compile(spark, monkeypatch):
+    """No filter takes the elimination's formulas into one condition, whose code is too long for the compiler and fills the driver."""
+    cov = [1.0 if i == j else 0.0 for i, j in quality.PAIRS]
+    params = spark.createDataFrame([('g{"lang":"en","source":"s"}', "", 0, 1, [0.0] * 5, cov, 0.0, 0)], "_g string, _p string, _s int, _n long, _m array<double>, _c array<double>, _det double, _step int")
+    monkeypatch.setattr(quality, "fit", lambda stats: (params, 1))
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten", "en", "s", 48), (2, "short", "en", "s", 5)], DOCS)
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert [r.doc_id for r in quality.keep(docs).collect()] == [1]
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
