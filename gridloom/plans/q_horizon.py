@@ -51,9 +51,8 @@ def reference_horizon(spark, sf_dir):
 
 @query("krn_horizon_comparison")
 def horizon_comparison(spark, sf_dir):
-    """Both horizons by direction and by the exact one's distance; a row an observer on either side."""
-    found = H.horizons(observers(spark, sf_dir), dem(spark, sf_dir), **HOW)
-    return H.compared_lists(found, H.reference_lists(observers(spark, sf_dir), dem(spark, sf_dir), ROW0, COL0, **HOW))
+    """Both horizons by direction and by the exact one's distance; their rays meet where they are cast."""
+    return H.comparison(observers(spark, sf_dir), dem(spark, sf_dir), ROW0, COL0, **HOW)
 
 
 EDGE = "CASE WHEN {0} IS NULL AND {1} IS NULL THEN NULL WHEN {0} IS NULL THEN {1} - v WHEN {1} IS NULL THEN v - {0} ELSE ({1} - {0}) / 2 END"
